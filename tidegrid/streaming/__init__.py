@@ -1,0 +1,5 @@
+"""The workload has batch inputs only, so there are no streaming operators.
+
+The operators are plain DataFrame transformations; the row-wise ones (``functions``) can be
+applied to a streaming DataFrame unchanged.
+"""
