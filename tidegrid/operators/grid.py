@@ -38,22 +38,13 @@ def assign_cells(
 
     With ``closed`` a point exactly on a shared edge belongs to every cell that touches it.
     """
-    per_size = []
-    for size in sizes:
-        lit = F.lit(float(size))
-        if closed:
-            cells = grid.cells("x", "y", lit)
-        else:
-            ix, iy = grid.index("x", "y", lit)
-            cells = F.array(F.struct(ix.alias("ix"), iy.alias("iy")))
-        per_size.append(
-            F.transform(
-                cells,
-                lambda c, lit=lit: F.struct(lit.alias("cell_size"), c["ix"].alias("ix"), c["iy"].alias("iy")),
-            )
-        )
-    exploded = df.withColumn("__c", F.explode(F.concat(*per_size)))
-    return exploded.select(*df.columns, "__c.cell_size", "__c.ix", "__c.iy")
+    size = F.col("cell_size")
+    sized = df.withColumn("cell_size", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
+    if not closed:
+        ix, iy = grid.index("x", "y", size)
+        return sized.withColumns({"ix": ix, "iy": iy})
+    exploded = sized.withColumn("__c", F.explode(grid.cells("x", "y", size)))
+    return exploded.select(*df.columns, "cell_size", "__c.ix", "__c.iy")
 
 
 def occupied_cells(df: DataFrame, *keys: str) -> DataFrame:

@@ -8,9 +8,10 @@ so the work of a hot group spreads too.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidegrid.operators.lookup import join_null_safe, small_side
+from tidegrid.operators.lookup import LOOKUP_ROWS, join_null_safe
+from tidegrid.sources.tables import materialise
 
 BUCKETS_PER_E = 64.0  # buckets are about 1.6 % wide
 ZERO_WIDTH = 1e-6
@@ -107,21 +108,28 @@ def interval_probs(level: float = 0.95) -> dict[str, float]:
     return {"median": 0.5, "lower": tail, "upper": 1 - tail}
 
 
-def dense_dictionary(df: DataFrame, column: str, id_name: str, cuts: int = 256) -> DataFrame:
-    """Sorted distinct values with ids 1..n; NULL has no id.
+def dense_dictionary(
+    df: DataFrame, column: str, id_name: str, small: int = LOOKUP_ROWS, cuts: int = 256
+) -> DataFrame:
+    """Sorted distinct values with ids 1..n (binary order); NULL has no id.
 
-    The cut points are the values whose hash falls in a 1/k class, k chosen from the number of
-    values, so about ``cuts`` of them exist at any size and every run picks the same ones.
+    Up to ``small`` values are numbered on the driver.  A larger dictionary is written out once
+    and ranked in buckets: the cut points are the values whose hash falls in one class of
+    n / ``cuts``, so about ``cuts`` of them exist at any size, and only they are fetched.
     """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    size = values.agg(F.count(F.lit(1)).alias("n"))
-    every = F.greatest(F.lit(1), F.ceil(size.scalar() / F.lit(cuts)).cast("long"))
-    cut_list = values.where(F.pmod(F.xxhash64(column), every) == 0).agg(
-        F.sort_array(F.collect_list(column)).alias("cuts")
-    )
-    bucket = F.size(F.filter("__cuts", lambda c: c <= F.col(column)))
-    bucketed = (
-        values.withColumn("__cuts", cut_list.scalar()).withColumn("__bucket", bucket).drop("__cuts")
+    head = values.limit(small + 1).collect()
+    if len(head) <= small:
+        rows = [(v, i + 1) for i, v in enumerate(sorted(r[0] for r in head))]
+        schema = T.StructType([values.schema[column], T.StructField(id_name, T.LongType())])
+        return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+    values = materialise(values)
+    every = max(1, values.count() // cuts)
+    cut_rows = values.where(F.pmod(F.xxhash64(column), F.lit(every)) == 0).collect()
+    cut_list = F.array(*[F.lit(v) for v in sorted(r[0] for r in cut_rows)])
+    bucketed = values.withColumn(
+        "__bucket", F.size(F.filter(cut_list, lambda c: c <= F.col(column)))
     )
     running = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -138,10 +146,9 @@ def dense_dictionary(df: DataFrame, column: str, id_name: str, cuts: int = 256)
     )
 
 
-def with_dense_id(df: DataFrame, column: str, id_name: str) -> DataFrame:
+def with_dense_id(df: DataFrame, column: str, id_name: str, **options) -> DataFrame:
     """Attach the 1-based rank of ``column`` among its sorted distinct values."""
-    dictionary = small_side(dense_dictionary(df, column, id_name))
-    return df.join(dictionary, column, "left")
+    return df.join(dense_dictionary(df, column, id_name, **options), column, "left")
 
 
 def numbered_within(

@@ -50,15 +50,31 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", enforceSchema=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """New folder under the shared folder that the cluster names in ``spark.checkpoint.dir``.
+def _shared_base(spark: SparkSession) -> str:
+    """Shared folder that the cluster names in ``spark.checkpoint.dir``.
 
     Only a session without that setting (a local test) gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = tempfile.mkdtemp(prefix="tidegrid-")
-    return f"{base.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared folder."""
+    return f"{_shared_base(spark)}/tidegrid-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate once to the shared folder and read it back.
+
+    Later uses do not repeat the work behind it, it survives the loss of executors, and the
+    planner knows its size.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path, mode="errorifexists")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str]) -> None:

@@ -41,7 +41,7 @@ view(
            CASE WHEN l_partkey % 97 <> 0 THEN 48e0 + (l_partkey % 400) / 1e2 END AS lat,
            CASE WHEN l_partkey % 97 <> 0 THEN -(123e0 + (l_partkey % 700) / 1e2) END AS lon,
            CASE WHEN l_partkey % 89 = 0 THEN NULL
-                WHEN l_partkey % 5 < 3 THEN 0e0
+                WHEN l_partkey % 5 < 3 AND l_orderkey % 13 <> 0 THEN 0e0
                 ELSE CAST(CAST(l_quantity AS BIGINT) % 13 AS DOUBLE) END AS num_target,
            CASE WHEN l_linestatus = 'F' AND l_partkey % 7 <> 0 THEN l_quantity END AS bottom_time,
            CASE WHEN l_linestatus = 'O' AND l_partkey % 7 <> 0 THEN l_tax * 100 + l_quantity END AS area,
@@ -212,10 +212,14 @@ view(
 
 
 def cell_sql(source: str, sizes: str = "[2000e0, 10000e0]") -> str:
+    """Cells with closed edges: a point on a shared edge is listed under every cell it touches."""
     return (
-        f"SELECT s.*, c.cell_size, CAST(floor(x / c.cell_size) AS BIGINT) AS ix, "
-        f"CAST(floor(y / c.cell_size) AS BIGINT) AS iy "
-        f"FROM {source} s, (SELECT unnest({sizes}) AS cell_size) c"
+        f"SELECT s.*, c.cell_size, CAST(floor(x / c.cell_size) AS BIGINT) - dx AS ix, "
+        f"CAST(floor(y / c.cell_size) AS BIGINT) - dy AS iy "
+        f"FROM {source} s, (SELECT unnest({sizes}) AS cell_size) c, "
+        f"(VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy) "
+        f"WHERE (dx = 0 OR x / c.cell_size = floor(x / c.cell_size)) "
+        f"AND (dy = 0 OR y / c.cell_size = floor(y / c.cell_size))"
     )
 
 
@@ -284,6 +288,7 @@ def with_views(sql: str, names: tuple[str, ...]) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in _order(names, []))
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(lead):
+            return f"{lead}{ctes},\n{body[len(lead):]}"
     return f"WITH {ctes}\n{body}"

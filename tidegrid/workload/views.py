@@ -36,7 +36,8 @@ def surveys(spark: SparkSession, sf: str) -> DataFrame:
         F.year("l_shipdate").alias("year"),
         F.when(pk % 97 != 0, (pk % 400) / 100.0 + 48.0).alias("lat"),
         F.when(pk % 97 != 0, -((pk % 700) / 100.0 + 123.0)).alias("lon"),
-        F.when(pk % 89 == 0, None).when(pk % 5 < 3, 0.0)
+        F.when(pk % 89 == 0, None)
+        .when((pk % 5 < 3) & (F.col("l_orderkey") % 13 != 0), 0.0)
         .otherwise((qty.cast("long") % 13).cast("double")).alias("num_target"),
         F.when((F.col("l_linestatus") == "F") & timed, qty).alias("bottom_time"),
         F.when((F.col("l_linestatus") == "O") & timed, F.col("l_tax") * 100 + qty).alias("area"),
