@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tabular", "spatial"]
+MODULES = ["tabular", "spatial", "draws"]
 
 
 def load() -> None:
