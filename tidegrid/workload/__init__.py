@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tabular", "spatial", "draws"]
+MODULES = ["tabular", "spatial", "draws", "model"]
 
 
 def load() -> None:
