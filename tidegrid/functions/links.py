@@ -96,9 +96,13 @@ def loglik_negbin(y: Column, eta: Column, phi: Column) -> Column:
     )
 
 
-def loglik_zinb(y: Column, eta: Column, phi: Column, theta: Column) -> Column:
-    """NB2 with extra zeros: ``theta`` is the logit of the extra-zero probability."""
-    count_part = -log1p_exp(theta) + loglik_negbin(y, eta, phi)
+def loglik_zinb(y: Column, count_loglik: Column, theta: Column) -> Column:
+    """Zero-inflated count: ``theta`` is the logit of the extra-zero probability.
+
+    ``count_loglik`` is the count part's own log-likelihood; give it as a column of an earlier
+    projection, since it is used more than once here.
+    """
+    count_part = count_loglik - log1p_exp(theta)
     return F.when(y == 0, log_sum_exp(-log1p_exp(-theta), count_part)).otherwise(count_part)
 
 

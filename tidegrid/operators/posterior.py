@@ -93,29 +93,48 @@ def effect_arrays(sampled: DataFrame, values: str, index: str) -> DataFrame:
     return gathered.select(index, F.transform("__a", lambda s: s["__v"]).alias(values))
 
 
-def observation_effects(
-    obs: DataFrame, sampled: DataFrame, effects: dict[str, str], scalars: list[str]
-) -> DataFrame:
-    """Observations with one array of effects per term, ready to be walked draw by draw.
-
-    ``effects`` maps an array column of the sample to the id column of the observations it is
-    looked up by.  Each lookup is an equi-join of the observations with a table of one row per
-    id; scalar parameters arrive as one struct array.  No observation is repeated per draw.
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hash-partition narrow rows over all cores before a step that costs far more per row than
+    a shuffle does.  The explicit number keeps adaptive execution from merging them again."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
+
+
+class DrawEffects:
+    """A sample of draws, laid out for walking observations draw by draw.
+
+    The sample has k rows (a parameter), so it is fetched once and becomes a local relation.
+    Scalar parameters form one constant array; each vector parameter becomes a table with one
+    array over the draws per id, joined to the observations by that id.  An observation is
+    never joined to the draws themselves.
     """
-    scalar_rows = sampled.agg(
-        F.array_sort(F.collect_list(F.struct("draw", *scalars))).alias("s")
-    ).scalar()
-    out = obs
-    for values, index in effects.items():
-        out = out.join(small_side(effect_arrays(sampled, values, index)), index)
-    return out.withColumn("__scalars", scalar_rows)
-
-
-def per_draw(df: DataFrame, effects: list[str]) -> DataFrame:
-    """One row per observation and sampled draw: struct ``p`` of scalars, and one value per
-    effect under the effect's own name.  Meant to be aggregated in the same stage."""
-    return (
-        df.select("*", F.posexplode("__scalars").alias("__j", "p"))
-        .withColumns({name: F.get(F.col(name), F.col("__j")) for name in effects})
-        .drop("__scalars", "__j")
-    )
+
+    def __init__(self, sampled: DataFrame, effects: dict[str, str], scalars: list[str], k: int):
+        self.k = k
+        self.effects = effects
+        local = small_side(sampled.select("draw", *effects, *scalars), max_rows=k)
+        self._tables = {v: small_side(effect_arrays(local, v, index)) for v, index in effects.items()}
+        self._scalars = local.agg(
+            F.array_sort(F.collect_list(F.struct("draw", *scalars))).alias("s")
+        )
+
+    def attach(self, obs: DataFrame) -> DataFrame:
+        """Observations with one array over the draws per vector parameter."""
+        out = obs
+        for values, index in self.effects.items():
+            out = out.join(self._tables[values], index)
+        return out
+
+    def with_scalars(self, attached: DataFrame, name: str = "scalars") -> DataFrame:
+        """The scalar structs as one array column, for use inside a row expression."""
+        return attached.withColumn(name, self._scalars.scalar())
+
+    def per_draw(self, attached: DataFrame) -> DataFrame:
+        """One row per observation and draw: struct ``p`` of scalars, and one value per vector
+        parameter under its own name.  Meant to be aggregated in the same stage."""
+        j = F.col("__j")
+        walked = attached.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(self.k - 1))))
+        return walked.withColumns(
+            {"p": F.get(self._scalars.scalar(), j), **{v: F.get(F.col(v), j) for v in self.effects}}
+        ).where(F.col("p").isNotNull()).drop("__j")

@@ -26,9 +26,11 @@ def log_bucket(value: Column) -> Column:
 def _bucketed_counts(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
     """(distinct values with their counts, buckets with the count before them and in total)."""
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        df.groupBy(*keys, value)
+        # counting the value drops NULLs after the aggregation; a filter on the value itself
+        # would be pushed down and evaluate the value's expression a second time
+        .agg(F.count(value).alias("__n"))
+        .where(F.col("__n") > 0)
         .withColumn("__bucket", log_bucket(F.col(value)))
     )
     per_key = Window.partitionBy(*keys)

@@ -35,10 +35,12 @@ def sampled_draws(spark, sf, k: int):
     return layers(posterior.sample_draws(states(spark, sf), k, SEED))
 
 
-def with_effects(spark, sf, k: int):
-    return posterior.observation_effects(
-        observations(spark, sf), sampled_draws(spark, sf, k), EFFECTS, SCALARS
-    )
+def draw_effects(spark, sf, k: int) -> posterior.DrawEffects:
+    return posterior.DrawEffects(sampled_draws(spark, sf, k), EFFECTS, SCALARS, k)
+
+
+def spread_observations(spark, sf):
+    return posterior.spread(observations(spark, sf), "obs")
 
 
 def predictor(a_yr, a_source, a_site, p):
@@ -50,7 +52,8 @@ def predictor(a_yr, a_source, a_site, p):
 
 def eta_rows(spark, sf, k: int = 50):
     """Survey x sampled-draw rows with the linear predictor, always reduced in the same stage."""
-    rows = posterior.per_draw(with_effects(spark, sf, k), list(EFFECTS))
+    effects = draw_effects(spark, sf, k)
+    rows = effects.per_draw(effects.attach(spread_observations(spark, sf)))
     eta = predictor(F.col("obs_base"), F.col("a_source"), F.col("a_site"), F.col("p"))
     return rows.withColumn("eta", eta).withColumn("draw", F.col("p.draw"))
 
@@ -155,10 +158,10 @@ def loglik_negbin(spark, sf):
     VIEWS,
 )
 def loglik_zinb(spark, sf):
-    rows = eta_rows(spark, sf).where(F.col("y").isNotNull())
-    return loglik_by_draw(
-        rows, links.loglik_zinb(F.col("y"), F.col("eta"), F.col("p.phi"), F.col("p.theta"))
+    rows = eta_rows(spark, sf).where(F.col("y").isNotNull()).withColumn(
+        "nb", links.loglik_negbin(F.col("y"), F.col("eta"), F.col("p.phi"))
     )
+    return loglik_by_draw(rows, links.loglik_zinb(F.col("y"), F.col("nb"), F.col("p.theta")))
 
 
 # prior of each scalar parameter: (family, two arguments)
@@ -340,14 +343,15 @@ RESID_DRAWS = 250
 def residual_rows(spark, sf):
     """Residual and median prediction per survey.  The replicates of a survey live in an array
     of its own row, so nothing is shuffled per survey and draw."""
-    df = with_effects(spark, sf, RESID_DRAWS)
+    effects = draw_effects(spark, sf, RESID_DRAWS)
+    df = effects.with_scalars(effects.attach(spread_observations(spark, sf)))
 
     def replicate(p, i):
         eta = predictor(F.get("obs_base", i), F.get("a_source", i), F.get("a_site", i), p)
         u = links.md5_uniform(F.lit(SEED), p["draw"], F.col("obs"))
         return (u < links.inv_logit(eta)).cast("int")
 
-    sims = df.select("obs", "presence", F.transform("__scalars", replicate).alias("sims"))
+    sims = df.select("obs", "presence", F.transform("scalars", replicate).alias("sims"))
     return sims.select(
         "obs",
         checks.quantile_residual(
