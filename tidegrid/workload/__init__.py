@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tabular", "spatial", "draws", "model"]
+MODULES = ["tabular", "spatial", "draws", "model", "chains"]
 
 
 def load() -> None:

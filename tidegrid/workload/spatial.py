@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.functions import recode
 from tidegrid.operators import grid, hull, polygons, ranks
+from tidegrid.plans import surveys
 from tidegrid.workload import views
-from tidegrid.workload.registry import query, round_all, rounded
+from tidegrid.workload.registry import query, round_all
 
 STRIP_M = 10_000.0
 STRIP_DEG = 0.1
@@ -285,11 +285,14 @@ def point_in_polygon(spark, sf):
     )
 
 
-HULL_SQL = """
-spots AS (SELECT DISTINCT regime, x, y FROM regime_points),
+def hull_sql(spots: str) -> str:
+    return f"hull_spots AS ({spots}),{WALK_SQL}"
+
+
+WALK_SQL = """
 walk AS (
   SELECT regime, 0 AS seq, x, y, x AS x0, y AS y0, 1e0 * pi() / 2 AS heading
-  FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY x, y) AS rn FROM spots) WHERE rn = 1
+  FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY x, y) AS rn FROM hull_spots) WHERE rn = 1
   UNION ALL
   SELECT regime, seq, x, y, x0, y0, heading FROM (
     SELECT w.regime, w.seq + 1 AS seq, s.x, s.y, w.x0, w.y0, atan2(s.y - w.y, s.x - w.x) AS heading,
@@ -297,10 +300,11 @@ walk AS (
              -- smallest left turn from the current heading
              (atan2(s.y - w.y, s.x - w.x) - CASE WHEN w.seq = 0 THEN -pi() / 2 ELSE w.heading END + 4 * pi() + 1e-12)
                % (2 * pi())) AS rn
-    FROM walk w JOIN spots s ON s.regime = w.regime AND (s.x <> w.x OR s.y <> w.y))
+    FROM walk w JOIN hull_spots s ON s.regime = w.regime AND (s.x <> w.x OR s.y <> w.y))
   WHERE rn = 1 AND (x <> x0 OR y <> y0)),
 ring AS (SELECT regime, seq, x, y FROM walk)
 """
+HULL_SQL = hull_sql("SELECT DISTINCT regime, x, y FROM regime_points")
 
 
 @query(
@@ -383,31 +387,5 @@ def masked_area(spark, ring, key):
     ("catches",),
 )
 def bycatch_union(spark, sf):
-    return bycatch_presence(views.catches(spark, sf))
-
-
-def bycatch_presence(catches):
-    """Presence-only records of four fisheries in one schema, from one scan.
-
-    The trap fisheries give longitude without its sign and depth in mixed units; the others give
-    signed degrees and metres.  Longline records need a positive catch.
-    """
-    from tidegrid.functions.coords import degrees_minutes
-
-    trap = F.col("fishery").isin("crab", "prawn")
-    lon = degrees_minutes("lon_deg", "lon_min")
-    rows = catches.where(
-        (F.col("species_code") == "TGT")
-        & ((F.col("fishery") != "longline") | (F.col("catch_count") > 0))
-    )
-    return rows.select(
-        "haul",
-        F.concat("fishery", F.lit("_catch")).alias("source"),
-        "year",
-        rounded(degrees_minutes("lat_deg", "lat_min"), 9).alias("lat"),
-        rounded(F.when(trap, lon).otherwise(-lon), 9).alias("lon"),
-        F.lit(1).alias("presence"),
-        rounded(
-            F.when(trap, recode.metres("max_depth", "depth_unit")).otherwise(F.col("max_depth")), 9
-        ).alias("depth"),
-    )
+    df = surveys.bycatch_presence(views.catches(spark, sf), "TGT")
+    return round_all(df, "lat", "lon", "depth", digits=9)

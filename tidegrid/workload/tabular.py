@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidegrid.functions import coords, missing, recode
 from tidegrid.functions.dates import mixed_date_parts
 from tidegrid.operators import combine, dedup, encode, lookup, ranks, rollup
+from tidegrid.plans import surveys
 from tidegrid.sources import tables
 from tidegrid.workload import views
 from tidegrid.workload.registry import query, round_all, rounded
@@ -451,17 +452,6 @@ def annual_counts(spark, sf):
 # --- joins --------------------------------------------------------------------------------
 
 
-def species_facts(rows: DataFrame, target: str) -> DataFrame:
-    """Distinct scores of the target species per dive and observer."""
-    return (
-        rows.where(F.col("species") == target)
-        .select("date_observed", "place", "observer", recode.tag_to_score("tags").alias("score"))
-        .distinct()
-        .withColumn("seen", F.lit(1))
-    )
-
-
-DIVE = ["date_observed", "place", "observer"]
 JOINED_SQL = f"""
 facts AS (SELECT DISTINCT date_observed, place, observer, {SCORE_SQL} AS score, 1 AS seen_fact
           FROM species_rows WHERE species = 'purchase'),
@@ -476,9 +466,7 @@ joined AS (SELECT r.*, f.score, coalesce(f.seen_fact, 0) AS seen,
 
 def absence_join(spark, sf) -> DataFrame:
     rows = views.species_rows(spark, sf)
-    joined = lookup.join_null_safe(rows, species_facts(rows, "purchase"), DIVE, "left")
-    joined = joined.withColumn("seen", F.coalesce("seen", F.lit(0)))
-    return joined.withColumn("score_recode", recode.shift_score("seen", "score"))
+    return surveys.score_dives(rows, surveys.species_facts(rows, "purchase"))
 
 
 @query(
@@ -504,15 +492,6 @@ full_rows AS (
 """
 
 
-def filled_join(spark, sf) -> DataFrame:
-    """Full join of scores and surveys, whole-row distinct, missing score read as zero."""
-    left = views.scores(spark, sf).select("form", "abundance")
-    joined = lookup.join_null_safe(
-        left, views.text_dates(spark, sf), [("form", "formid")], "full"
-    ).distinct()
-    return joined.withColumn("abundance", F.coalesce("abundance", F.lit(0)))
-
-
 @query(
     "full_join_fill",
     f"""
@@ -525,7 +504,8 @@ def filled_join(spark, sf) -> DataFrame:
     ("scores", "text_dates"),
 )
 def full_join_fill(spark, sf):
-    return filled_join(spark, sf).select(
+    scores = views.scores(spark, sf).select("form", "abundance")
+    return surveys.fill_scores(scores, views.text_dates(spark, sf)).select(
         "form", "abundance", (F.col("abundance") + 1).alias("abundance_recode"),
         recode.present_unless_zero("abundance").alias("presence"),
         recode.binary_of("exp", "N", "E").alias("exp_binary"), "geogr",
@@ -710,7 +690,7 @@ def distinct_rows(spark, sf):
     ("species_rows",),
 )
 def distinct_keep_first(spark, sf):
-    df = dedup.keep_first(views.species_rows(spark, sf), DIVE, ["row_id"])
+    df = dedup.keep_first(views.species_rows(spark, sf), surveys.DIVE, ["row_id"])
     return df.withColumn("day", F.col("date_observed").cast("string")).drop("date_observed")
 
 
@@ -761,28 +741,6 @@ def dedup_site_day(spark, sf):
     return df.withColumn("day", F.col("obs_date").cast("string")).drop("obs_date")
 
 
-def community_dives(spark, sf) -> DataFrame:
-    """One row per dive: first row per observer, then the highest score among observers.
-
-    Observers are reduced to one row before the species facts are joined, so the join sees one
-    row per dive and observer instead of one per species record.
-    """
-    rows = views.species_rows(spark, sf)
-    per_observer = dedup.keep_first(rows, DIVE, ["row_id"])
-    facts = species_facts(rows, "purchase")
-    # the first match of a dive: lowest score, unscored records last
-    first_fact = dedup.keep_first(
-        facts.withColumn("unscored", F.col("score").isNull()), DIVE, ["unscored", "score"]
-    ).drop("unscored")
-    joined = lookup.join_null_safe(per_observer, first_fact, DIVE, "left")
-    joined = joined.withColumn("seen", F.coalesce("seen", F.lit(0)))
-    joined = joined.withColumn("score_recode", recode.shift_score("seen", "score"))
-    usable = joined.dropna(subset=["score_recode", "max_depth"]).withColumn(
-        "presence", F.when(F.col("score") > 0, 1).otherwise(0)
-    )
-    return dedup.keep_max(usable, ["date_observed", "place"], "score_recode", ["row_id"])
-
-
 COMMUNITY_SQL = f"""
 facts AS (SELECT DISTINCT date_observed, place, observer, {SCORE_SQL} AS score, 1 AS seen_fact
           FROM species_rows WHERE species = 'purchase'),
@@ -812,7 +770,7 @@ community AS (SELECT *, CAST(num_surveys > 1 AS INTEGER) AS multiple_surveys FRO
     ("species_rows",),
 )
 def dedup_two_level(spark, sf):
-    return community_dives(spark, sf).select(
+    return surveys.community_dives(views.species_rows(spark, sf), "purchase", ["row_id"]).select(
         F.col("date_observed").cast("string").alias("day"), "place", "row_id", "observer", "score",
         "score_recode", "presence", "num_surveys", "multiple_surveys",
     )
