@@ -29,9 +29,37 @@ def _half(points: np.ndarray) -> list[int]:
     return kept
 
 
+def _sorted_distinct(points: np.ndarray) -> np.ndarray:
+    points = points[np.lexsort((points[:, 1], points[:, 0]))]
+    fresh = np.ones(len(points), dtype=bool)
+    fresh[1:] = np.any(points[1:] != points[:-1], axis=1)
+    return points[fresh]
+
+
+def _outer(points: np.ndarray) -> np.ndarray:
+    """Drop points clearly inside the polygon of the extremes of 16 directions."""
+    angles = np.arange(16) * (np.pi / 8)
+    reach = points @ np.stack([np.cos(angles), np.sin(angles)])
+    corners = points[reach.argmax(axis=0)]
+    edges = np.roll(corners, -1, axis=0) - corners
+    real = np.any(edges != 0, axis=1)
+    corners, edges = corners[real], edges[real]
+    if len(corners) < 3:
+        return points
+    dx = points[:, 0, None] - corners[:, 0]
+    dy = points[:, 1, None] - corners[:, 1]
+    left = edges[:, 0] * dy - edges[:, 1] * dx
+    # rounding can only keep a point too many, never drop a vertex
+    slack = 1e-9 * np.abs(edges).max() * np.abs(reach).max()
+    return points[(left <= slack).any(axis=1)]
+
+
 def hull_ring(points: np.ndarray) -> np.ndarray:
     """Strict hull vertices, counter-clockwise from the lowest x."""
-    points = np.unique(np.asarray(points, dtype=float).reshape(-1, 2), axis=0)
+    points = np.asarray(points, dtype=float).reshape(-1, 2)
+    if len(points) > 64:
+        points = _outer(points)
+    points = _sorted_distinct(points)
     if len(points) < 3:
         return points
     lower = points[_half(points)]

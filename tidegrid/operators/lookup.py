@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidegrid.functions.missing import same_key
+from tidegrid.sources.tables import materialise
 
 LOOKUP_ROWS = 10_000
 
@@ -13,13 +14,22 @@ def small_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Broadcastable copy of ``df`` when it really is small, else ``df`` unchanged.
 
     At most ``max_rows + 1`` rows are fetched.  If they all fit, they become a local relation:
-    its exact size is known to the planner and the aggregation behind it is not run again.
-    Otherwise the caller's join stays an ordinary shuffled join.
+    its exact size is known to the planner and the work behind it is not run again.  Otherwise
+    the caller's join stays an ordinary shuffled join.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+
+
+def settled(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Result that several consumers share, computed once: a local relation when it is small,
+    else a table in the shared folder."""
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return materialise(df)
+    return df.sparkSession.createDataFrame(head, df.schema)
 
 
 def join_null_safe(

@@ -8,6 +8,7 @@ so the work of a hot group spreads too.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidegrid.operators.lookup import LOOKUP_ROWS, join_null_safe
@@ -111,7 +112,7 @@ def interval_probs(level: float = 0.95) -> dict[str, float]:
 
 
 def dense_dictionary(
-    df: DataFrame, column: str, id_name: str, small: int = LOOKUP_ROWS, cuts: int = 256
+    df: DataFrame, column: str, id_name: str, small: int = 10 * LOOKUP_ROWS, cuts: int = 256
 ) -> DataFrame:
     """Sorted distinct values with ids 1..n (binary order); NULL has no id.
 
@@ -120,11 +121,13 @@ def dense_dictionary(
     n / ``cuts``, so about ``cuts`` of them exist at any size, and only they are fetched.
     """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    head = values.limit(small + 1).collect()
-    if len(head) <= small:
-        rows = [(v, i + 1) for i, v in enumerate(sorted(r[0] for r in head))]
+    head = values.limit(small + 1).toArrow()
+    if head.num_rows <= small:
+        ordered = sorted(head.column(0).to_pylist())
+        table = pa.table({column: pa.array(ordered, head.schema.field(0).type),
+                          id_name: pa.array(range(1, len(ordered) + 1), pa.int64())})
         schema = T.StructType([values.schema[column], T.StructField(id_name, T.LongType())])
-        return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+        return F.broadcast(df.sparkSession.createDataFrame(table, schema))
 
     values = materialise(values)
     every = max(1, values.count() // cuts)

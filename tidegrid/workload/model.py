@@ -8,7 +8,7 @@ from tidegrid.functions import links
 from tidegrid.functions.recode import FIVE_LEVEL_COUNTS
 from tidegrid.operators import checks, fit, posterior, ranks
 from tidegrid.workload import views
-from tidegrid.workload.draws import SEED, layers, states
+from tidegrid.workload.draws import SEED, layers, state_columns
 from tidegrid.workload.registry import query, round_all, rounded
 
 EFFECTS = {"obs_base": "year_id", "a_source": "source_id", "a_site": "site_id"}
@@ -32,7 +32,9 @@ def observations(spark, sf):
 
 
 def sampled_draws(spark, sf, k: int):
-    return layers(posterior.sample_draws(states(spark, sf), k, SEED))
+    """Sampled first, so paths are computed for the sample only."""
+    sampled = posterior.sample_draws(views.params(spark, sf), k, SEED)
+    return layers(sampled.withColumns(state_columns()))
 
 
 def draw_effects(spark, sf, k: int) -> posterior.DrawEffects:

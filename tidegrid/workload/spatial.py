@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import grid, hull, polygons, ranks
+from tidegrid.functions import recode
+from tidegrid.operators import grid, hull, lookup, polygons, ranks
 from tidegrid.plans import surveys
 from tidegrid.workload import views
 from tidegrid.workload.registry import query, round_all
@@ -307,6 +308,13 @@ ring AS (SELECT regime, seq, x, y FROM walk)
 HULL_SQL = hull_sql("SELECT DISTINCT regime, x, y FROM regime_points")
 
 
+def hull_rings(spark, sf):
+    """Sites are surveyed again and again, so coordinates are made distinct before projection."""
+    regime = recode.regime_of("year", views.REGIMES).alias("regime")
+    spots = views.surveys(spark, sf).select(regime, "lat", "lon").distinct()
+    return hull.convex_hull(grid.project(spots, views.CRS), "regime")
+
+
 @query(
     "convex_hull_eoo",
     f"""
@@ -316,8 +324,7 @@ HULL_SQL = hull_sql("SELECT DISTINCT regime, x, y FROM regime_points")
     ("regime_points",),
 )
 def convex_hull_eoo(spark, sf):
-    spots = views.regime_points(spark, sf)
-    return round_all(hull.convex_hull(spots, "regime"), "x", "y", digits=3)
+    return round_all(hull_rings(spark, sf), "x", "y", digits=3)
 
 
 CELL_KM = 5.0
@@ -353,12 +360,12 @@ in_hull AS (
 )
 def eoo_masked_area(spark, sf):
     """Hull area by regime after clipping: cells whose centre is in the hull and not in the mask."""
-    ring = hull.convex_hull(views.regime_points(spark, sf), "regime")
+    ring = hull_rings(spark, sf)
     return round_all(masked_area(spark, ring, "regime"), "area_km2", "hull_km2", digits=3)
 
 
 def masked_area(spark, ring, key):
-    edges = polygons.ring_edges(ring, [key], "seq", "x", "y")
+    edges = lookup.settled(polygons.ring_edges(lookup.settled(ring), [key], "seq", "x", "y"))
     size = CELL_KM * 1000
     cells = polygons.cells_of_convex(edges, key, views.GRID, size)
     mask = polygons.literal_edges(spark, MASK)
