@@ -88,8 +88,10 @@ def inside(ring, x, y):
     return hit
 
 
+@pytest.mark.parametrize("small_layer", [20_000, 0])
 @pytest.mark.parametrize("strip", [3.0, 1000.0])
-def test_points_in_polygons_brute_force(spark, strip):
+def test_points_in_polygons_brute_force(spark, strip, small_layer, monkeypatch):
+    monkeypatch.setattr(polygons, "SMALL_LAYER", small_layer)
     rings = {"a": star(40, 1), "b": star(9, 2) + 50}
     rng = np.random.default_rng(9)
     pts = rng.uniform(-120, 160, (600, 2))

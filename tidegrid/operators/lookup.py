@@ -7,18 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from tidegrid.functions.missing import same_key
 from tidegrid.sources.tables import materialise
 
-LOOKUP_ROWS = 10_000
+LOOKUP_ROWS = 100_000
+LOOKUP_BYTES = 32 << 20
 
 
 def small_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Broadcastable copy of ``df`` when it really is small, else ``df`` unchanged.
 
-    At most ``max_rows + 1`` rows are fetched.  If they all fit, they become a local relation:
-    its exact size is known to the planner and the work behind it is not run again.  Otherwise
-    the caller's join stays an ordinary shuffled join.
+    At most ``max_rows + 1`` rows are fetched.  If all of them fit, in number and in bytes, they
+    become a local relation: its exact size is known to the planner and the work behind it is
+    not run again.  Otherwise the caller's join stays an ordinary shuffled join.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > LOOKUP_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
 
@@ -27,7 +28,7 @@ def settled(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Result that several consumers share, computed once: a local relation when it is small,
     else a table in the shared folder."""
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > LOOKUP_BYTES:
         return materialise(df)
     return df.sparkSession.createDataFrame(head, df.schema)
 
@@ -43,6 +44,7 @@ def join_null_safe(
     ``keys`` are names or (left, right) pairs; the output key carries the left name.
     """
     pairs = [(k, k) if isinstance(k, str) else k for k in keys]
+    # renaming is a projection, under which a broadcast hint of the right side stays in force
     tagged = right.withColumnsRenamed({r: f"__r_{r}" for _, r in pairs})
     cond = same_key([(l, f"__r_{r}") for l, r in pairs])
     joined = left.join(tagged, cond, how)
@@ -57,4 +59,4 @@ def join_null_safe(
 
 def exclude(df: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in the exclusion table (keys, not row numbers, so it is stable)."""
-    return join_null_safe(df, listed.select(*keys).distinct(), keys, "left_anti")
+    return join_null_safe(df, small_side(listed.select(*keys).distinct()), keys, "left_anti")

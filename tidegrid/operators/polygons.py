@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegrid.functions.coords import GridSpec
+from tidegrid.operators.lookup import small_side
 
-EDGE = ["poly_id", "x1", "y1", "x2", "y2"]
+SMALL_LAYER = 20_000  # edges of a polygon layer that may be attached to rows strip by strip
 
 
 def ring_edges(vertices: DataFrame, keys: list[str], seq: str, x: str, y: str) -> DataFrame:
@@ -43,13 +44,41 @@ def ring_area(edges: DataFrame, keys: list[str], unit: float = 1.0) -> DataFrame
     )
 
 
-def crosses(px: Column, py: Column) -> Column:
+def crosses(px: Column, py: Column, edge=F.col) -> Column:
     """A ray from the point towards +x crosses the edge (half-open in y, so a vertex counts once)."""
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    x1, y1, x2, y2 = (edge(c) for c in ("x1", "y1", "x2", "y2"))
     at = x1 + F.try_divide((x2 - x1) * (py - y1), y2 - y1)
     return ((y1 > py) != (y2 > py)) & (px < at)
 
 
+def _strip_of(c: Column | str, strip: float) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c / strip).cast("long")
+
+
+def _by_strip(edges: DataFrame, strip: float) -> DataFrame:
+    """Edges listed under each horizontal strip they touch."""
+    first = _strip_of(F.least("y1", "y2"), strip)
+    last = _strip_of(F.greatest("y1", "y2"), strip)
+    return edges.withColumn("__strip", F.explode(F.sequence(first, last)))
+
+
+def _strip_polygons(edges: DataFrame, strip: float) -> DataFrame | None:
+    """One row per strip with the edges of each polygon there, if the layer is a small one."""
+    if edges.select(F.lit(1)).limit(SMALL_LAYER + 1).count() > SMALL_LAYER:
+        return None
+    edge = F.struct("x1", "y1", "x2", "y2")
+    rings = _by_strip(edges, strip).groupBy("__strip", "poly_id").agg(F.collect_list(edge).alias("edges"))
+    strips = rings.groupBy("__strip").agg(F.collect_list(F.struct("poly_id", "edges")).alias("__polys"))
+    return small_side(strips)
+
+
+def _odd(poly: Column, px: Column, py: Column) -> Column:
+    """Crossing parity of one polygon of a strip."""
+    hits = F.filter(poly["edges"], lambda e: crosses(px, py, lambda c: e[c]))
+    return F.size(hits) % 2 == 1
+
+
 def points_in_polygons(
     points: DataFrame, edges: DataFrame, strip: float, x: str = "x", y: str = "y"
 ) -> DataFrame:
@@ -61,15 +90,11 @@ def points_in_polygons(
     side, and a strip that holds many points is split by adaptive execution, because its edges
     can be repeated to every split.
     """
-    strip_of = lambda c: F.floor(c / strip).cast("long")
-    listed = edges.withColumn(
-        "__strip",
-        F.explode(F.sequence(strip_of(F.least("y1", "y2")), strip_of(F.greatest("y1", "y2")))),
-    )
     spots = points.select(F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
-    spots = spots.withColumn("__at", strip_of(F.col("__y")))
+    spots = spots.withColumn("__at", _strip_of("__y", strip))
     hits = spots.join(
-        listed, (F.col("__at") == F.col("__strip")) & crosses(F.col("__x"), F.col("__y"))
+        _by_strip(edges, strip),
+        (F.col("__at") == F.col("__strip")) & crosses(F.col("__x"), F.col("__y")),
     )
     return (
         hits.groupBy("__x", "__y", "poly_id")
@@ -82,15 +107,32 @@ def points_in_polygons(
 def keep_inside(
     df: DataFrame, edges: DataFrame, strip: float, x: str = "x", y: str = "y"
 ) -> DataFrame:
-    """Rows whose point lies in a polygon, with the polygon's id (inner join)."""
-    return df.join(points_in_polygons(df, edges, strip, x, y), [x, y])
+    """Rows whose point lies in a polygon, with the polygon's id (inner join).
+
+    A small layer is attached to the rows strip by strip, so the rows are not shuffled at all;
+    beyond that size the distinct points are matched and joined back.
+    """
+    strips = _strip_polygons(edges, strip)
+    if strips is None:
+        return df.join(points_in_polygons(df, edges, strip, x, y), [x, y])
+    rows = df.withColumn("__at", _strip_of(y, strip)).join(strips, F.col("__at") == F.col("__strip"))
+    found = F.filter("__polys", lambda p: _odd(p, F.col(x), F.col(y)))
+    ids = F.transform(found, lambda p: p["poly_id"])
+    return rows.withColumn("poly_id", F.explode(ids)).drop("__at", "__strip", "__polys")
 
 
 def keep_outside(
     df: DataFrame, edges: DataFrame, strip: float, x: str = "x", y: str = "y"
 ) -> DataFrame:
-    inside = points_in_polygons(df, edges, strip, x, y)
-    return df.join(inside, [x, y], "left_anti")
+    """Rows whose point lies in no polygon."""
+    strips = _strip_polygons(edges, strip)
+    if strips is None:
+        return df.join(points_in_polygons(df, edges, strip, x, y), [x, y], "left_anti")
+    rows = df.withColumn("__at", _strip_of(y, strip)).join(
+        strips, F.col("__at") == F.col("__strip"), "left"
+    )
+    hit = F.exists("__polys", lambda p: _odd(p, F.col(x), F.col(y)))
+    return rows.where(~F.coalesce(hit, F.lit(False))).drop("__at", "__strip", "__polys")
 
 
 def cells_of_convex(edges: DataFrame, key: str, grid: GridSpec, size: float) -> DataFrame:

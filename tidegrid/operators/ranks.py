@@ -11,7 +11,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidegrid.operators.lookup import LOOKUP_ROWS, join_null_safe
+from tidegrid.operators.lookup import LOOKUP_ROWS, join_null_safe, small_side
 from tidegrid.sources.tables import materialise
 
 BUCKETS_PER_E = 64.0  # buckets are about 1.6 % wide
@@ -112,7 +112,7 @@ def interval_probs(level: float = 0.95) -> dict[str, float]:
 
 
 def dense_dictionary(
-    df: DataFrame, column: str, id_name: str, small: int = 10 * LOOKUP_ROWS, cuts: int = 256
+    df: DataFrame, column: str, id_name: str, small: int = LOOKUP_ROWS, cuts: int = 256
 ) -> DataFrame:
     """Sorted distinct values with ids 1..n (binary order); NULL has no id.
 
@@ -162,7 +162,8 @@ def numbered_within(
     """Row number within each group, ordered by ``leading`` and then by the other columns.
 
     ``leading`` cuts the group: offsets come from counts per (group, leading), and only rows
-    that share both are sorted together.
+    that share both are sorted together.  While the offsets are few the rows are shuffled once,
+    for the sort.
     """
     running = (
         Window.partitionBy(*keys).orderBy(leading).rowsBetween(Window.unboundedPreceding, -1)
@@ -175,7 +176,7 @@ def numbered_within(
     )
     inside = Window.partitionBy(*keys, leading).orderBy(*then)
     return (
-        join_null_safe(df, offsets, [*keys, leading])
+        join_null_safe(df, small_side(offsets), [*keys, leading])
         .withColumn(out, (F.row_number().over(inside) + F.col("__before")).cast("long"))
         .drop("__before")
     )

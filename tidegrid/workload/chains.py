@@ -320,9 +320,9 @@ cleaned AS (SELECT *, {X} AS x, {Y} AS y,
     occ AS (SELECT regime, count(*) AS n_cells FROM (
               SELECT DISTINCT regime, ix, iy FROM cell WHERE regime IS NOT NULL
               UNION ALL SELECT DISTINCT 'total', ix, iy FROM cell) GROUP BY regime)
-    SELECT h.regime, round(hull_km2, 3) AS hull_km2, m.n_masked * {spatial.CELL_KM ** 2} AS eoo_km2, n_cells, n_cells * 4e0 AS area_km2
+    SELECT h.regime, round(hull_km2, 3) AS hull_km2, coalesce(m.n_masked, 0) * {spatial.CELL_KM ** 2}e0 AS eoo_km2, n_cells, n_cells * 4e0 AS area_km2
     FROM (SELECT regime, abs(sum(x1 * y2 - x2 * y1)) / 2 / 1e6 AS hull_km2 FROM hull_edges GROUP BY regime) h
-    JOIN (SELECT regime, count(*) AS n_masked FROM in_hull
+    LEFT JOIN (SELECT regime, count(*) AS n_masked FROM in_hull
           WHERE NOT (cx > 850003 AND cx < 930017 AND cy > 400007 AND cy < 560011) GROUP BY regime) m USING (regime)
     JOIN occ USING (regime)
     """,

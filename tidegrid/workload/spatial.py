@@ -16,7 +16,7 @@ STRIP_DEG = 0.1
 MASK = {
     "mask": [(850_003.0, 400_007.0), (850_003.0, 560_011.0), (930_017.0, 560_011.0), (930_017.0, 400_007.0)]
 }
-BOX = (800_000.0, 420_000.0, 1_050_000.0, 650_000.0)
+BOX = (900_000.0, 350_000.0, 1_150_000.0, 600_000.0)
 
 
 @query(
@@ -349,12 +349,10 @@ in_hull AS (
     "eoo_masked_area",
     f"""
     WITH RECURSIVE {HULL_SQL}, {ROWS_SQL}
-    SELECT regime, count(*) AS n_cells, round(count(*) * {CELL_KM * CELL_KM}, 6) AS area_km2,
-           round(any_value(hull_km2), 3) AS hull_km2
-    FROM in_hull JOIN (SELECT regime, abs(sum(x1 * y2 - x2 * y1)) / 2 / 1e6 AS hull_km2 FROM hull_edges GROUP BY regime)
-         USING (regime)
-    WHERE NOT (cx > 850003 AND cx < 930017 AND cy > 400007 AND cy < 560011)
-    GROUP BY regime
+    SELECT regime, coalesce(n, 0) AS n_cells, coalesce(n, 0) * {CELL_KM * CELL_KM}e0 AS area_km2, round(hull_km2, 3) AS hull_km2
+    FROM (SELECT regime, abs(sum(x1 * y2 - x2 * y1)) / 2 / 1e6 AS hull_km2 FROM hull_edges GROUP BY regime)
+    LEFT JOIN (SELECT regime, count(*) AS n FROM in_hull
+               WHERE NOT (cx > 850003 AND cx < 930017 AND cy > 400007 AND cy < 560011) GROUP BY regime) USING (regime)
     """,
     ("regime_points",),
 )
@@ -370,11 +368,11 @@ def masked_area(spark, ring, key):
     cells = polygons.cells_of_convex(edges, key, views.GRID, size)
     mask = polygons.literal_edges(spark, MASK)
     kept = polygons.keep_outside(cells, mask, STRIP_M)
-    area = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_cells")).withColumn(
-        "area_km2", F.col("n_cells") * (CELL_KM * CELL_KM)
-    )
+    counted = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_cells"))
     whole = polygons.ring_area(edges, [key], unit=1e6).select(key, F.col("area").alias("hull_km2"))
-    return area.join(whole, key)
+    # a sliver of a hull may hold no cell centre; it still has a row
+    out = whole.join(counted, key, "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0)))
+    return out.withColumn("area_km2", F.col("n_cells") * (CELL_KM * CELL_KM))
 
 
 # --- catches ------------------------------------------------------------------------------
