@@ -1,8 +1,8 @@
 """One row per key: highest value or first row, as an aggregation.
 
-``min_by`` over a row struct combines on the map side, so each task sends one row per key into
-the shuffle however many repeats the key has.  A ``row_number`` window would send every row of
-a hot key to one task.
+The minimum of a row struct, ordered columns first, combines on the map side, so each task sends
+one row per key into the shuffle however many repeats the key has.  A ``row_number`` window
+would send every row of a hot key to one task.
 """
 
 from __future__ import annotations
@@ -12,15 +12,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegrid.functions.missing import as_col
 
 
-def _pick(df: DataFrame, keys: list[str], order: list[Column], extra: dict[str, Column]) -> DataFrame:
-    others = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in others])
+def _pick(
+    df: DataFrame, keys: list[str], lead: list[Column], order: list[str], extra: dict[str, Column]
+) -> DataFrame:
+    """First row of each key by ``lead``, then ``order``, then all remaining columns, which makes
+    the order total."""
+    others = [c for c in order if c not in keys]
+    others += [c for c in df.columns if c not in keys and c not in others]
     picked = df.groupBy(*keys).agg(
-        # the trailing row struct makes the order total
-        F.min_by(row, F.struct(*order, row.alias("__rest"))).alias("__row"),
+        F.min(F.struct(*lead, *others)).alias("__row"),
         *[c.alias(name) for name, c in extra.items()],
     )
-    return picked.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others], *extra)
+    columns = [c if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns]
+    return picked.select(*columns, *extra)
 
 
 def keep_max(
@@ -36,12 +40,11 @@ def keep_max(
     the lowest ``tiebreak`` columns (NULL lowest), then to the lowest remaining columns.
     """
     value = as_col(value)
-    order = [value.isNull().alias("__na"), (-value).alias("__v")]
-    order += [F.col(c).alias(f"__t{i}") for i, c in enumerate(tiebreak)]
-    out = _pick(df, keys, order, {count_as: F.count(F.lit(1))})
+    lead = [value.isNull().alias("__na"), (-value).alias("__v")]
+    out = _pick(df, keys, lead, tiebreak, {count_as: F.count(F.lit(1))})
     return out.withColumn("multiple_surveys", (F.col(count_as) > 1).cast("int"))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of each key in the given order, all columns kept."""
-    return _pick(df, keys, [F.col(c).alias(f"__t{i}") for i, c in enumerate(order)], {})
+    return _pick(df, keys, [], order, {})
