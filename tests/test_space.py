@@ -156,3 +156,16 @@ def test_cells_of_convex_brute_force(spark):
     got = {(r["ix"], r["iy"]) for r in polygons.cells_of_convex(edges, "g", GridSpec(), 3.0).collect()}
     expect = {(i, j) for i in range(40) for j in range(40) if inside(ring, (i + 0.5) * 3, (j + 0.5) * 3)}
     assert got == expect
+
+
+def test_points_in_line_up_to_rounding_are_not_vertices(spark):
+    """A projected meridian is a straight line whose points deviate from it by rounding only."""
+    lats = np.linspace(48.0, 52.0, 401)
+    pdf = pd.DataFrame([(lon, lat) for lon in (-123.0, -124.37, -129.99) for lat in lats], columns=["lon", "lat"])
+    pts = grid.project(spark.createDataFrame(pdf), Albers()).withColumn("g", F.lit("all"))
+    for parts in (1, 5):
+        ring = hull.convex_hull(pts.repartition(parts), "g").toPandas()
+        corners = pts.where(F.col("lon").isin(-123.0, -129.99) & F.col("lat").isin(48.0, 52.0)).toPandas()
+        middle = pts.where((F.col("lon") == -124.37) & (F.col("lat") == 48.0)).toPandas()
+        expect = {(round(x, 3), round(y, 3)) for x, y in pd.concat([corners, middle])[["x", "y"]].to_numpy()}
+        assert {(round(x, 3), round(y, 3)) for x, y in ring[["x", "y"]].to_numpy()} == expect

@@ -13,16 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 MERGE_FANOUT = 32
+# Sine of the smallest turn at a vertex.  Points in a row, such as a projected meridian, are in
+# line only up to rounding and must not count as vertices.
+STRAIGHT = 1e-9
 
 
 def _half(points: np.ndarray) -> list[int]:
     """Indices of one monotone half of the hull of lexicographically sorted points."""
     kept: list[int] = []
     for i in range(len(points)):
+        cx, cy = points[i]
         while len(kept) > 1:
-            a, b = points[kept[-2]], points[kept[-1]]
-            turn = (b[0] - a[0]) * (points[i][1] - a[1]) - (b[1] - a[1]) * (points[i][0] - a[0])
-            if turn > 0:
+            (ax, ay), (bx, by) = points[kept[-2]], points[kept[-1]]
+            ux, uy, vx, vy = bx - ax, by - ay, cx - bx, cy - by
+            if ux * vy - uy * vx > STRAIGHT * np.hypot(ux, uy) * np.hypot(vx, vy):
                 break
             kept.pop()
         kept.append(i)

@@ -296,12 +296,15 @@ walk AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY x, y) AS rn FROM hull_spots) WHERE rn = 1
   UNION ALL
   SELECT regime, seq, x, y, x0, y0, heading FROM (
-    SELECT w.regime, w.seq + 1 AS seq, s.x, s.y, w.x0, w.y0, atan2(s.y - w.y, s.x - w.x) AS heading,
-           row_number() OVER (PARTITION BY w.regime ORDER BY
-             -- smallest left turn from the current heading
-             (atan2(s.y - w.y, s.x - w.x) - CASE WHEN w.seq = 0 THEN -pi() / 2 ELSE w.heading END + 4 * pi() + 1e-12)
-               % (2 * pi())) AS rn
-    FROM walk w JOIN hull_spots s ON s.regime = w.regime AND (s.x <> w.x OR s.y <> w.y))
+    SELECT *, row_number() OVER (PARTITION BY regime ORDER BY dist DESC) AS rn FROM (
+      -- smallest left turn from the current heading; of points in line with it, the farthest
+      SELECT *, min(turn) OVER (PARTITION BY regime) AS best FROM (
+        SELECT w.regime, w.seq + 1 AS seq, s.x, s.y, w.x0, w.y0, atan2(s.y - w.y, s.x - w.x) AS heading,
+               (s.x - w.x) ** 2 + (s.y - w.y) ** 2 AS dist,
+               (atan2(s.y - w.y, s.x - w.x) - CASE WHEN w.seq = 0 THEN -pi() / 2 ELSE w.heading END + 4 * pi() + 1e-9)
+                 % (2 * pi()) AS turn
+        FROM walk w JOIN hull_spots s ON s.regime = w.regime AND (s.x <> w.x OR s.y <> w.y)))
+    WHERE turn <= best + 1e-9)
   WHERE rn = 1 AND (x <> x0 OR y <> y0)),
 ring AS (SELECT regime, seq, x, y FROM walk)
 """
