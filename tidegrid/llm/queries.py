@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegrid.llm import mixing, sharding, token_counts
+from tidegrid.llm import line_rules, mixing, secret_scan, sharding, token_counts, warc
 from tidegrid.sources.tables import read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,20 @@ def _(spark, sf_dir):
     )
 
 
+@query("op3_line_rules")
+def _(spark, sf_dir):
+    judged = line_rules.with_line_rules(read_table(spark, sf_dir, "documents"))
+    return judged.select(
+        *"doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words n_lost_words base_failed kept".split()
+    )
+
+
+@query("op5_warc", warc.SQL)
+def _(spark, sf_dir):
+    files = warc.write(read_table(spark, sf_dir, "pages"), f"{shared_folder(spark)}-warc")
+    return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op6_mixing", mixing.SQL)
 def _(spark, sf_dir):
     mixed = mixing.with_copies(read_table(spark, sf_dir, "documents"))
@@ -48,3 +62,9 @@ def _(spark, sf_dir):
 
     cache = token_counts.TokenCache(spark, f"{shared_folder(spark)}-token-cache")
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
+
+
+@query("op8_secret_scan")
+def _(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs)).drop("redacted")
