@@ -1,8 +1,11 @@
-"""Session settings for local tests and the benchmark.  On a cluster the session is given."""
+"""Session settings for local tests and the benchmark, and shipping of the package to executors."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +28,23 @@ def local_session(name: str, cpus: str | int = "*", partitions: int = 8) -> Spar
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers of the session, once per application.
+
+    Tasks that run Python import their functions from it, wherever the process was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidegrid-ship-")) / "tidegrid.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, path.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
