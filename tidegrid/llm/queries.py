@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegrid.llm import line_rules, mixing, secret_scan, sharding, token_counts, warc
+from tidegrid.llm import ctw, line_rules, mixing, secret_scan, sharding, token_counts, toxicity, warc
 from tidegrid.sources.tables import read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,20 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.train(docs)).drop("redacted")
+
+
+@query("op9_toxicity")
+def _(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.with_scores(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op10_context_tree")
+def _(spark, sf_dir):
+    return ctw.lm_scores(read_table(spark, sf_dir, "documents"))
