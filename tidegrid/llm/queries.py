@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegrid.llm import ctw, line_rules, mixing, secret_scan, sharding, token_counts, toxicity, warc
+from tidegrid.llm import ctw, line_rules, mixing, ngram_join, secret_scan, sharding, token_counts, toxicity, warc
 from tidegrid.sources.tables import read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def _(spark, sf_dir):
     )
 
 
+@query("op2_ngram_join")
+def _(spark, sf_dir):
+    return ngram_join.with_components(read_table(spark, sf_dir, "documents"))
+
+
 @query("op3_line_rules")
 def _(spark, sf_dir):
     judged = line_rules.with_line_rules(read_table(spark, sf_dir, "documents"))
