@@ -327,3 +327,22 @@ def with_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     joined = rows.join(by_class, F.col("digest") == F.col("class_digest"), "left")
     # a row whose id stands for another class as well follows that one's component
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document with the least id stays, once.
+
+    Columns and their order stay.  Rows without an id are no document of any component and stay.  Only ids of
+    dropped and of repeated documents meet the rows.
+    """
+    found = materialise(with_components(docs, ngram, percent).where("doc_id IS NOT NULL"))
+    dropped = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct())
+    repeated = materialise(
+        found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
+    )
+    kept = docs.join(dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("drop_id"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    is_again = F.col("doc_id") == F.col("again_id")
+    again = kept.join(repeated, is_again, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, is_again, "left_anti").unionByName(again)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegrid.llm import ctw, line_rules, mixing, ngram_join, secret_scan, sharding, token_counts, toxicity, warc
+from tidegrid.llm import ctw, decontaminate, line_rules, mixing, ngram_join, secret_scan, sharding, token_counts, toxicity, warc
 from tidegrid.sources.tables import read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def _(spark, sf_dir):
     )
 
 
+@query("op4_decontaminate")
+def _(spark, sf_dir):
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_warc", warc.SQL)
 def _(spark, sf_dir):
     files = warc.write(read_table(spark, sf_dir, "pages"), f"{shared_folder(spark)}-warc")
