@@ -3,6 +3,7 @@
 Method of the reader: a task gets a byte range of a file and scans it for the gzip magic; a candidate
 counts as a member only if its first bytes decompress to a WARC header.  A task owns the records
 that start in its range and reads the last one to its end beyond it, so every record is read once.
+(An archive that lies uncompressed inside a payload looks like records to a range that begins inside it.)
 """
 
 from __future__ import annotations

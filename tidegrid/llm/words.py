@@ -22,7 +22,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_STEP = 0xD6E8FEB86659FD93
+_ALL_BITS = (1 << 64) - 1
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -106,19 +107,19 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     w, n, first = words.hashes(), words.counts(), words.first
     total = len(w)
     runs = np.zeros(total, np.uint64)
-    factor = np.uint64(1)
+    factor = 1
     for j in range(size):
-        runs[: total - j] += w[j:] * factor
-        factor = factor * _STEP
+        runs[: max(0, total - j)] += w[j:] * np.uint64(factor)
+        factor = factor * _STEP & _ALL_BITS
     runs = mixed(runs)
     at = np.arange(total) - np.repeat(first[:-1], n)
     keep = at <= np.repeat(n - size, n)
     for i in np.flatnonzero((n > 0) & (n < size)):
-        whole, factor = np.uint64(0), np.uint64(1)
-        for x in w[first[i] : first[i + 1]]:
-            whole = whole + x * factor
-            factor = factor * _STEP
-        runs[first[i]] = mixed(np.array([whole + np.uint64(n[i])], np.uint64))[0]
+        whole, factor = int(n[i]), 1
+        for x in w[first[i] : first[i + 1]].tolist():
+            whole += x * factor
+            factor = factor * _STEP & _ALL_BITS
+        runs[first[i]] = mixed(np.array([whole & _ALL_BITS], np.uint64))[0]
         keep[first[i]] = True
     counts = np.where(n == 0, 0, np.maximum(1, n - size + 1))
     return runs[keep], np.concatenate([[0], np.cumsum(counts)])
