@@ -25,7 +25,9 @@ BUCKETS, LENGTHS, DIMENSIONS = 1 << 16, (3, 4, 5), 8
 #: Words of a passage and between the starts of two.
 PASSAGE, STRIDE = 4, 2
 #: Bound of the training sample: rows of each class, and bytes of text of all.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24 << 20
+#: Bytes of text whose subwords are sorted at a time.
+FIT_BYTES = 1 << 18
 EPOCHS, BATCH, RATE, DECAY, SEED = 14, 512, 0.02, 0.3, 5
 #: Subwords in fewer sampled texts stay at zero; texts that the first log odds are drawn to no difference by.
 LEAST_DOCS, PRIOR_DOCS = 4, 20
@@ -43,10 +45,10 @@ class Subwords:
 
 
 def _layout(column: pa.Array) -> tuple[np.ndarray, words.Words]:
-    """Lower-case bytes with one space before each text and after the last, spaces all alike, and their words."""
+    """Lower-case bytes with one space before each text and some after the last, spaces all alike, and their words."""
     data, offsets = words.text_bytes(column)
     n = len(offsets) - 1
-    spaced = np.full(len(data) + n + 1, 0x20, np.uint8)
+    spaced = np.full(len(data) + n + max(LENGTHS), 0x20, np.uint8)
     spaced[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = words.LOWER[data]
     spaced[words.IS_SPACE[spaced]] = 0x20
     return spaced, words.Words(spaced, offsets + np.arange(n + 1))
@@ -126,6 +128,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(_highest(logits, first, self.empty), -60, 60)))
 
 
+def _word_sums(weight: np.ndarray, ids: np.ndarray, word_first: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each word's subwords; every word has one at least."""
+    out = np.zeros(len(word_first) - 1)
+    step = 100_000
+    for a in range(0, len(out), step):
+        cut = word_first[a : a + step + 1]
+        out[a : a + step] = np.add.reduceat(weight[ids[cut[0] : cut[-1]]], cut[:-1] - cut[0])
+    return out
+
+
 def fit(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     """Embeddings and softmax on the passages that decide, chosen anew in each epoch.
 
@@ -135,7 +147,7 @@ def fit(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     """
     rng, empty = np.random.default_rng(SEED), np.log((share + 1e-3) / (1 - share + 1e-3))
     parts, text_words, sub_first, at = [], [0], [np.zeros(1, np.int64)], 0
-    for part in words.chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+    for part in words.chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text", FIT_BYTES):
         found = subwords(part.column("text"))
         parts.append(found.ids)
         sub_first.append(found.word_first[1:] + at)
@@ -146,7 +158,7 @@ def fit(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     low, high = word_first[start], word_first[end]
     full = np.flatnonzero(np.diff(first) > 0)
     positive = labels == 1
-    if not len(full) or positive.all() or not positive.any():
+    if not len(full) or not len(labels) or positive.all() or not positive.any():
         return Model(np.zeros(BUCKETS), empty, empty)
 
     seen = np.zeros((2, BUCKETS))
@@ -163,8 +175,8 @@ def fit(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     class_weight = np.where(positive, share / positive.mean(), (1 - share) / (~positive).mean())
     step = 0
     for _ in range(EPOCHS):
-        sums = np.concatenate([[0.0], np.cumsum(weight[ids])])
-        mean = (sums[high] - sums[low]) / np.maximum(high - low, 1)
+        sums = np.concatenate([[0.0], np.cumsum(_word_sums(weight, ids, word_first))])
+        mean = (sums[end] - sums[start]) / np.maximum(high - low, 1)
         top = np.array([first[i] + np.argmax(mean[first[i] : first[i + 1]]) for i in full])
         spare = full[labels[full] == 0]
         drawn = first[spare] + (rng.random(len(spare)) * np.diff(first)[spare]).astype(int)
@@ -233,7 +245,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
         yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.bias]), pa.array([model.empty])], ["weight", "bias", "empty"])
 
     spread = picked.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(SEED)), "toxic")
-    weight, bias, empty = spread.select("text", "toxic").mapInArrow(run, "weight binary, bias double, empty double").first()
+    fitted = spread.select("text", "toxic").mapInArrow(run, "weight binary, bias double, empty double").first()
+    if fitted is None:  # no task ran at all
+        return fit(pa.array([], pa.string()), np.zeros(0, int), share)
+    weight, bias, empty = fitted
     return Model(np.frombuffer(weight, np.float32), bias, empty)
 
 
