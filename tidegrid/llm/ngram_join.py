@@ -166,11 +166,15 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _pivot_pairs(percent: int):
-    """Each list's first documents against all later ones, as far as sizes and places in the lists allow a link."""
+    """Each list's first documents against all later ones, as far as sizes and places in the lists allow a link.
+
+    A pair comes with its sizes and with the number of lists of this stretch that hold it.
+    """
+    names = ["x", "y", "nx", "ny", "lists"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, doc, n, pos), starts in _runs(batches, ["token", "doc", "n", "pos"]):
-            ends = np.concatenate([starts[1:], [len(doc)]])
+            n, ends = n.astype(np.int64), np.concatenate([starts[1:], [len(doc)]])
             found = []
             for i in range(PIVOTS):
                 pivot = starts + i
@@ -178,32 +182,42 @@ def _pivot_pairs(percent: int):
                 a = np.repeat(pivot, later)
                 b = a + 1 + np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
                 rest = 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1)
-                fit = _sizes_agree(n[a].astype(np.int64), n[b].astype(np.int64), percent) & (rest >= least_overlap(n[a].astype(np.int64), n[b], percent))
-                found.append(np.stack([np.minimum(doc[a], doc[b])[fit], np.maximum(doc[a], doc[b])[fit]], 1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                fit = (doc[a] != doc[b]) & _sizes_agree(n[a], n[b], percent) & (rest >= least_overlap(n[a], n[b], percent))
+                a, b = a[fit], b[fit]
+                a, b = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
+                found.append(np.stack([doc[a], doc[b], n[a], n[b]], 1))
+            pairs, lists = np.unique(np.concatenate(found), axis=0, return_counts=True)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in pairs.T), pa.array(lists)], names)
 
     return run
 
 
+def _often_enough(percent: int):
+    """Whether the lists that hold a pair suffice, as columns: those that are only probed could give the rest."""
+    share = lambda n: F.ceil(n * percent / 100) - 1
+    need = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    return F.col("lists") + F.greatest(share(F.col("nx")), share(F.col("ny"))) >= need
+
+
 def _minor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each list of several components, each document outside its largest one with those of other components, packed."""
-    for (_, doc, n, _, label), starts in _runs(batches, ["token", "doc", "n", "pos", "label"]):
+    """For each list of several components, each document with those of larger components, packed.
+
+    Larger is by (documents, label) over all documents, so that all lists put a pair to the same one of the two, whose
+    count is then whole.
+    """
+    for (_, doc, n, label, size), starts in _runs(batches, ["token", "doc", "n", "label", "size"]):
         ends = np.concatenate([starts[1:], [len(doc)]])
         mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
         rows = []
         for a, b in zip(starts[mixed], ends[mixed]):
-            names, size = np.unique(label[a:b], return_counts=True)
-            largest = names[np.argmax(size)]
-            members = np.stack([doc[a:b], n[a:b].astype(np.int64)], 1)
-            for i in np.flatnonzero(label[a:b] != largest) + a:
-                # two documents outside the largest component meet once
-                other = (label[a:b] != label[i]) & ((label[a:b] == largest) | (doc[a:b] > doc[i]))
-                partners = members[other]
-                for c in range(0, len(partners), PACK):
-                    rows.append((int(doc[i]), int(n[i]), partners[c : c + PACK].tobytes()))
+            order = a + np.lexsort((label[a:b], size[a:b]))
+            members = np.stack([doc[order], n[order].astype(np.int64)], 1)
+            component = np.concatenate([[0], np.cumsum(label[order][1:] != label[order][:-1])])
+            follows = np.searchsorted(component, component, "right")
+            for i in range(b - a):
+                for c in range(follows[i], b - a, PACK):
+                    rows.append((int(members[i, 0]), int(members[i, 1]), members[c : c + PACK].tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["y", "n", "partners"]
@@ -312,10 +326,17 @@ def with_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
 
     in_lists = shared.repartition("token").sortWithinPartitions("token", spread, "doc")
     wanted = with_id.select(F.col("doc_id").alias("doc"), "text")
-    first = materialise(_linked(in_lists.mapInArrow(_pivot_pairs(percent), "x bigint, y bigint"), wanted, ngram, percent))
+    with_pivots = in_lists.mapInArrow(_pivot_pairs(percent), "x bigint, y bigint, nx bigint, ny bigint, lists bigint")
+    # a pair that misses lists in which neither is a pivot is met again in the second phase
+    often = with_pivots.groupBy("x", "y", "nx", "ny").agg(F.sum("lists").alias("lists")).where(_often_enough(percent))
+    first = materialise(_linked(often.select("x", "y"), wanted, ngram, percent))
     labels = graph.components(first)
+    sizes = labels.groupBy(F.col("label").alias("whole")).agg(F.count(F.lit(1)).alias("size"))
+    sized = labels.join(sizes, F.col("label") == F.col("whole")).select("node", "label", "size")
 
-    labelled = shared.join(labels, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "pos", F.coalesce("label", "doc").alias("label"))
+    labelled = shared.join(sized, F.col("doc") == F.col("node"), "left").select(
+        "token", "doc", "n", F.coalesce("label", "doc").alias("label"), F.coalesce("size", F.lit(1)).alias("size")
+    )
     apart = labelled.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(_minor_rows, "y bigint, n bigint, partners binary")
     partners = apart.repartition("y").sortWithinPartitions("y", "n").mapInArrow(_merge_counted(percent), "x bigint, y bigint")
     second = _linked(partners, wanted, ngram, percent)
