@@ -330,7 +330,7 @@ def with_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     # a pair that misses lists in which neither is a pivot is met again in the second phase
     often = with_pivots.groupBy("x", "y", "nx", "ny").agg(F.sum("lists").alias("lists")).where(_often_enough(percent))
     first = materialise(_linked(often.select("x", "y"), wanted, ngram, percent))
-    labels = graph.components(first)
+    labels = materialise(graph.components(first))
     sizes = labels.groupBy(F.col("label").alias("whole")).agg(F.count(F.lit(1)).alias("size"))
     sized = labels.join(sizes, F.col("label") == F.col("whole")).select("node", "label", "size")
 
@@ -340,7 +340,8 @@ def with_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     apart = labelled.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(_minor_rows, "y bigint, n bigint, partners binary")
     partners = apart.repartition("y").sortWithinPartitions("y", "n").mapInArrow(_merge_counted(percent), "x bigint, y bigint")
     second = _linked(partners, wanted, ngram, percent)
-    final = graph.components(first.union(second))
+    # what the first phase joined is a star around its label by now
+    final = graph.components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(second))
 
     by_class = classes.join(final, F.col("doc") == F.col("node"), "left").select(
         F.col("digest").alias("class_digest"), F.coalesce("label", "doc").alias("component")
