@@ -30,6 +30,8 @@ from tidegrid.sources.tables import materialise
 COUNTERS, PIECES = 1 << 20, 64
 #: Dimensions of the latent space, and rounds of the power iteration of its SVD.
 DIMENSIONS, ROUNDS = 128, 2
+#: Documents above a tenth of all from which a word is common and has no weight.
+COMMON = 100
 #: Words of a benchmark passage; passages in a block, on average.
 PASSAGE, BLOCK = 64, 1000
 #: Words of a segment, and the windows of a document as numbers of segments; they begin at every segment.
@@ -79,6 +81,11 @@ def _add_pieces(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table.column("piece")[:1], "blob": [zlib.compress(total.tobytes(), 1)], "rows": pa.array([rows])})
 
 
+def weights_of(df: np.ndarray, rows: int) -> np.ndarray:
+    """Inverse document frequencies; 0 for words in more than a tenth of the documents (and a few)."""
+    return np.where(df > COMMON + rows / 10, 0, np.log((1 + rows) / (1 + df) + 1)).astype(np.float32)
+
+
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """The weight of each counter, from all rows of ``docs`` (text)."""
     pieces = docs.select("text").mapInArrow(_frequencies, "piece int, blob binary, rows bigint")
@@ -86,7 +93,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     if not found:
         return np.ones(COUNTERS, np.float32)
     df = np.concatenate([np.frombuffer(zlib.decompress(blob), np.int64) for _, blob, _ in found])
-    return np.log((1 + found[0][2]) / (1 + df) + 1).astype(np.float32)
+    return weights_of(df, found[0][2])
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +117,7 @@ def _cells(weights: np.ndarray):
             for passage, blob in zip(batch.column("passage").to_pylist(), batch.column("words")):
                 word, tf = np.unique(np.frombuffer(blob.as_py(), np.int64), return_counts=True)
                 x = tf * weights[_counter(word)].astype(float)
-                x /= np.sqrt((x * x).sum())
+                x /= max(np.sqrt((x * x).sum()), 1e-12)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), passage)), pa.array(word), pa.array(x)], ["passage", "word", "weight"])
 
     return run
@@ -208,9 +215,9 @@ class Block:
     weights: np.ndarray
 
     def answer_terms(self, i: int) -> np.ndarray:
-        """The rarest words of a passage stand for its answer: the benchmark has no column for it."""
-        word = np.unique(self.words[i])
-        return word[np.argsort(-self.weights[_counter(word)], kind="stable")[:ANSWER_TERMS]]
+        """Where the rarest words of a passage are; they stand for its answer, for which the benchmark has no column."""
+        word, at = np.unique(self.words[i], return_index=True)
+        return at[np.argsort(-self.weights[_counter(word)], kind="stable")[:ANSWER_TERMS]]
 
 
 def _block(ids, word_lists, vocabulary: np.ndarray, space: np.ndarray, weights: np.ndarray) -> Block:
@@ -221,12 +228,13 @@ def _block(ids, word_lists, vocabulary: np.ndarray, space: np.ndarray, weights:
     return Block(ids, word_lists, vectors.astype(np.float32), vocabulary, space.astype(np.float32), weights)
 
 
-def subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two sequences of words."""
-    row = np.zeros(len(b) + 1, np.int32)
-    for x in a:
+def subsequence(equal: np.ndarray) -> int:
+    """Length of the longest common subsequence of two sequences, from the table of which of their words agree."""
+    equal = equal[equal.any(1)][:, equal.any(0)]
+    row = np.zeros(equal.shape[1] + 1, np.int32)
+    for same in equal:
         step = row.copy()
-        step[1:] = np.maximum(row[1:], row[:-1] + (b == x))
+        step[1:] = np.maximum(row[1:], row[:-1] + same)
         row = np.maximum.accumulate(step)
     return int(row[-1])
 
@@ -247,7 +255,7 @@ def candidates(block: Block, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     weight = block.weights[_counter(w)]
     length = np.bincount(segment, weight.astype(float) ** 2, len(start))
     at = np.minimum(np.searchsorted(block.vocabulary, w), len(block.vocabulary) - 1)
-    known = np.flatnonzero(block.vocabulary[at] == w)
+    known = np.flatnonzero((block.vocabulary[at] == w) & (weight > 0))
     sums = np.zeros((len(start), DIMENSIONS), np.float32)
     if len(known):
         owner = segment[known]
@@ -263,7 +271,7 @@ def candidates(block: Block, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
             norm[inside] += length[inside + width]
             width += 1
         # a window that the text's end cuts is the same as a shorter one that begins there
-        close = np.flatnonzero((z * z).sum(1) >= MIN_COSINE**2 * norm)
+        close = np.flatnonzero((norm > 0) & (np.einsum("ij,ij->i", z, z) >= MIN_COSINE**2 * norm))
         for a in range(0, len(close), 4096):
             some = close[a : a + 4096]
             cosine = z[some] @ block.vectors.T / np.sqrt(np.maximum(norm[some], 1e-12))[:, None]
@@ -296,9 +304,12 @@ def _leaks(block: Block):
                 for (text, passage), spans in reach.items():
                     mine = block.words[passage]
                     for low, high in spans:
-                        region = w[low:high]
-                        share = subsequence(mine, region) / len(mine)
-                        answer = float(np.isin(answers[passage], region).mean())
+                        equal = mine[:, None] == w[None, low:high]
+                        # no subsequence is longer than the words that occur at all
+                        if equal.any(1).mean() < PARAPHRASE:
+                            continue
+                        share = subsequence(equal) / len(mine)
+                        answer = float(equal[answers[passage]].any(1).mean())
                         if share >= COPY or (share >= PARAPHRASE and answer >= ANSWER_SHARE):
                             item = (text, block.ids[passage][0])
                             best[item] = max(best.get(item, (0.0,)), (share, answer, block.ids[passage][1], int(low - first[text]), int(high - first[text])))
@@ -346,7 +357,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a common subsequence), answer (share of its answer terms), place, first_word and end_word of the region.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored.  Null and empty
-    texts, and items without words, are found nowhere.  Repeated rows are found alike, each with its row; a null
+    texts, items without words and those of common words alone are found nowhere.  Repeated rows are found alike, each with its row; a null
     id stays null.  An empty table on either side gives an empty result.  Texts are searched whole.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
