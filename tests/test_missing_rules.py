@@ -149,11 +149,11 @@ def test_scaling_precedes_the_effort_filter(spark):
     assert got[(None, 8.0)]["time_term"] == 0.0
 
 
-def test_scaling_by_dataset_without_lookup_table(spark, monkeypatch):
-    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", 9.0)], "k string, x double")
-    small = rows(encode.zscore_by(df, "k", {"z": "x"}))
-    monkeypatch.setattr(encode, "small_side", lambda d: d)
-    assert rows(encode.zscore_by(df, "k", {"z": "x"})) == small
+def test_scaling_by_dataset(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0)], "k string, x double")
+    half = 1 / math.sqrt(2)
+    got = {(r["k"], r["x"]): r["z"] for r in encode.zscore_by(df, "k", {"z": "x"}).collect()}
+    assert got == {("a", 1.0): pytest.approx(-half), ("a", 3.0): pytest.approx(half), (None, 5.0): pytest.approx(-half), (None, 9.0): pytest.approx(half)}
 
 
 def test_union_fills_missing_columns(spark):

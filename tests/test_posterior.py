@@ -120,10 +120,11 @@ def test_sample_is_reproducible_and_without_repeats(spark):
 def test_effects_walk_equals_direct_sum(spark):
     rng = np.random.default_rng(4)
     draws = [(i, rng.normal(size=3).tolist(), float(rng.normal())) for i in range(20)]
-    sampled = spark.createDataFrame(draws, "draw long, a array<double>, s double")
+    draws = [(i * 100, a, s) for i, a, s in draws]  # over several blocks
+    table = spark.createDataFrame(draws, "draw long, a array<double>, s double")
     obs = spark.createDataFrame([(o, o % 3 + 1) for o in range(30)], "obs long, idx int")
-    effects = posterior.DrawEffects(sampled, {"a": "idx"}, ["s"], 20)
-    rows = effects.per_draw(effects.attach(posterior.spread(obs, "obs")))
+    effects = posterior.DrawEffects(table, {"a": "idx"}, ["s"])
+    rows = effects.per_draw(posterior.spread(obs, "obs"))
     got = {(r["obs"], r["draw"]): r["v"] for r in rows.select("obs", F.col("p.draw").alias("draw"), (F.col("a") + F.col("p.s")).alias("v")).collect()}
     assert len(got) == 600
     for d, a, s in draws:
@@ -131,10 +132,28 @@ def test_effects_walk_equals_direct_sum(spark):
             assert got[(o, d)] == pytest.approx(a[o % 3] + s)
 
 
+def test_an_unknown_id_does_not_vanish(spark):
+    table = spark.createDataFrame([(1, [0.5, 0.7], [1.0, 2.0], 0.1)], "draw long, a array<double>, b array<double>, s double")
+    effects = posterior.DrawEffects(table, {"a": "i", "b": "j"}, ["s"])
+    for i, j in ((1, 5), (7, 1), (None, 1), (2, None)):
+        obs = spark.createDataFrame([(i, j), (1, 1)], "i int, j int")
+        with pytest.raises(Exception, match="no effect"):
+            effects.per_draw(obs).agg(F.sum("a"), F.sum("b")).collect()
+
+
+def test_observed_path_of_sampled_years(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], [10.0, 20.0], [2, 4])], "x array<double>, dev array<double>, at array<int>")
+    path = lambda **k: df.select(posterior.observed_path(F.col("x"), F.col("dev"), F.lit(1.0), **k)).first()[0]
+    assert path(index=F.col("at")) == [12.0, 24.0]
+    assert path(index=F.col("at"), offset=F.lit(0.5)) == [12.5, 24.5]
+    with pytest.raises(Exception, match="every year"):
+        path()
+
+
 def test_negative_binomial_draws(spark):
     us = np.r_[np.linspace(0.0005, 0.9995, 200), 0.0, 1 - 2**-32]
     frame = pd.DataFrame([(u, m, p) for u in us for m, p in ((0.02, 0.3), (4.0, 1.2), (90.0, 8.0))], columns=["u", "m", "p"])
-    df = spark.createDataFrame(frame).withColumn("k", checks.negbin_draw("u", "m", "p"))
+    df = checks.with_negbin_draw(spark.createDataFrame(frame), "u", "m", "p", "k")
     for r in df.collect():
         cdf, k = 0.0, -1
         while cdf < r["u"] or k < 0:

@@ -60,17 +60,31 @@ def test_buckets_are_monotone(spark):
     assert got == sorted(got)
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_dense_ids_both_ways(spark, small):
+def test_dense_ids(spark):
     values = [f"site-{i * 7919 % 3001}" for i in range(3001)] + ["Zed", "alpha", "é"]
     df = spark.createDataFrame([(v,) for v in values] * 2 + [(None,)], "s string")
-    out = ranks.with_dense_id(df, "s", "id", small=small)
+    out = ranks.with_dense_id(df, "s", "id")
     assert out.count() == len(values) * 2 + 1
     got = {r["s"]: r["id"] for r in out.distinct().collect()}
     expect = {v: i + 1 for i, v in enumerate(sorted(set(values), key=lambda s: s.encode()))}
     assert got == {**expect, None: None}
 
 
+def test_dense_ids_in_spark_order_with_nan_last(spark):
+    df = spark.createDataFrame([(v,) for v in (3.0, 1.0, float("nan"), 2.0, 0.5)], "v double")
+    got = {str(r["v"]): r["id"] for r in ranks.with_dense_id(df, "v", "id").collect()}
+    assert got == {"0.5": 1, "1.0": 2, "2.0": 3, "3.0": 4, "nan": 5}
+
+
+def test_dense_ids_of_each_dataset(spark):
+    rows = [(d, f"s{(i * k) % 97}") for d, k in (("a", 3), ("b", 5), (None, 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "d string, s string")
+    got = {(r["d"], r["s"]): r["id"] for r in ranks.with_dense_id(df, "s", "id", keys=["d"]).collect()}
+    for d in ("a", "b", None):
+        names = sorted({s for e, s in rows if e == d})
+        assert {s: i for (e, s), i in got.items() if e == d} == {s: i + 1 for i, s in enumerate(names)}
+
+
 def test_numbered_within(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": np.where(rng.random(3000) < 0.7, 0, rng.integers(1, 9, 3000)),

@@ -88,10 +88,8 @@ def inside(ring, x, y):
     return hit
 
 
-@pytest.mark.parametrize("small_layer", [20_000, 0])
 @pytest.mark.parametrize("strip", [3.0, 1000.0])
-def test_points_in_polygons_brute_force(spark, strip, small_layer, monkeypatch):
-    monkeypatch.setattr(polygons, "SMALL_LAYER", small_layer)
+def test_points_in_polygons_brute_force(spark, strip):
     rings = {"a": star(40, 1), "b": star(9, 2) + 50}
     rng = np.random.default_rng(9)
     pts = rng.uniform(-120, 160, (600, 2))
@@ -103,6 +101,10 @@ def test_points_in_polygons_brute_force(spark, strip, small_layer, monkeypatch):
     assert len(kept) == expect
     outside = polygons.keep_outside(df, edges, strip).count()
     assert outside == sum(not any(inside(r, *p) for r in rings.values()) for p in pts)
+    # a mask for each period
+    periods = df.withColumn("period", F.when(F.col("x") > 0, "a").otherwise("b"))
+    of_period = polygons.keep_outside(periods, edges, strip, keys=[("period", "poly_id")]).count()
+    assert of_period == sum(not inside(rings["a" if p[0] > 0 else "b"], *p) for p in pts)
 
 
 def brute_hull(points):

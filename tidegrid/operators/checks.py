@@ -55,27 +55,35 @@ def parameter_summary(long: DataFrame, param: str, value: str) -> DataFrame:
     return moments.join(exact_quantiles(long, [param], value, probs), param)
 
 
-@F.pandas_udf(T.LongType())
-def negbin_draw(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Inverse-CDF draw of an NB2 count from (uniform, mean, dispersion), a batch at a time."""
-    for u, mu, phi in frames:
-        target = u.to_numpy(dtype=float)
-        mean = mu.to_numpy(dtype=float)
-        size = phi.to_numpy(dtype=float)
-        ratio = mean / (mean + size)
-        mass = np.exp(size * np.log(size / (mean + size)))
-        cdf = mass.copy()
-        count = np.zeros(len(target), dtype=np.int64)
-        live = np.flatnonzero((target > cdf) & (mass > 0))
-        while len(live):
-            count[live] += 1
-            k = count[live]
-            mass[live] *= (k - 1 + size[live]) / k * ratio[live]
-            cdf[live] += mass[live]
-            # past the mean, a mass below one ulp can no longer move the CDF
-            stuck = (mass[live] < 1e-18) & (k > mean[live])
-            live = live[(target[live] > cdf[live]) & ~stuck]
-        yield pd.Series(count)
+def _negbin_counts(target: np.ndarray, mean: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ratio = mean / (mean + size)
+    mass = np.exp(size * np.log(size / (mean + size)))
+    cdf = mass.copy()
+    count = np.zeros(len(target), dtype=np.int64)
+    live = np.flatnonzero((target > cdf) & (mass > 0))
+    while len(live):
+        count[live] += 1
+        k = count[live]
+        mass[live] *= (k - 1 + size[live]) / k * ratio[live]
+        cdf[live] += mass[live]
+        # past the mean, a mass below one ulp can no longer move the CDF
+        stuck = (mass[live] < 1e-18) & (k > mean[live])
+        live = live[(target[live] > cdf[live]) & ~stuck]
+    return count
+
+
+def with_negbin_draw(df: DataFrame, u: str, mean: str, size: str, out: str) -> DataFrame:
+    """``df`` with the inverse-CDF draw of an NB2 count from a uniform, mean and dispersion, a batch at a time.
+
+    All columns of ``df`` pass through Python: hand over the needed ones only.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            values = (frame[c].to_numpy(dtype=float) for c in (u, mean, size))
+            yield frame.assign(**{out: _negbin_counts(*values)})
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
 
 
 def kernel_density(

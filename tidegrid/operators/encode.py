@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegrid.functions.recode import regime_of
-from tidegrid.operators.lookup import small_side
+from tidegrid.operators.lookup import join_null_safe
 
 
 def zscore_pooled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -31,18 +31,17 @@ def zscore_pooled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def zscore_by(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """The same per dataset.  The statistics table has one row per dataset and its size is
-    checked before it is broadcast; beyond the check it is joined like any other table."""
+    """The same per dataset, by a join with one row of statistics per dataset; NULL is a dataset."""
     aggs = []
     for out, c in columns.items():
         aggs += [F.avg(c).alias(f"__m_{out}"), F.stddev_samp(c).alias(f"__s_{out}")]
-    stats = small_side(df.groupBy(key).agg(*aggs))
+    stats = df.groupBy(key).agg(*aggs)
     scaled = {
         out: F.try_divide(F.col(c) - F.col(f"__m_{out}"), F.col(f"__s_{out}"))
         for out, c in columns.items()
     }
     drop = [f"__{t}_{out}" for out in columns for t in ("m", "s")]
-    return df.join(stats, key, "left").withColumns(scaled).drop(*drop)
+    return join_null_safe(df, stats, [key], "left").withColumns(scaled).drop(*drop)
 
 
 def effort_design(df: DataFrame, time: str = "time", area: str = "area") -> DataFrame:

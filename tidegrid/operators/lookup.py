@@ -1,38 +1,14 @@
-"""Joins that treat NULL as a key, and size-checked lookup tables."""
+"""Joins that treat NULL as a key.
+
+Lookup tables are joined like any other table: adaptive execution sends a side to all tasks once its real
+size allows it, and splits skewed partitions of the rest.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from tidegrid.functions.missing import same_key
-from tidegrid.sources.tables import materialise
-
-LOOKUP_ROWS = 100_000
-LOOKUP_BYTES = 32 << 20
-
-
-def small_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Broadcastable copy of ``df`` when it really is small, else ``df`` unchanged.
-
-    At most ``max_rows + 1`` rows are fetched.  If all of them fit, in number and in bytes, they
-    become a local relation: its exact size is known to the planner and the work behind it is
-    not run again.  Otherwise the caller's join stays an ordinary shuffled join.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > LOOKUP_BYTES:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-
-
-def settled(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Result that several consumers share, computed once: a local relation when it is small,
-    else a table in the shared folder."""
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > LOOKUP_BYTES:
-        return materialise(df)
-    return df.sparkSession.createDataFrame(head, df.schema)
-
-
 def join_null_safe(
     left: DataFrame,
     right: DataFrame,
@@ -59,4 +35,4 @@ def join_null_safe(
 
 def exclude(df: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in the exclusion table (keys, not row numbers, so it is stable)."""
-    return join_null_safe(df, small_side(listed.select(*keys).distinct()), keys, "left_anti")
+    return join_null_safe(df, listed.select(*keys).distinct(), keys, "left_anti")

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegrid.functions.coords import GridSpec
-from tidegrid.operators.lookup import small_side
-
-SMALL_LAYER = 20_000  # edges of a polygon layer that may be attached to rows strip by strip
 
 
 def ring_edges(vertices: DataFrame, keys: list[str], seq: str, x: str, y: str) -> DataFrame:
@@ -63,22 +60,6 @@ def _by_strip(edges: DataFrame, strip: float) -> DataFrame:
     return edges.withColumn("__strip", F.explode(F.sequence(first, last)))
 
 
-def _strip_polygons(edges: DataFrame, strip: float) -> DataFrame | None:
-    """One row per strip with the edges of each polygon there, if the layer is a small one."""
-    if edges.select(F.lit(1)).limit(SMALL_LAYER + 1).count() > SMALL_LAYER:
-        return None
-    edge = F.struct("x1", "y1", "x2", "y2")
-    rings = _by_strip(edges, strip).groupBy("__strip", "poly_id").agg(F.collect_list(edge).alias("edges"))
-    strips = rings.groupBy("__strip").agg(F.collect_list(F.struct("poly_id", "edges")).alias("__polys"))
-    return small_side(strips)
-
-
-def _odd(poly: Column, px: Column, py: Column) -> Column:
-    """Crossing parity of one polygon of a strip."""
-    hits = F.filter(poly["edges"], lambda e: crosses(px, py, lambda c: e[c]))
-    return F.size(hits) % 2 == 1
-
-
 def points_in_polygons(
     points: DataFrame, edges: DataFrame, strip: float, x: str = "x", y: str = "y"
 ) -> DataFrame:
@@ -107,32 +88,37 @@ def points_in_polygons(
 def keep_inside(
     df: DataFrame, edges: DataFrame, strip: float, x: str = "x", y: str = "y"
 ) -> DataFrame:
-    """Rows whose point lies in a polygon, with the polygon's id (inner join).
-
-    A small layer is attached to the rows strip by strip, so the rows are not shuffled at all;
-    beyond that size the distinct points are matched and joined back.
-    """
-    strips = _strip_polygons(edges, strip)
-    if strips is None:
-        return df.join(points_in_polygons(df, edges, strip, x, y), [x, y])
-    rows = df.withColumn("__at", _strip_of(y, strip)).join(strips, F.col("__at") == F.col("__strip"))
-    found = F.filter("__polys", lambda p: _odd(p, F.col(x), F.col(y)))
-    ids = F.transform(found, lambda p: p["poly_id"])
-    return rows.withColumn("poly_id", F.explode(ids)).drop("__at", "__strip", "__polys")
+    """Rows whose point lies in a polygon, with the polygon's id (inner join)."""
+    return df.join(points_in_polygons(df, edges, strip, x, y), [x, y])
 
 
 def keep_outside(
-    df: DataFrame, edges: DataFrame, strip: float, x: str = "x", y: str = "y"
+    df: DataFrame, edges: DataFrame, strip: float, x: str = "x", y: str = "y", keys: list[tuple[str, str]] | None = None
 ) -> DataFrame:
-    """Rows whose point lies in no polygon."""
-    strips = _strip_polygons(edges, strip)
-    if strips is None:
+    """Rows whose point lies in no polygon.
+
+    With ``keys``, pairs of a row's and an edge's column, only polygons of the same key count: a mask
+    for each period.
+    """
+    if not keys:
         return df.join(points_in_polygons(df, edges, strip, x, y), [x, y], "left_anti")
-    rows = df.withColumn("__at", _strip_of(y, strip)).join(
-        strips, F.col("__at") == F.col("__strip"), "left"
+    mine, theirs = zip(*keys)
+    spots = df.select(*mine, F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
+    spots = spots.withColumn("__at", _strip_of("__y", strip))
+    listed = _by_strip(edges, strip).withColumns({f"__k{i}": F.col(t) for i, t in enumerate(theirs)})
+    listed = listed.select("poly_id", "x1", "y1", "x2", "y2", "__strip", *[f"__k{i}" for i in range(len(theirs))])
+    same = (F.col("__at") == F.col("__strip")) & crosses(F.col("__x"), F.col("__y"))
+    for i, m in enumerate(mine):
+        same = same & (F.col(m) == F.col(f"__k{i}"))
+    hits = (
+        spots.join(listed, same)
+        .groupBy(*mine, "__x", "__y", "poly_id")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") % 2 == 1)
+        .select(*mine, F.col("__x").alias(x), F.col("__y").alias(y))
+        .distinct()
     )
-    hit = F.exists("__polys", lambda p: _odd(p, F.col(x), F.col(y)))
-    return rows.where(~F.coalesce(hit, F.lit(False))).drop("__at", "__strip", "__polys")
+    return df.join(hits, [*mine, x, y], "left_anti")
 
 
 def cells_of_convex(edges: DataFrame, key: str, grid: GridSpec, size: float) -> DataFrame:

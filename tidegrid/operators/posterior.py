@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegrid.functions.links import md5_uniform
-from tidegrid.operators.lookup import small_side
 from tidegrid.operators.ranks import exact_quantiles, interval_probs
 
 
@@ -40,9 +39,19 @@ def state_path(
     )
 
 
-def observed_path(x: Column, dev: Column, sd: Column, offset: Column | None = None) -> Column:
-    """Array of (offset +) x[t] + dev[t] * sd."""
-    layer = F.zip_with(x, dev, lambda a, d: a + d * sd)
+def observed_path(
+    x: Column, dev: Column, sd: Column, offset: Column | None = None, index: Column | None = None
+) -> Column:
+    """Array of (offset +) x[t] + dev[i] * sd, one value for each year i in which a source was sampled.
+
+    ``index`` gives the position t of each sampled year in x; without it every year was sampled, and
+    x and dev must be of one length.
+    """
+    if index is None:
+        fits = F.when(F.size(x) == F.size(dev), dev).otherwise(F.raise_error(F.lit("a deviation for every year is needed")))
+        layer = F.zip_with(x, fits, lambda a, d: a + d * sd)
+    else:
+        layer = F.zip_with(index, dev, lambda t, d: F.element_at(x, t) + d * sd)
     if offset is None:
         return layer
     return F.transform(layer, lambda v: v + offset)
@@ -81,60 +90,59 @@ def sample_draws(df: DataFrame, k: int, seed: int, draw: str = "draw") -> DataFr
     return df.orderBy(md5_uniform(seed, draw), draw).limit(k)
 
 
-def effect_arrays(sampled: DataFrame, values: str, index: str) -> DataFrame:
-    """(index, array over the sampled draws in draw order) from one array column.
-
-    The arrays are as long as the sample (a parameter), whatever the number of draws.
-    """
-    long = sampled.select("draw", F.posexplode(values).alias("__p", "__v"))
-    gathered = long.groupBy((F.col("__p") + 1).alias(index)).agg(
-        F.array_sort(F.collect_list(F.struct("draw", "__v"))).alias("__a")
-    )
-    return gathered.select(index, F.transform("__a", lambda s: s["__v"]).alias(values))
+#: Draws that share an array.
+DRAW_BLOCK = 256
+MISSING = "an observation has an id that the draws have no effect for"
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Hash-partition narrow rows over all cores before a step that costs far more per row than
-    a shuffle does.  The explicit number keeps adaptive execution from merging them again."""
+    """Hash-partition narrow rows before a step that costs far more per row than a shuffle does.
+
+    As many partitions as the input has files, and as there are cores, at least; the explicit number
+    keeps adaptive execution from merging them again.
+    """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, len(df.inputFiles()))
     return df.repartition(n, *by)
 
 
 class DrawEffects:
-    """A sample of draws, laid out for walking observations draw by draw.
+    """Draws laid out for walking observations draw by draw, any number of them.
 
-    The sample has k rows (a parameter), so it is fetched once and becomes a local relation.
-    Scalar parameters form one constant array; each vector parameter becomes a table with one
-    array over the draws per id, joined to the observations by that id.  An observation is
-    never joined to the draws themselves.
+    Draws are cut into blocks of DRAW_BLOCK numbers.  Each vector parameter is a table with one row per id
+    and block that holds the effects of the block's draws as an array; scalars have one row per block.
+    An observation meets them through equi-joins on (id, block), and the walk over a block's draws is
+    reduced in the same stage.  Nothing is fetched to the driver.
     """
 
-    def __init__(self, sampled: DataFrame, effects: dict[str, str], scalars: list[str], k: int):
-        self.k = k
+    def __init__(self, draws: DataFrame, effects: dict[str, str], scalars: list[str]):
         self.effects = effects
-        local = small_side(sampled.select("draw", *effects, *scalars), max_rows=k)
-        self._tables = {v: small_side(effect_arrays(local, v, index)) for v, index in effects.items()}
-        self._scalars = local.agg(
-            F.array_sort(F.collect_list(F.struct("draw", *scalars))).alias("s")
-        )
-
-    def attach(self, obs: DataFrame) -> DataFrame:
-        """Observations with one array over the draws per vector parameter."""
-        out = obs
+        block = F.floor(F.col("draw") / DRAW_BLOCK).alias("__block")
+        self._tables = {}
+        for values, index in effects.items():
+            long = draws.select("draw", block, F.posexplode(values).alias("__p", "__v"))
+            self._tables[values] = long.groupBy((F.col("__p") + 1).alias(index), "__block").agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("draw", "__v"))), lambda s: s["__v"]).alias(values)
+            )
+        self._scalars = draws.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("draw", *scalars))).alias("__scalars"))
+
+    def per_draw(self, obs: DataFrame) -> DataFrame:
+        """One row per observation and draw: struct ``p`` of scalars, and one value per vector parameter
+        under its own name.  Meant to be aggregated in the same stage.
+
+        An observation whose id has no effect stops the job: it must not drop out of a likelihood.
+        """
+        out, keys = obs, []
         for values, index in self.effects.items():
-            out = out.join(self._tables[values], index)
-        return out
-
-    def with_scalars(self, attached: DataFrame, name: str = "scalars") -> DataFrame:
-        """The scalar structs as one array column, for use inside a row expression."""
-        return attached.withColumn(name, self._scalars.scalar())
-
-    def per_draw(self, attached: DataFrame) -> DataFrame:
-        """One row per observation and draw: struct ``p`` of scalars, and one value per vector
-        parameter under its own name.  Meant to be aggregated in the same stage."""
-        j = F.col("__j")
-        walked = attached.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(self.k - 1))))
-        return walked.withColumns(
-            {"p": F.get(self._scalars.scalar(), j), **{v: F.get(F.col(v), j) for v in self.effects}}
-        ).where(F.col("p").isNotNull()).drop("__j")
+            table = self._tables[values].withColumnsRenamed({index: "__id", **{k: f"__r{k}" for k in keys}})
+            same = F.col(index) == F.col("__id")
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"__r{k}"))
+            out = out.join(table, same, "left").drop("__id", *[f"__r{k}" for k in keys])
+            keys = ["__block"]
+        out = out.join(self._scalars, "__block", "left")
+        walked = out.select("*", F.posexplode_outer("__scalars").alias("__j", "p"))
+        held = {
+            v: F.coalesce(F.get(F.col(v), F.col("__j")), F.raise_error(F.lit(MISSING)).cast("double")) for v in self.effects
+        }
+        return walked.withColumns(held).drop("__j", "__block", "__scalars")

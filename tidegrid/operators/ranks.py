@@ -8,10 +8,9 @@ so the work of a hot group spreads too.
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegrid.operators.lookup import LOOKUP_ROWS, join_null_safe, small_side
+from tidegrid.operators.lookup import join_null_safe
 from tidegrid.sources.tables import materialise
 
 BUCKETS_PER_E = 64.0  # buckets are about 1.6 % wide
@@ -112,48 +111,43 @@ def interval_probs(level: float = 0.95) -> dict[str, float]:
 
 
 def dense_dictionary(
-    df: DataFrame, column: str, id_name: str, small: int = LOOKUP_ROWS, cuts: int = 256
+    df: DataFrame, column: str, id_name: str, keys: list[str] | None = None, cuts: int = 256
 ) -> DataFrame:
-    """Sorted distinct values with ids 1..n (binary order); NULL has no id.
+    """Sorted distinct values with ids 1..n (Spark's order, NaN last), per ``keys`` if given; NULL has no id.
 
-    Up to ``small`` values are numbered on the driver.  A larger dictionary is written out once
-    and ranked in buckets: the cut points are the values whose hash falls in one class of
-    n / ``cuts``, so about ``cuts`` of them exist at any size, and only they are fetched.
+    The dictionary is written once and ranked in buckets between cut points: the values whose hash
+    falls in one class of n / ``cuts``, so about ``cuts`` of them exist at any size, and only they are
+    fetched.
     """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    head = values.limit(small + 1).toArrow()
-    if head.num_rows <= small:
-        ordered = sorted(head.column(0).to_pylist())
-        table = pa.table({column: pa.array(ordered, head.schema.field(0).type),
-                          id_name: pa.array(range(1, len(ordered) + 1), pa.int64())})
-        schema = T.StructType([values.schema[column], T.StructField(id_name, T.LongType())])
-        return F.broadcast(df.sparkSession.createDataFrame(table, schema))
-
-    values = materialise(values)
+    keys = keys or []
+    values = materialise(df.select(*keys, column).where(F.col(column).isNotNull()).distinct())
     every = max(1, values.count() // cuts)
-    cut_rows = values.where(F.pmod(F.xxhash64(column), F.lit(every)) == 0).collect()
-    cut_list = F.array(*[F.lit(v) for v in sorted(r[0] for r in cut_rows)])
+    cut_rows = values.select(column).distinct().where(F.pmod(F.xxhash64(column), F.lit(every)) == 0).collect()
+    cut_list = F.array(*[F.lit(r[0]) for r in cut_rows]).cast(f"array<{values.schema[column].dataType.simpleString()}>")
     bucketed = values.withColumn(
         "__bucket", F.size(F.filter(cut_list, lambda c: c <= F.col(column)))
     )
-    running = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy("__bucket")
+        bucketed.groupBy(*keys, "__bucket")
         .agg(F.count(F.lit(1)).alias("__in"))
         .withColumn("__before", F.coalesce(F.sum("__in").over(running), F.lit(0)))
         .drop("__in")
     )
-    inside = Window.partitionBy("__bucket").orderBy(column)
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(column)
     return (
-        bucketed.join(offsets, "__bucket")
+        join_null_safe(bucketed, offsets, [*keys, "__bucket"])
         .withColumn(id_name, (F.row_number().over(inside) + F.col("__before")).cast("long"))
-        .select(column, id_name)
+        .select(*keys, column, id_name)
     )
 
 
-def with_dense_id(df: DataFrame, column: str, id_name: str, **options) -> DataFrame:
-    """Attach the 1-based rank of ``column`` among its sorted distinct values."""
-    return df.join(dense_dictionary(df, column, id_name, **options), column, "left")
+def with_dense_id(
+    df: DataFrame, column: str, id_name: str, keys: list[str] | None = None, **options
+) -> DataFrame:
+    """Attach the 1-based rank of ``column`` among its sorted distinct values, per ``keys`` if given."""
+    dictionary = dense_dictionary(df, column, id_name, keys, **options)
+    return join_null_safe(df, dictionary, [*(keys or []), column], "left")
 
 
 def numbered_within(
@@ -162,8 +156,7 @@ def numbered_within(
     """Row number within each group, ordered by ``leading`` and then by the other columns.
 
     ``leading`` cuts the group: offsets come from counts per (group, leading), and only rows
-    that share both are sorted together.  While the offsets are few the rows are shuffled once,
-    for the sort.
+    that share both are sorted together.
     """
     running = (
         Window.partitionBy(*keys).orderBy(leading).rowsBetween(Window.unboundedPreceding, -1)
@@ -176,7 +169,7 @@ def numbered_within(
     )
     inside = Window.partitionBy(*keys, leading).orderBy(*then)
     return (
-        join_null_safe(df, small_side(offsets), [*keys, leading])
+        join_null_safe(df, offsets, [*keys, leading])
         .withColumn(out, (F.row_number().over(inside) + F.col("__before")).cast("long"))
         .drop("__before")
     )

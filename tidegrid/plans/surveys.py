@@ -137,13 +137,14 @@ def location_rollup(
     return combine.union_sources(*parts).distinct()
 
 
-def bycatch_presence(catches: DataFrame, target: str) -> DataFrame:
+def bycatch_presence(catches: DataFrame, target: str, as_given: tuple[str, ...] = ("crab", "prawn")) -> DataFrame:
     """Presence-only records of four fisheries in one schema, from one scan.
 
-    The trap fisheries give longitude without its sign and depth in mixed units; the others give
-    signed degrees and metres.  Longline records need a positive catch.
+    ``as_given`` names the fisheries whose longitude keeps its sign; that of the others is turned to west.
+    Trap fisheries give depth in mixed units, the others metres.  Longline records need a positive catch.
     """
     trap = F.col("fishery").isin("crab", "prawn")
+    kept = F.col("fishery").isin(*as_given) if as_given else F.lit(False)
     lon = degrees_minutes("lon_deg", "lon_min")
     rows = catches.where(
         (F.col("species_code") == target)
@@ -154,7 +155,7 @@ def bycatch_presence(catches: DataFrame, target: str) -> DataFrame:
         F.concat("fishery", F.lit("_catch")).alias("source"),
         "year",
         degrees_minutes("lat_deg", "lat_min").alias("lat"),
-        F.when(trap, lon).otherwise(-lon).alias("lon"),
+        F.when(kept, lon).otherwise(-lon).alias("lon"),
         F.lit(1).alias("presence"),
         F.when(trap, recode.metres("max_depth", "depth_unit")).otherwise(F.col("max_depth")).alias("depth"),
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -53,14 +56,25 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def _shared_base(spark: SparkSession) -> str:
     """Shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    A session on one machine without that setting gets a temporary folder, which goes with the process; on a
+    cluster the setting is needed, since a folder of one machine is not seen by the others.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = tempfile.mkdtemp(prefix="tidegrid-")
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_folder()
     return base.rstrip("/")
 
 
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tidegrid-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name in the shared folder."""
     return f"{_shared_base(spark)}/tidegrid-{uuid.uuid4().hex}"
@@ -79,7 +93,3 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str]) -> None:
     df.write.partitionBy(*partition_by).csv(path, header=True, mode="errorifexists")
-
-
-def write_parquet(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    df.write.partitionBy(*partition_by).parquet(path, mode="errorifexists")

@@ -163,7 +163,7 @@ def location_inputs(spark, sf):
         "counted": of("AF", "AO"),
         "scored": scored.select("lat", "lon", "year", "count", "presence"),
         "early": of("NF").where(F.col("year") < 1998),
-        "strict": of("NO", "RF"),
+        "strict": of("NO", "RF", "NF").where((F.col("source") != "NF") | (F.col("year") >= 1998)),
         "sightings": caught,
         "uncounted": of("RO"),
     }
@@ -188,7 +188,7 @@ def location_inputs(spark, sf):
       UNION ALL SELECT 'early', year, lat, lon, count(*), NULL, NULL, 1 FROM s
                 WHERE source = 'NF' AND year < 1998 AND presence = 1 GROUP BY year, lat, lon
       UNION ALL SELECT source, year, lat, lon, count(*), CASE WHEN count(num_target) = count(*) THEN avg(num_target) END,
-                median(num_target), max(presence) FROM s WHERE source IN ('NO', 'RF') GROUP BY source, year, lat, lon
+                median(num_target), max(presence) FROM s WHERE source IN ('NO', 'RF') OR (source = 'NF' AND year >= 1998) GROUP BY source, year, lat, lon
       UNION ALL SELECT source, year, lat, lon, count(*), 1, 1, 1 FROM caught GROUP BY source, year, lat, lon
       UNION ALL SELECT source, year, lat, lon, count(*), NULL, NULL, max(presence) FROM s WHERE source = 'RO' GROUP BY source, year, lat, lon)
     SELECT source, year, round(lat, 8) AS lat, round(lon, 8) AS lon, num_visits, round(mean_count, 6) AS mean_count,
@@ -255,11 +255,10 @@ def presence_design_table(spark, sf):
     """
     WITH d AS (SELECT s.*, coalesce(area, bottom_time) AS effort FROM deduped s WHERE coalesce(area, bottom_time) IS NOT NULL),
     z AS (SELECT *, (effort - avg(effort) OVER w) / stddev_samp(effort) OVER w AS effort_z,
-                 (num_target - avg(num_target) OVER w) / stddev_samp(num_target) OVER w AS count_z,
-                 dense_rank() OVER (ORDER BY site) AS site_id, dense_rank() OVER (ORDER BY year) AS year_id
+                 dense_rank() OVER (PARTITION BY source ORDER BY site) AS site_id, dense_rank() OVER (PARTITION BY source ORDER BY year) AS year_id
           FROM d WINDOW w AS (PARTITION BY source))
     SELECT source, year, year - 1994 AS tt, year_id, count(*) AS n, sum(site_id)::BIGINT AS site_id_sum,
-           sum(multiple_surveys)::BIGINT AS n_multiple, round(avg(effort_z), 7) + 0e0 AS mean_effort, round(avg(count_z), 7) + 0e0 AS mean_count
+           sum(multiple_surveys)::BIGINT AS n_multiple, round(avg(effort_z), 7) + 0e0 AS mean_effort, round(avg(num_target), 7) + 0e0 AS mean_count
     FROM z GROUP BY ALL
     """,
     ("deduped",),
@@ -268,13 +267,13 @@ def abundance_design_table(spark, sf):
     df = views.deduped(spark, sf).withColumn("effort", F.coalesce("area", "bottom_time"))
     df = df.where(F.col("effort").isNotNull())
     out = designs.abundance_design(
-        df, "source", {"effort_z": "effort", "count_z": "num_target"}, views.FIRST_YEAR - 1,
+        df, "source", {"effort_z": "effort"}, views.FIRST_YEAR - 1,
         {"site": "site_id", "year": "year_id"},
     )
     out = out.groupBy("source", "year", "tt", "year_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("site_id").alias("site_id_sum"),
         F.sum("multiple_surveys").alias("n_multiple"),
-        F.avg("effort_z").alias("mean_effort"), F.avg("count_z").alias("mean_count"),
+        F.avg("effort_z").alias("mean_effort"), F.avg("num_target").alias("mean_count"),
     )
     return round_all(out, "mean_effort", "mean_count", digits=7)
 
@@ -323,7 +322,7 @@ cleaned AS (SELECT *, {X} AS x, {Y} AS y,
     SELECT h.regime, round(hull_km2, 3) AS hull_km2, coalesce(m.n_masked, 0) * {spatial.CELL_KM ** 2}e0 AS eoo_km2, n_cells, n_cells * 4e0 AS area_km2
     FROM (SELECT regime, abs(sum(x1 * y2 - x2 * y1)) / 2 / 1e6 AS hull_km2 FROM hull_edges GROUP BY regime) h
     LEFT JOIN (SELECT regime, count(*) AS n_masked FROM in_hull
-          WHERE NOT (cx > 850003 AND cx < 930017 AND cy > 400007 AND cy < 560011) GROUP BY regime) m USING (regime)
+          WHERE NOT {spatial.MASKED_SQL} GROUP BY regime) m USING (regime)
     JOIN occ USING (regime)
     """,
     ("surveys",),
@@ -375,7 +374,7 @@ def median_change_summary(spark, sf):
     f"""
     WITH {ROLLED_SQL},
     caught AS (SELECT year, lat_deg + lat_min / 60 AS lat, -(lon_deg + lon_min / 60) AS lon FROM catches
-               WHERE species_code = 'TGT' AND fishery IN ('trawl', 'longline') AND (fishery <> 'longline' OR catch_count > 0)),
+               WHERE species_code = 'TGT' AND (fishery <> 'longline' OR catch_count > 0)),
     both_sets AS (SELECT x, y, regime, presence FROM rolled
       UNION ALL SELECT {X} AS x, {Y} AS y, CASE WHEN year <= 1997 THEN 'pre' WHEN year >= 1999 THEN 'post' END, 1 FROM caught),
     cell AS ({cell_sql('both_sets')}),
@@ -388,8 +387,8 @@ def median_change_summary(spark, sf):
     ("surveys", "catches"),
 )
 def presence_change_summary(spark, sf):
-    """Survey presence and catch records together, compared at both resolutions."""
-    caught = surveys.bycatch_presence(views.catches(spark, sf), "TGT").where(F.col("lon") < 0)
+    """Survey presence and the catch records of all four fisheries together, compared at both resolutions."""
+    caught = surveys.bycatch_presence(views.catches(spark, sf), "TGT", as_given=())
     caught = grid.project(caught, views.CRS).withColumn("regime", recode.regime_of("year", AREA_REGIMES))
     columns = ["x", "y", "regime", "presence"]
     both = rolled(spark, sf).select(*columns).unionByName(caught.select(*columns))

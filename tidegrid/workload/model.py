@@ -31,20 +31,16 @@ def observations(spark, sf):
     )
 
 
+def all_draws(spark, sf):
+    return layers(views.params(spark, sf).withColumns(state_columns()))
+
+
 def sampled_draws(spark, sf, k: int):
     """Sampled first, so paths are computed for the sample only."""
     sampled = posterior.sample_draws(views.params(spark, sf), k, SEED)
     return layers(sampled.withColumns(state_columns()))
 
 
-def draw_effects(spark, sf, k: int) -> posterior.DrawEffects:
-    return posterior.DrawEffects(sampled_draws(spark, sf, k), EFFECTS, SCALARS, k)
-
-
-def spread_observations(spark, sf):
-    return posterior.spread(observations(spark, sf), "obs")
-
-
 def predictor(a_yr, a_source, a_site, p):
     effort = F.when(F.col("effort_type") == 1, F.col("time_term") * p["beta_time"]).otherwise(
         F.col("area_term") * p["beta_area"] + p["a_area"]
@@ -52,18 +48,36 @@ def predictor(a_yr, a_source, a_site, p):
     return a_yr + a_site * p["sd_site"] + a_source * p["sd_source"] + effort
 
 
-def eta_rows(spark, sf, k: int = 50):
-    """Survey x sampled-draw rows with the linear predictor, always reduced in the same stage."""
-    effects = draw_effects(spark, sf, k)
-    rows = effects.per_draw(effects.attach(spread_observations(spark, sf)))
+def _with_eta(rows):
     eta = predictor(F.col("obs_base"), F.col("a_source"), F.col("a_site"), F.col("p"))
     return rows.withColumn("eta", eta).withColumn("draw", F.col("p.draw"))
 
 
-def eta_sql(k: int = 50) -> str:
+CELL = ["year_id", "source_id", "site_id", "effort_type", "time_term", "area_term"]
+
+
+def eta_cells(spark, sf, *outcomes: str):
+    """Distinct design cells x all draws with the linear predictor, and ``w``, the surveys of the cell.
+
+    Surveys that agree in the design and the outcomes have the same terms in every draw.
+    """
+    cells = observations(spark, sf).groupBy(*CELL, *outcomes).agg(F.count(F.lit(1)).alias("w"))
+    effects = posterior.DrawEffects(all_draws(spark, sf), EFFECTS, SCALARS)
+    return _with_eta(effects.per_draw(posterior.spread(cells, *CELL)))
+
+
+def eta_rows(spark, sf, k: int | None = None):
+    """Survey x draw rows with the linear predictor, of all draws or of k sampled ones."""
+    draws = all_draws(spark, sf) if k is None else sampled_draws(spark, sf, k)
+    effects = posterior.DrawEffects(draws, EFFECTS, SCALARS)
+    return _with_eta(effects.per_draw(posterior.spread(observations(spark, sf), "obs")))
+
+
+def eta_sql(k: int | None = None) -> str:
+    """The same rows for the oracle: of all draws, or of the k with the lowest hash where sampling is the feature."""
+    chosen = f"ORDER BY ('0x' || substr(md5(concat_ws('|', {SEED}, draw)), 1, 8))::UBIGINT, draw LIMIT {k}" if k else ""
     return f"""
-    sampled AS (SELECT * FROM params
-                ORDER BY ('0x' || substr(md5(concat_ws('|', {SEED}, draw)), 1, 8))::UBIGINT, draw LIMIT {k}),
+    sampled AS (SELECT * FROM params {chosen}),
     obs AS (SELECT *, concat_ws('|', l_orderkey, l_linenumber, l_partkey, site) AS obs_id, num_target AS y,
                    1 + CAST(num_target > 0 AS INTEGER) + CAST(num_target > 1 AS INTEGER)
                      + CAST(num_target > 5 AS INTEGER) + CAST(num_target > 10 AS INTEGER) AS level,
@@ -89,15 +103,15 @@ VIEWS = ("presence_design", "states")
     VIEWS,
 )
 def linear_predictor(spark, sf):
-    out = eta_rows(spark, sf).groupBy("draw").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("eta").alias("mean"),
+    out = eta_cells(spark, sf).groupBy("draw").agg(
+        F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("eta")) / F.sum("w")).alias("mean"),
         F.min("eta").alias("lowest"), F.max("eta").alias("highest"),
     )
     return round_all(out, "mean", "lowest", "highest", digits=7)
 
 
 def loglik_by_draw(rows, term):
-    out = rows.groupBy("draw").agg(F.count(F.lit(1)).alias("n"), F.sum(term).alias("loglik"))
+    out = rows.groupBy("draw").agg(F.sum("w").alias("n"), F.sum(F.col("w") * term).alias("loglik"))
     return round_all(out, "loglik", digits=4)
 
 
@@ -111,7 +125,7 @@ def loglik_by_draw(rows, term):
     VIEWS,
 )
 def loglik_bernoulli(spark, sf):
-    return loglik_by_draw(eta_rows(spark, sf), links.loglik_bernoulli(F.col("presence"), F.col("eta")))
+    return loglik_by_draw(eta_cells(spark, sf, "presence"), links.loglik_bernoulli(F.col("presence"), F.col("eta")))
 
 
 S = lambda k: f"(1 / (1 + exp(-(c{k} - eta))))"
@@ -128,7 +142,7 @@ S = lambda k: f"(1 / (1 + exp(-(c{k} - eta))))"
     VIEWS,
 )
 def loglik_ordinal(spark, sf):
-    rows = eta_rows(spark, sf).where(F.col("y").isNotNull())
+    rows = eta_cells(spark, sf, "level").where(F.col("level").isNotNull())
     return loglik_by_draw(
         rows, links.loglik_ordinal(F.col("level"), F.col("eta"), F.col("p.cuts5"), 5)
     )
@@ -144,7 +158,7 @@ NB_SQL = """(lgamma(y + phi) - lgamma(phi) - lgamma(y + 1) + y * (eta - ln(exp(e
     VIEWS,
 )
 def loglik_negbin(spark, sf):
-    rows = eta_rows(spark, sf).where(F.col("y").isNotNull())
+    rows = eta_cells(spark, sf, "y").where(F.col("y").isNotNull())
     return loglik_by_draw(rows, links.loglik_negbin(F.col("y"), F.col("eta"), F.col("p.phi")))
 
 
@@ -160,58 +174,88 @@ def loglik_negbin(spark, sf):
     VIEWS,
 )
 def loglik_zinb(spark, sf):
-    rows = eta_rows(spark, sf).where(F.col("y").isNotNull()).withColumn(
+    rows = eta_cells(spark, sf, "y").where(F.col("y").isNotNull()).withColumn(
         "nb", links.loglik_negbin(F.col("y"), F.col("eta"), F.col("p.phi"))
     )
     return loglik_by_draw(rows, links.loglik_zinb(F.col("y"), F.col("nb"), F.col("p.theta")))
 
 
-# prior of each scalar parameter: (family, two arguments)
+# prior of each scalar parameter of the presence model: (family, two arguments)
 PRIORS = {
     "x0": ("normal", 0, 5), "u_pre": ("normal", 0, 5), "u_crash": ("normal", 0, 5),
-    "u_post": ("normal", 0, 5), "a_b": ("normal", 0, 5), "a_c": ("normal", 0, 5),
-    "beta_time": ("normal", 0, 5), "beta_area": ("normal", 0, 5), "a_area": ("normal", 0, 5),
-    "theta": ("normal", 0, 3),
+    "u_post": ("normal", 0, 5), "beta_time": ("normal", 0, 5), "beta_area": ("normal", 0, 5),
+    "a_area": ("normal", 0, 5),
     "sd_q": ("gamma", 2, 4), "sd_r": ("gamma", 2, 4), "sd_site": ("gamma", 2, 3),
-    "sd_source": ("gamma", 2, 3), "phi": ("inv_gamma", 5, 5),
+    "sd_source": ("gamma", 2, 3),
+}
+# priors that only the abundance models have, besides those of the two sets of cutpoints
+COUNT_PRIORS = {
+    "a_b": ("normal", 0, 5), "a_c": ("normal", 0, 5), "theta": ("normal", 0, 3), "phi": ("inv_gamma", 5, 5),
 }
 DENSITY = {
     "normal": links.logpdf_normal, "gamma": links.logpdf_gamma, "inv_gamma": links.logpdf_inv_gamma,
 }
 
 
-def log_prior():
+def log_scalars(priors):
     total = F.lit(0.0)
-    for name, (family, a, b) in PRIORS.items():
+    for name, (family, a, b) in priors.items():
         total = total + DENSITY[family](F.col(name), a, b)
+    return total
+
+
+def log_prior():
+    total = log_scalars(PRIORS)
     for vector in ("dev", "obs_dev", "a_site", "a_source"):
         total = total + links.sum_logpdf_std_normal(F.col(vector))
-    return (
-        total
-        + links.logpdf_induced_dirichlet(F.col("cuts5"), 5)
-        + links.logpdf_induced_dirichlet(F.col("cuts7"), 7)
-    )
+    return total
 
 
-def _prior_sql() -> str:
+def _scalars_sql(priors) -> str:
     terms = []
-    for name, (family, a, b) in PRIORS.items():
+    for name, (family, a, b) in priors.items():
         if family == "normal":
             terms.append(f"(-0.5e0 * ({name} / {b}) ** 2 - ln({b} * sqrt(2 * pi())))")
         elif family == "gamma":
             terms.append(f"({a} * ln({b}) - lgamma({a}) + ({a} - 1) * ln({name}) - {b} * {name})")
         else:
             terms.append(f"({a} * ln({b}) - lgamma({a}) - ({a} + 1) * ln({name}) - {b} / {name})")
+    return " + ".join(terms)
+
+
+def _prior_sql() -> str:
+    terms = [_scalars_sql(PRIORS)]
     for lo, hi in ((1, 22), (43, 64), (50, 64), (44, 49)):
         terms.append(f"list_sum([-0.5e0 * v * v - 0.5e0 * ln(2 * pi()) FOR v IN e[{lo}:{hi}]])")
-    for k in (5, 7):
-        terms.append(f"lgamma({k}) + ln({k})")
-        for i in range(1, k):
-            s = f"(1 / (1 + exp(c{i})))"
-            terms.append(f"ln({s} * (1 - {s}))")
+    return " + ".join(terms)
+
+
+def _cuts_sql(levels: int) -> str:
+    terms = [f"lgamma({levels}) + ln({levels})"]
+    for i in range(1, levels):
+        s = f"(1 / (1 + exp(c{i})))"
+        terms.append(f"ln({s} * (1 - {s}))")
     return " + ".join(terms)
 
 
+@query(
+    "count_model_priors",
+    f"""
+    SELECT draw, round({_scalars_sql(COUNT_PRIORS)}, 7) + 0e0 AS scalars, round({_cuts_sql(5)}, 7) + 0e0 AS cuts5,
+           round({_cuts_sql(7)}, 7) + 0e0 AS cuts7 FROM params
+    """,
+    ("params",),
+)
+def count_model_priors(spark, sf):
+    """Log priors of what the count and score models have beyond the presence model."""
+    out = views.params(spark, sf).select(
+        "draw", log_scalars(COUNT_PRIORS).alias("scalars"),
+        links.logpdf_induced_dirichlet(F.col("cuts5"), 5).alias("cuts5"),
+        links.logpdf_induced_dirichlet(F.col("cuts7"), 7).alias("cuts7"),
+    )
+    return round_all(out, "scalars", "cuts5", "cuts7", digits=7)
+
+
 @query(
     "log_posterior_by_draw",
     f"""
@@ -225,12 +269,12 @@ def _prior_sql() -> str:
     VIEWS,
 )
 def log_posterior_by_draw(spark, sf):
-    """Log-likelihood of all surveys plus log-priors for a sample of draws, in one job."""
-    fitted = eta_rows(spark, sf).groupBy("draw").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(links.loglik_bernoulli(F.col("presence"), F.col("eta"))).alias("loglik"),
+    """Log posterior of the presence model: log likelihood of all surveys plus log priors, for every draw."""
+    fitted = eta_cells(spark, sf, "presence").groupBy("draw").agg(
+        F.sum("w").alias("n"),
+        F.sum(F.col("w") * links.loglik_bernoulli(F.col("presence"), F.col("eta"))).alias("loglik"),
     )
-    prior = sampled_draws(spark, sf, 50).select("draw", log_prior().alias("logprior"))
+    prior = views.params(spark, sf).select("draw", log_prior().alias("logprior"))
     out = fitted.join(prior, "draw").withColumn("logpost", F.col("loglik") + F.col("logprior"))
     return round_all(round_all(out, "loglik", "logpost", digits=4), "logprior")
 
@@ -238,7 +282,7 @@ def log_posterior_by_draw(spark, sf):
 # --- predictive checks --------------------------------------------------------------------
 
 
-def replicate_rows(spark, sf, k: int):
+def replicate_rows(spark, sf, k: int | None = None):
     rows = eta_rows(spark, sf, k).withColumn("u", links.md5_uniform(SEED, "draw", "obs"))
     return rows.withColumns(
         {
@@ -262,7 +306,7 @@ YREP_SQL = "CAST(u < 1 / (1 + exp(-eta)) AS INTEGER)"
     VIEWS,
 )
 def posterior_predictive(spark, sf):
-    return replicate_rows(spark, sf, 50).groupBy("draw").agg(
+    return replicate_rows(spark, sf).groupBy("draw").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y_rep").alias("n_present"),
         F.sum("level_rep").alias("level_sum"),
     )
@@ -272,17 +316,17 @@ def posterior_predictive(spark, sf):
 def posterior_predictive_counts(spark, sf):
     """Count replicates walk the NB distribution in Arrow batches; zero-inflated ones first draw
     the extra zero from a second uniform."""
-    rows = eta_rows(spark, sf, 10).withColumns(
+    rows = eta_rows(spark, sf).withColumns(
         {
             "u": links.md5_uniform(SEED, "draw", "obs"),
             "v": links.md5_uniform(SEED + 1, "draw", "obs"),
         }
     )
-    counts = rows.select(
-        "draw",
-        checks.negbin_draw(F.col("u"), F.exp("eta"), F.col("p.phi")).alias("count"),
+    needed = rows.select(
+        "draw", "u", F.exp("eta").alias("mean"), F.col("p.phi").alias("phi"),
         (F.col("v") < links.inv_logit(F.col("p.theta"))).alias("extra_zero"),
     )
+    counts = checks.with_negbin_draw(needed, "u", "mean", "phi", "count")
     return counts.groupBy("draw").agg(
         F.count(F.lit(1)).alias("n"), F.sum("count").alias("total"),
         F.sum(F.when(F.col("extra_zero"), 0).otherwise(F.col("count"))).alias("total_zi"),
@@ -317,7 +361,7 @@ BANDWIDTH = 0.125
 @query(
     "ppc_density",
     f"""
-    WITH {eta_sql()},
+    WITH {eta_sql(50)},
     counts AS (SELECT CAST(draw AS VARCHAR) AS series, {YREP_SQL} AS v, count(*) AS n FROM eta GROUP BY ALL
                UNION ALL SELECT 'y', presence, count(*) FROM obs GROUP BY ALL)
     SELECT series, g AS at, round(sum(n * exp(-0.5e0 * ((g - v) / {BANDWIDTH}) ** 2) / ({BANDWIDTH} * sqrt(2 * pi()))) / sum(n), 8) AS density
@@ -343,23 +387,27 @@ RESID_DRAWS = 250
 
 
 def residual_rows(spark, sf):
-    """Residual and median prediction per survey.  The replicates of a survey live in an array
-    of its own row, so nothing is shuffled per survey and draw."""
-    effects = draw_effects(spark, sf, RESID_DRAWS)
-    df = effects.with_scalars(effects.attach(spread_observations(spark, sf)))
-
-    def replicate(p, i):
-        eta = predictor(F.get("obs_base", i), F.get("a_source", i), F.get("a_site", i), p)
-        u = links.md5_uniform(F.lit(SEED), p["draw"], F.col("obs"))
-        return (u < links.inv_logit(eta)).cast("int")
-
-    sims = df.select("obs", "presence", F.transform("scalars", replicate).alias("sims"))
-    return sims.select(
-        "obs",
-        checks.quantile_residual(
-            F.col("presence"), F.col("sims"), links.md5_uniform(SEED + 2, "obs")
-        ).alias("residual"),
-        checks.array_median(F.col("sims")).alias("fitted"),
+    """Residual and median prediction per survey, over a sample of draws.
+
+    The replicates of a survey are counted in the stage that makes them: how many lie below the
+    observation, how many up to it, and how many are 1, whose share gives their median.  Surveys that
+    agree in everything are one row of work and come out as often as they occur.
+    """
+    seen = observations(spark, sf)
+    surveys = seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("times"))
+    effects = posterior.DrawEffects(sampled_draws(spark, sf, RESID_DRAWS), EFFECTS, SCALARS)
+    rows = _with_eta(effects.per_draw(posterior.spread(surveys, "obs")))
+    rep = (links.md5_uniform(SEED, "draw", "obs") < links.inv_logit("eta")).cast("int")
+    rows = rows.withColumn("rep", rep)
+    counted = rows.groupBy(*seen.columns, "times").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rep").alias("ones"),
+        F.count_if(F.col("rep") < F.col("presence")).alias("below"),
+        F.count_if(F.col("rep") <= F.col("presence")).alias("upto"),
+    )
+    below, upto = F.col("below") / F.col("n"), F.col("upto") / F.col("n")
+    fitted = F.when(2 * F.col("ones") == F.col("n"), 0.5).otherwise((2 * F.col("ones") > F.col("n")).cast("double"))
+    return counted.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(
+        "obs", (below + (upto - below) * links.md5_uniform(SEED + 2, "obs")).alias("residual"), fitted.alias("fitted")
     )
 
 

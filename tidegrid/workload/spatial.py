@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.functions import recode
-from tidegrid.operators import grid, hull, lookup, polygons, ranks
+from tidegrid.operators import grid, hull, polygons, ranks
 from tidegrid.plans import surveys
+from tidegrid.sources import tables
 from tidegrid.workload import views
 from tidegrid.workload.registry import query, round_all
 
 STRIP_M = 10_000.0
 STRIP_DEG = 0.1
 # Clip rectangle of the hull area, in projected metres (an argument, like the water outline).
-MASK = {
-    "mask": [(850_003.0, 400_007.0), (850_003.0, 560_011.0), (930_017.0, 560_011.0), (930_017.0, 400_007.0)]
+# a rectangle to clip each period's hull with: the metres by which it lies east of the first one
+MASK_SHIFT = {"pre": 0.0, "crash": 20_000.0, "post": -20_000.0, "total": 10_000.0}
+MASKS = {
+    period: [(850003.0 + d, 400007.0), (930017.0 + d, 400007.0), (930017.0 + d, 560011.0), (850003.0 + d, 560011.0)]
+    for period, d in MASK_SHIFT.items()
 }
+SHIFT_SQL = "CASE regime WHEN 'pre' THEN 0 WHEN 'crash' THEN 20000 WHEN 'post' THEN -20000 ELSE 10000 END"
+MASKED_SQL = f"(cx > 850003 + {SHIFT_SQL} AND cx < 930017 + {SHIFT_SQL} AND cy > 400007 AND cy < 560011)"
 BOX = (900_000.0, 350_000.0, 1_150_000.0, 600_000.0)
 
 
@@ -355,22 +361,22 @@ in_hull AS (
     SELECT regime, coalesce(n, 0) AS n_cells, coalesce(n, 0) * {CELL_KM * CELL_KM}e0 AS area_km2, round(hull_km2, 3) AS hull_km2
     FROM (SELECT regime, abs(sum(x1 * y2 - x2 * y1)) / 2 / 1e6 AS hull_km2 FROM hull_edges GROUP BY regime)
     LEFT JOIN (SELECT regime, count(*) AS n FROM in_hull
-               WHERE NOT (cx > 850003 AND cx < 930017 AND cy > 400007 AND cy < 560011) GROUP BY regime) USING (regime)
+               WHERE NOT {MASKED_SQL} GROUP BY regime) USING (regime)
     """,
     ("regime_points",),
 )
 def eoo_masked_area(spark, sf):
-    """Hull area by regime after clipping: cells whose centre is in the hull and not in the mask."""
+    """Hull area by regime after clipping: cells whose centre is in the hull and not in the period's mask."""
     ring = hull_rings(spark, sf)
     return round_all(masked_area(spark, ring, "regime"), "area_km2", "hull_km2", digits=3)
 
 
 def masked_area(spark, ring, key):
-    edges = lookup.settled(polygons.ring_edges(lookup.settled(ring), [key], "seq", "x", "y"))
+    edges = tables.materialise(polygons.ring_edges(ring, [key], "seq", "x", "y"))
     size = CELL_KM * 1000
     cells = polygons.cells_of_convex(edges, key, views.GRID, size)
-    mask = polygons.literal_edges(spark, MASK)
-    kept = polygons.keep_outside(cells, mask, STRIP_M)
+    masks = polygons.literal_edges(spark, MASKS)
+    kept = polygons.keep_outside(cells, masks, STRIP_M, keys=[(key, "poly_id")])
     counted = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_cells"))
     whole = polygons.ring_area(edges, [key], unit=1e6).select(key, F.col("area").alias("hull_km2"))
     # a sliver of a hull may hold no cell centre; it still has a row

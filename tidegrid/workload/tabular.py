@@ -64,15 +64,15 @@ def scan_typed_coerce(spark, sf):
 @query(
     "normalise_names",
     """
-    SELECT c_custkey AS dummy_id, c_name AS max_depth, c_nationkey AS date, c_acctbal AS date_2,
-           c_mktsegment AS sum_of4xe FROM customer
+    SELECT c_custkey AS site_id, c_name AS max_depth, c_nationkey AS date, c_acctbal AS date_2,
+           c_mktsegment AS count_of7ab FROM customer
     """,
 )
 def normalise_names(spark, sf):
     raw = tables.read_table(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
-    return tables.normalise_names(raw.toDF("DummyID", "Max. depth", "date", "Date ", "SumOf4XE"))
+    return tables.normalise_names(raw.toDF("SiteID", "Max. depth", "date", "Date ", "CountOf7AB"))
 
 
 @query(
@@ -568,21 +568,27 @@ def effort_catch_join(spark, sf):
     return rollup.count_by(joined.withColumn("presence", flag), "year_x", "year_y", "presence")
 
 
+SOURCES = ["AF", "AO", "NF", "NO", "RF", "RO"]
+
+
 @query(
     "year_spine_join",
     """
     SELECT y.year, round(avg(num_target) FILTER (WHERE source = 'AF'), 6) AS "AF",
+           round(avg(num_target) FILTER (WHERE source = 'AO'), 6) AS "AO",
+           round(avg(num_target) FILTER (WHERE source = 'NF'), 6) AS "NF",
            round(avg(num_target) FILTER (WHERE source = 'NO'), 6) AS "NO",
-           round(avg(num_target) FILTER (WHERE source = 'RF'), 6) AS "RF"
+           round(avg(num_target) FILTER (WHERE source = 'RF'), 6) AS "RF",
+           round(avg(num_target) FILTER (WHERE source = 'RO'), 6) AS "RO"
     FROM (SELECT CAST(unnest(generate_series(1993, 2003)) AS INTEGER) AS year) y
     LEFT JOIN surveys s ON s.year = y.year GROUP BY y.year
     """,
     ("surveys",),
 )
 def year_spine_join(spark, sf):
-    wide = views.surveys(spark, sf).groupBy("year").pivot("source", ["AF", "NO", "RF"]).agg(F.avg("num_target"))
+    wide = views.surveys(spark, sf).groupBy("year").pivot("source", SOURCES).agg(F.avg("num_target"))
     spine = encode.year_spine(spark, 1993, 2003)
-    return round_all(spine.join(wide, "year", "left"), "AF", "NO", "RF")
+    return round_all(spine.join(wide, "year", "left"), *SOURCES)
 
 
 # --- aggregations -------------------------------------------------------------------------
