@@ -61,7 +61,8 @@ def near_copies(seed, groups, copies, length, changes, vocabulary=400):
 
 @pytest.mark.parametrize("percent", [80, 60])
 def test_groups_of_near_copies_at_the_edge(corpus, percent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PIVOTS", 2)  # most links are then left to the second phase
+    for name in ("PIVOTS", "BEST", "TRIES"):
+        monkeypatch.setattr(ngram_join, name, 1)  # most links are then left to the last phase
     rows = near_copies(1, 6, 25, 80, 4) + [(1000 + i, t) for i, t in near_copies(2, 1, 60, 60, 5, 30)]
     assert_exact(rows, corpus(rows), percent)
 

@@ -6,9 +6,9 @@ so at least T - L of the merged lists if L are left to be probed; those that do
 in the sorted n-grams, and kept if the overlap reaches T.  L is the largest that loses no partner.
 
 Groups of near copies would merge into all their pairs.  Equal sets are one class from the start;
-then each list is compared with a few of its own documents, which joins most of a group into one component;
-then only documents of different components meet again, and there every partner is found.  So the
-components are exact, while pairs inside a component are left out once it is connected.
+then each document is compared with the likeliest of a few pivots of its lists, which joins most of a group into
+one component; then only documents of different components meet, first the likeliest partners and in
+the end every one.  So the components are exact, while pairs inside a component are left out once it is connected.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ NGRAM, PERCENT = 5, 80
 #: Counters that tell rare from frequent n-grams, bits that tell whose texts are asked for, and the pieces in which
 #: both travel.  They are of this size for any input.
 COUNTERS, BITS, PIECES = 1 << 20, 1 << 25, 64
-#: Documents of a list that all others of it are compared with at first.
-PIVOTS = 8
+#: Documents of a list that its others are counted with at first, and how many of these a document is compared with.
+PIVOTS, BEST = 3, 2
+#: Likeliest partners in other components that a document is compared with next, before all that are left.
+TRIES = 4
 #: Partners that one row of the second phase carries.
 PACK = 4096
 
@@ -166,14 +168,15 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _pivot_pairs(percent: int):
-    """Each list's first documents against all later ones, as far as sizes and places in the lists allow a link.
+    """Each list's first documents (x, its pivots) with all later ones (y) whose size allows a link.
 
-    A pair comes with its sizes and with the number of lists of this stretch that hold it.
+    A pair comes with its sizes and with the number of lists of this stretch that hold it.  Lists have their documents
+    in one order, so a pair has the same pivot in all of them.
     """
     names = ["x", "y", "nx", "ny", "lists"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, doc, n, pos), starts in _runs(batches, ["token", "doc", "n", "pos"]):
+        for (_, doc, n, _), starts in _runs(batches, ["token", "doc", "n", "pos"]):
             n, ends = n.astype(np.int64), np.concatenate([starts[1:], [len(doc)]])
             found = []
             for i in range(PIVOTS):
@@ -181,11 +184,8 @@ def _pivot_pairs(percent: int):
                 later = np.maximum(ends - pivot - 1, 0)
                 a = np.repeat(pivot, later)
                 b = a + 1 + np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
-                rest = 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1)
-                fit = (doc[a] != doc[b]) & _sizes_agree(n[a], n[b], percent) & (rest >= least_overlap(n[a], n[b], percent))
-                a, b = a[fit], b[fit]
-                a, b = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
-                found.append(np.stack([doc[a], doc[b], n[a], n[b]], 1))
+                fit = (doc[a] != doc[b]) & _sizes_agree(n[a], n[b], percent)
+                found.append(np.stack([doc[a][fit], doc[b][fit], n[a][fit], n[b][fit]], 1))
             pairs, lists = np.unique(np.concatenate(found), axis=0, return_counts=True)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in pairs.T), pa.array(lists)], names)
@@ -200,6 +200,13 @@ def _often_enough(percent: int):
     return F.col("lists") + F.greatest(share(F.col("nx")), share(F.col("ny"))) >= need
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each document's pivots the BEST ones by the lists they share; there are PIVOTS a list at most."""
+    score = F.struct((F.col("lists") / (F.col("nx") + F.col("ny"))).alias("score"), F.col("x"), F.col("y"))
+    ranked = pairs.groupBy("y").agg(F.slice(F.sort_array(F.collect_list(score), asc=False), 1, BEST).alias("best"))
+    return ranked.select(F.explode("best").alias("one")).select("one.x", "one.y")
+
+
 def _minor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each list of several components, each document with those of larger components, packed.
 
@@ -224,13 +231,14 @@ def _minor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _merge_counted(percent: int):
-    """Merges the lists of each document and keeps the partners found in T - L of them."""
+def _merge_counted(percent: int, tries: int | None):
+    """Merges the lists of each document and keeps the partners found in T - L of them: all, or the likeliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ys, ns, blobs), starts in _runs(batches, ["y", "n", "partners"]):
-            ends = np.concatenate([starts[1:], [len(ys)]])
-            for a, b in zip(starts, ends):
+        for (ys, ns, blobs), _ in _runs(batches, ["y", "n", "partners"]):
+            # an id may stand for texts of different sizes
+            starts = np.flatnonzero(np.concatenate([[True], (ys[1:] != ys[:-1]) | (ns[1:] != ns[:-1])]))
+            for a, b in zip(starts, np.concatenate([starts[1:], [len(ys)]])):
                 partners = np.frombuffer(b"".join(blobs[a:b]), np.int64).reshape(-1, 2)
                 # (partner, size) rows are sorted like the heads of a heap of lists would come out
                 who, count = np.unique(partners, axis=0, return_counts=True)
@@ -238,7 +246,10 @@ def _merge_counted(percent: int):
                 probed = np.maximum(n - prefix_length(n, percent), m - prefix_length(m, percent))
                 keep = _sizes_agree(n, m, percent) & (count + probed >= least_overlap(n, m, percent))
                 if keep.any():
-                    z = who[keep, 0]
+                    kept = np.flatnonzero(keep)
+                    if tries is not None:
+                        kept = kept[np.argsort(-count[kept] / (n + m[kept]), kind="stable")[:tries]]
+                    z = who[kept, 0]
                     y = np.full(len(z), ys[a])
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(y, z)), pa.array(np.maximum(y, z))], ["x", "y"])
 
@@ -327,21 +338,22 @@ def with_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     in_lists = shared.repartition("token").sortWithinPartitions("token", spread, "doc")
     wanted = with_id.select(F.col("doc_id").alias("doc"), "text")
     with_pivots = in_lists.mapInArrow(_pivot_pairs(percent), "x bigint, y bigint, nx bigint, ny bigint, lists bigint")
-    # a pair that misses lists in which neither is a pivot is met again in the second phase
     often = with_pivots.groupBy("x", "y", "nx", "ny").agg(F.sum("lists").alias("lists")).where(_often_enough(percent))
-    first = materialise(_linked(often.select("x", "y"), wanted, ngram, percent))
+    first = _linked(_likeliest(often), wanted, ngram, percent)
     labels = materialise(graph.components(first))
-    sizes = labels.groupBy(F.col("label").alias("whole")).agg(F.count(F.lit(1)).alias("size"))
-    sized = labels.join(sizes, F.col("label") == F.col("whole")).select("node", "label", "size")
 
-    labelled = shared.join(sized, F.col("doc") == F.col("node"), "left").select(
-        "token", "doc", "n", F.coalesce("label", "doc").alias("label"), F.coalesce("size", F.lit(1)).alias("size")
-    )
-    apart = labelled.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(_minor_rows, "y bigint, n bigint, partners binary")
-    partners = apart.repartition("y").sortWithinPartitions("y", "n").mapInArrow(_merge_counted(percent), "x bigint, y bigint")
-    second = _linked(partners, wanted, ngram, percent)
-    # what the first phase joined is a star around its label by now
-    final = graph.components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(second))
+    for tries in (TRIES, None):
+        sizes = labels.groupBy(F.col("label").alias("whole")).agg(F.count(F.lit(1)).alias("size"))
+        sized = labels.join(sizes, F.col("label") == F.col("whole")).select("node", "label", "size")
+        labelled = shared.join(sized, F.col("doc") == F.col("node"), "left").select(
+            "token", "doc", "n", F.coalesce("label", "doc").alias("label"), F.coalesce("size", F.lit(1)).alias("size")
+        )
+        apart = labelled.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(_minor_rows, "y bigint, n bigint, partners binary")
+        partners = apart.repartition("y").sortWithinPartitions("y", "n").mapInArrow(_merge_counted(percent, tries), "x bigint, y bigint")
+        more = _linked(partners, wanted, ngram, percent)
+        # what is joined already is a star around its label
+        labels = materialise(graph.components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more)))
+    final = labels
 
     by_class = classes.join(final, F.col("doc") == F.col("node"), "left").select(
         F.col("digest").alias("class_digest"), F.coalesce("label", "doc").alias("component")
