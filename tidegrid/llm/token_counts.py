@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegrid.llm import words
+from tidegrid.sources.tables import materialise
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint, tokenizer string"
 #: Bytes of text that are encoded at a time.
@@ -141,6 +142,7 @@ def token_counts(docs: DataFrame, path: str, cache: TokenCache, limit: int = 512
         "left_semi",
     ).select("digest", "text")
     cache.append(to_encode.mapInArrow(_encoder(path), "digest binary, n_tokens bigint"), version)
-    return keyed.join(cache.counts(version), "digest").select(
+    # written once more, one narrow row a content: a join of two plain tables can split the rows of a hot digest
+    return keyed.join(materialise(cache.counts(version)), "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
