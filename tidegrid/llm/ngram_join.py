@@ -34,7 +34,7 @@ PIVOTS, BEST = 3, 2
 #: Likeliest partners in other components that a document is compared with next, before all that are left.
 TRIES = 4
 #: Partners that one row of the second phase carries.
-PACK = 4096
+PACK = 1024
 
 
 def prefix_length(n, percent: int = PERCENT):
