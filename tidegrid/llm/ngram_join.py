@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidegrid.llm import graph, words
@@ -269,13 +270,21 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([piece, blob], ["piece", "blob"])
 
 
-def _asked_texts(asked: np.ndarray):
-    """Rows whose id may be in the bitmap; others cannot be."""
+def _asked_bits(ids: DataFrame) -> np.ndarray:
+    """The bitmap of the ids in x and y, of a fixed size; a bit may be set for other ids too."""
+    bits = _merged(ids.mapInArrow(_bitmap, "piece int, blob binary"), "u1", np.bitwise_or)
+    return bits if len(bits) else np.zeros(BITS // 8, np.uint8)
+
+
+def _asked_rows(asked: np.ndarray, column: str, wanted: bool = True):
+    """Rows whose id may be in the bitmap, or those whose id cannot be; a null id cannot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _bit(batch.column("doc").to_numpy())
-            keep = (asked[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            ids = batch.column(column)
+            at = _bit(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            maybe = ((asked[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1) & ids.is_valid().to_numpy(zero_copy_only=False)
+            keep = maybe if wanted else ~maybe
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
@@ -303,10 +312,7 @@ def _probe(ngram: int, percent: int):
 def _linked(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """The pairs (x, y) that are links, as edges (u, v).  Only the texts that are asked for move."""
     pairs = materialise(pairs.distinct())
-    asked = _merged(pairs.mapInArrow(_bitmap, "piece int, blob binary"), "u1", np.bitwise_or)
-    if not len(asked):
-        asked = np.zeros(BITS // 8, np.uint8)
-    own = materialise(texts.mapInArrow(_asked_texts(asked), "doc bigint, text string"))
+    own = materialise(texts.mapInArrow(_asked_rows(_asked_bits(pairs), "doc"), "doc bigint, text string"))
     joined = pairs.join(own.select(F.col("doc").alias("y"), F.col("text").alias("y_text")), "y").join(
         own.select(F.col("doc").alias("x"), F.col("text").alias("x_text")), "x"
     )
@@ -374,7 +380,11 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     repeated = materialise(
         found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
     )
-    kept = docs.join(dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("drop_id"), "left_anti")
+    # rows that the bitmap of dropped ids rules out stay where they are; only the others meet the ids
+    asked = _asked_bits(dropped.select(F.col("drop_id").alias("x"), F.col("drop_id").alias("y")))
+    sure = docs.mapInArrow(_asked_rows(asked, "doc_id", wanted=False), docs.schema)
+    maybe = docs.mapInArrow(_asked_rows(asked, "doc_id"), docs.schema)
+    kept = sure.unionByName(maybe.join(dropped, F.col("doc_id") == F.col("drop_id"), "left_anti"))
     if repeated.isEmpty():
         return kept
     is_again = F.col("doc_id") == F.col("again_id")
