@@ -109,3 +109,45 @@ def with_line_rules(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= MAX_LOST * F.col("n_words"))
     )
+
+
+#: The same over whole texts in DuckDB, with its constants written out.
+SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT rid, k, line, words, len(words) AS n FROM (
+    SELECT rid, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line,
+           regexp_extract_all(unnest(ls), '[^\x20\x09-\x0D]+') AS words
+    FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM texts))
+), judged AS (
+  SELECT *, n = 0 OR NOT (
+      len(regexp_extract_all(line, '[#*$%&|<>]')) * 5 > n
+      OR (length(regexp_replace(line, '[^\p{L}]', '', 'g')) > 10
+          AND length(regexp_replace(line, '[^\p{Lu}]', '', 'g')) * 2 > length(regexp_replace(line, '[^\p{L}]', '', 'g')))
+      OR (n >= 8 AND len(list_distinct(words)) * 3 < n)
+      OR (n < 4 AND NOT regexp_matches(line, '[.!?…:;\"''”’»)\]]\s*$'))
+      OR regexp_matches(line, '(?i)^\W*(all rights reserved|licensed under\b|released under\b|this work is licensed\b|copyright\b|©|powered by\b|terms of (use|service)\b|privacy policy\b|cookie (policy|settings)\b|accept (all )?cookies\b|this site uses cookies\b|please enable javascript\b|skip to (main )?content\b|share (this|on)\b|subscribe to\b|sign (in|up)\b|log ?in\b|click here\b|read more\b|back to top\b|lorem ipsum\b)')) AS ok
+  FROM lines
+), per_text AS (
+  SELECT rid, sum(n)::BIGINT AS n_words, coalesce(sum(n) FILTER (NOT ok), 0)::BIGINT AS n_lost_words,
+         count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines
+  FROM judged GROUP BY rid
+), whole AS (
+  SELECT rid, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars FROM texts
+), windows AS (
+  SELECT rid, i, w[i:i + 7] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM whole WHERE len(w) >= 8)
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT rid, sum(least(8, i - before))::BIGINT AS n FROM (
+    SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -8) AS before FROM twice) GROUP BY rid
+), counted AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, n_lost_words,
+         n_words < 20 OR 100 * coalesce(covered.n, 0) > 30 * n_words AS base_failed
+  FROM whole JOIN per_text USING (rid) LEFT JOIN covered USING (rid)
+)
+SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM counted
+"""

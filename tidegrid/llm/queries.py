@@ -41,7 +41,7 @@ def _(spark, sf_dir):
     return ngram_join.with_components(read_table(spark, sf_dir, "documents"))
 
 
-@query("op3_line_rules")
+@query("op3_line_rules", line_rules.SQL)
 def _(spark, sf_dir):
     judged = line_rules.with_line_rules(read_table(spark, sf_dir, "documents"))
     return judged.select(
