@@ -390,3 +390,34 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     is_again = F.col("doc_id") == F.col("again_id")
     again = kept.join(repeated, is_again, "left_semi").dropDuplicates(["doc_id"])
     return kept.join(repeated, is_again, "left_anti").unionByName(again)
+
+
+#: The same in DuckDB, by counting common shingles of all pairs; for small tables.
+SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT rid, s FROM (
+    SELECT rid, w[i:i + 4] AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) >= 5)
+    UNION ALL SELECT rid, w FROM texts WHERE len(w) BETWEEN 1 AND 4)
+), sizes AS (
+  SELECT rid, count(*) AS n FROM shingles GROUP BY rid
+), common AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL
+), links AS (
+  SELECT DISTINCT t.doc_id AS a, u.doc_id AS b
+  FROM common JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y JOIN texts t ON t.rid = x JOIN texts u ON u.rid = y
+  WHERE 100 * k >= 80 * (p.n + q.n - k)
+), edges AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least.b, doc_id))::BIGINT AS component_id
+FROM texts LEFT JOIN sizes USING (rid) LEFT JOIN least ON least.a = doc_id
+"""

@@ -36,7 +36,7 @@ def _(spark, sf_dir):
     )
 
 
-@query("op2_ngram_join")
+@query("op2_ngram_join", ngram_join.SQL)
 def _(spark, sf_dir):
     return ngram_join.with_components(read_table(spark, sf_dir, "documents"))
 
