@@ -48,6 +48,14 @@ def test_copies_and_paraphrases_are_found_and_clean_texts_left(planted):
     assert exact <= got
 
 
+def test_a_large_benchmark_hides_no_copy(spark, corpus):
+    rng = random.Random(8)
+    items = [" ".join(words(rng, 64)) for _ in range(1100)]
+    docs = corpus([(i, f"before it {t} and after") for i, t in enumerate(items)])
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()} == {(i, i) for i in range(1100)}
+
+
 def test_candidate_search_against_all_windows(planted):
     """Recall of the latent cosine: pairs that a subsequence over the whole text would find."""
     docs, benchmark, _ = planted

@@ -1,13 +1,14 @@
 """Benchmark leaks by latent semantic retrieval, then subsequence and answer checks.
 
-Method: benchmark texts are cut into passages; a distributed randomised SVD of their TF-IDF matrix gives a
+Method: benchmark texts are cut into passages and these dealt to groups; the SVD of a group's TF-IDF matrix gives a
 latent space, with inverse document frequencies counted over all documents.  Windows of every document are
-projected into it and meet the passages whose cosine is high enough; a pair of window and passage is a leak if the
+projected into each space and meet the passages whose cosine is high enough; a pair of window and passage is a leak if the
 longest common subsequence of their words covers the passage, or covers much of it and holds
 its answer terms (a paraphrase).
 
 The SVD is one of the benchmark's passages, not of the corpus: the leading directions of a corpus
-tell its languages apart, and what tells one passage from another lies outside of them.
+tell its languages apart, and what tells one passage from another lies outside of them.  A space has as many dimensions
+as its group has passages, so a passage lies in it whole, however many others the benchmark has.
 
 The benchmark is taken in blocks; each is searched for in one scan of all documents, in whose tasks
 cosines and checks are computed where the text is.  Texts are never moved.
@@ -28,13 +29,14 @@ from tidegrid.sources.tables import materialise
 
 #: Counters of document frequencies and the pieces in which they travel (the same at any size).
 COUNTERS, PIECES = 1 << 20, 64
-#: Dimensions of the latent space, and rounds of the power iteration of its SVD.
-DIMENSIONS, ROUNDS = 128, 2
+#: Passages that share a latent space, on average.
+GROUP = 64
 #: Documents above a tenth of all from which a word is common and has no weight.
 COMMON = 100
 #: Words of a benchmark passage; passages in a block, on average.
 PASSAGE, BLOCK = 64, 1000
-#: Words of a segment, and the windows of a document as numbers of segments; they begin at every segment.
+#: Words of a segment, and the windows of a document as numbers of segments, each twice the one before; they begin
+#: at every segment.
 SEGMENT, WINDOWS = 8, (2, 4, 8)
 #: Least cosine of a candidate; the share of a passage that a common subsequence covers for a copy and for a paraphrase;
 #: the answer terms of a passage and the share of them that a paraphrase holds.
@@ -109,109 +111,56 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["item_id", "place", "words"])
 
 
-def _cells(weights: np.ndarray):
-    """The TF-IDF matrix of the passages in rows (passage, word, weight); a passage has length 1."""
+def latent_space(word_lists: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their vectors by weight and the passages' vectors, of length 1: the SVD of a group's TF-IDF matrix.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for passage, blob in zip(batch.column("passage").to_pylist(), batch.column("words")):
-                word, tf = np.unique(np.frombuffer(blob.as_py(), np.int64), return_counts=True)
-                x = tf * weights[_counter(word)].astype(float)
-                x /= max(np.sqrt((x * x).sum()), 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), passage)), pa.array(word), pa.array(x)], ["passage", "word", "weight"])
-
-    return run
-
-
-def _matrix(column) -> np.ndarray:
-    blobs = column.to_pylist()
-    return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), DIMENSIONS)
-
-
-def _vectors(keys: np.ndarray, matrix: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([r.tobytes() for r in matrix], pa.binary())], names)
-
-
-def _signs(word: np.ndarray) -> np.ndarray:
-    """A random test matrix of the SVD, a row for each word, the same in every task."""
-    lanes = np.arange(DIMENSIONS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return np.where(words.mixed(word.view(np.uint64)[:, None] + lanes[None]) >> np.uint64(63), 1.0, -1.0)
-
-
-def _start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        word = batch.column("word").to_numpy()
-        yield _vectors(word, _signs(word), ["word", "vector"])
-
-
-def _summed(key: str):
-    """Sum of weight * vector by key, of all keys of a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS))
-        for batch in batches:
-            mine = batch.column(key).to_numpy()
-            every, at = np.unique(np.concatenate([keys, mine]), return_inverse=True)
-            total = np.zeros((len(every), DIMENSIONS))
-            total[at[: len(keys)]] = sums
-            np.add.at(total, at[len(keys) :], batch.column("weight").to_numpy()[:, None] * _matrix(batch.column("vector")))
-            keys, sums = every, total
-        if len(keys):
-            yield _vectors(keys, sums, [key, "vector"])
-
-    return run
-
-
-def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((DIMENSIONS, DIMENSIONS))
-    for batch in batches:
-        m = _matrix(batch.column("vector"))
-        total += m.T @ m
-    yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], ["one", "gram"])
-
-
-def _add_grams(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b.as_py()) for b in table.column("gram"))
-    return pa.table({"gram": pa.array([total.tobytes()], pa.binary())})
-
-
-def _turned(turn: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _vectors(batch.column("word").to_numpy(), _matrix(batch.column("vector")) @ turn, ["word", "vector"])
+    All directions are kept, so cosines in the space are those of the whole vectors.
+    """
+    vocabulary, at = np.unique(np.concatenate(word_lists), return_inverse=True)
+    row = np.repeat(np.arange(len(word_lists)), [len(w) for w in word_lists])
+    x = np.zeros((len(word_lists), len(vocabulary)))
+    np.add.at(x, (row, at), weights[_counter(vocabulary)][at])
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    value, left = np.linalg.eigh(x @ x.T)
+    kept = value > 1e-9 * max(value.max(), 1e-30)
+    turn = left[:, kept] / np.sqrt(value[kept])
+    return vocabulary, weights[_counter(vocabulary)][:, None] * (x.T @ turn), x @ (x.T @ turn)
+
+
+def _spaces(weights: np.ndarray):
+    """The latent space of a group of passages, in one row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("item_id", "ascending"), ("place", "ascending"), ("words", "ascending")])
+        word_lists = [np.frombuffer(b.as_py(), np.int64) for b in table.column("words")]
+        parts = [x.astype(kind).tobytes() for x, kind in zip(latent_space(word_lists, weights), ("i8", "f4", "f4"))]
+        columns = [table.column(c).to_pylist() for c in ("item_id", "place", "words")]
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
+        names = ["items", "places", "words", "vocabulary", "space", "vectors"]
+        return pa.table({name: pa.array([value], kind) for name, value, kind in zip(names, [*columns, *parts], kinds)})
 
     return run
 
 
-def latent_space(cells: DataFrame) -> DataFrame:
-    """word, vector: the right singular vectors of the cells' matrix, by randomised subspace iteration.
-
-    Each round multiplies with the matrix and its transpose (two joins and sums by key) and makes the columns
-    orthonormal through their Gram matrix, the only thing that is collected.
-    """
-    pair, by_word, by_passage = "passage bigint, vector binary", "word bigint, vector binary", ("passage", "word")
-    space = cells.select("word").distinct().mapInArrow(_start, by_word)
-    for _ in range(ROUNDS):
-        placed = cells.join(space, "word").repartition(by_passage[0]).mapInArrow(_summed("passage"), pair)
-        grown = materialise(cells.join(placed, "passage").repartition(by_passage[1]).mapInArrow(_summed("word"), by_word))
-        parts = grown.mapInArrow(_gram, "one bigint, gram binary").groupBy("one").applyInArrow(_add_grams, "gram binary").collect()
-        gram = np.frombuffer(parts[0][0]).reshape(DIMENSIONS, DIMENSIONS) if parts else np.eye(DIMENSIONS)
-        value, vector = np.linalg.eigh(gram)
-        kept = value > 1e-9 * max(value.max(), 1e-30)
-        turn = np.where(kept, vector / np.sqrt(np.where(kept, value, 1)), 0)
-        space = materialise(grown.mapInArrow(_turned(turn), by_word))
-    return space
+SPACE = "items array<bigint>, places array<int>, words array<binary>, vocabulary binary, space binary, vectors binary"
 
 
 @dataclasses.dataclass
 class Block:
-    """What a scan looks for: passages with their words and latent vectors, and the space of their words."""
+    """What a scan looks for: passages with their words, and by group their latent vectors and those of their words.
+
+    ``vocabulary`` has each word once; ``cut`` says which ``uses`` are whose, rows of a group's space.
+    """
 
     ids: list[tuple[int, int]]
     words: list[np.ndarray]
-    vectors: np.ndarray
     vocabulary: np.ndarray
-    space: np.ndarray
+    cut: np.ndarray
+    group: np.ndarray
+    uses: np.ndarray
+    spaces: list[np.ndarray]
+    members: list[np.ndarray]
+    vectors: list[np.ndarray]
     weights: np.ndarray
 
     def answer_terms(self, i: int) -> np.ndarray:
@@ -220,12 +169,22 @@ class Block:
         return at[np.argsort(-self.weights[_counter(word)], kind="stable")[:ANSWER_TERMS]]
 
 
-def _block(ids, word_lists, vocabulary: np.ndarray, space: np.ndarray, weights: np.ndarray) -> Block:
-    order = np.argsort(vocabulary)
-    vocabulary, space = vocabulary[order], space[order]
-    vectors = np.stack([(weights[_counter(w)][:, None] * space[np.searchsorted(vocabulary, w)]).sum(0) for w in word_lists])
-    vectors /= np.maximum(np.sqrt((vectors**2).sum(1, keepdims=True)), 1e-12)
-    return Block(ids, word_lists, vectors.astype(np.float32), vocabulary, space.astype(np.float32), weights)
+def _block(rows, weights: np.ndarray) -> Block:
+    """Of the rows of ``_spaces``."""
+    ids, word_lists, known, spaces, members, vectors = [], [], [], [], [], []
+    for r in rows:
+        members.append(np.arange(len(ids), len(ids) + len(r["items"])))
+        ids += zip(r["items"], r["places"])
+        word_lists += [np.frombuffer(w, np.int64) for w in r["words"]]
+        known.append(np.frombuffer(r["vocabulary"], np.int64))
+        spaces.append(np.frombuffer(r["space"], np.float32).reshape(len(known[-1]), -1))
+        vectors.append(np.frombuffer(r["vectors"], np.float32).reshape(len(members[-1]), -1))
+    size = [len(k) for k in known]
+    word, uses = np.concatenate(known), np.concatenate([np.arange(n) for n in size])
+    order = np.argsort(word, kind="stable")
+    vocabulary, first = np.unique(word[order], return_index=True)
+    group = np.repeat(np.arange(len(size), dtype=np.int16), size)[order]
+    return Block(ids, word_lists, vocabulary, np.append(first, len(word)), group, uses[order], spaces, members, vectors, weights)
 
 
 def subsequence(equal: np.ndarray) -> int:
@@ -253,31 +212,47 @@ def candidates(block: Block, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     start = first[:-1][text] + step * SEGMENT
     segment = np.repeat(np.arange(len(start)), np.minimum(SEGMENT, first[1:][text] - start))
     weight = block.weights[_counter(w)]
-    length = np.bincount(segment, weight.astype(float) ** 2, len(start))
+    left = np.repeat(per_text, per_text) - step
+    inside = {half: np.flatnonzero(left > half) for half in (width // 2 for width in WINDOWS)}
+
+    def wider(sums: np.ndarray, half: int) -> np.ndarray:
+        # a window that the text's end cuts is the same as a shorter one that begins there
+        out = sums.copy()
+        out[inside[half]] += sums[inside[half] + half]
+        return out
+
+    norms = {1: np.bincount(segment, weight.astype(float) ** 2, len(start))}
+    for width in WINDOWS:
+        norms[width] = wider(norms[width // 2], width // 2)
     at = np.minimum(np.searchsorted(block.vocabulary, w), len(block.vocabulary) - 1)
     known = np.flatnonzero((block.vocabulary[at] == w) & (weight > 0))
-    sums = np.zeros((len(start), DIMENSIONS), np.float32)
-    if len(known):
-        owner = segment[known]
-        cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        sums[owner[cut]] = np.add.reduceat(weight[known][:, None] * block.space[at[known]], cut, axis=0)
+    # each known word with all groups that it is in
+    low, many = block.cut[at[known]], block.cut[at[known] + 1] - block.cut[at[known]]
+    use = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    known = np.repeat(known, many)
+    order = np.argsort(block.group[use], kind="stable")
+    edges = np.searchsorted(block.group[use][order], np.arange(len(block.spaces) + 1))
     out = []
-    left = np.repeat(per_text, per_text) - step
-    z, norm, width = sums.copy(), length.copy(), 1
-    for target in WINDOWS:
-        while width < target:
-            inside = np.flatnonzero(left > width)
-            z[inside] += sums[inside + width]
-            norm[inside] += length[inside + width]
-            width += 1
-        # a window that the text's end cuts is the same as a shorter one that begins there
-        close = np.flatnonzero((norm > 0) & (np.einsum("ij,ij->i", z, z) >= MIN_COSINE**2 * norm))
-        for a in range(0, len(close), 4096):
-            some = close[a : a + 4096]
-            cosine = z[some] @ block.vectors.T / np.sqrt(np.maximum(norm[some], 1e-12))[:, None]
-            row, passage = np.nonzero(cosine >= MIN_COSINE)
-            end = np.minimum(start[some[row]] + target * SEGMENT, first[1:][text[some[row]]])
-            out.append(np.stack([start[some[row]], end, text[some[row]], passage]))
+    for g, (space, vectors, members) in enumerate(zip(block.spaces, block.vectors, block.members)):
+        mine = order[edges[g] : edges[g + 1]]
+        if not len(mine):
+            continue
+        owner, row = segment[known[mine]], block.uses[use[mine]]
+        fresh = np.concatenate([[True], owner[1:] != owner[:-1]])
+        place = np.arange(len(owner)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        z = np.zeros((len(start), space.shape[1]), np.float32)
+        for k in range(SEGMENT):  # far faster than a sum by runs
+            some = np.flatnonzero(place == k)
+            z[owner[some]] += space[row[some]]
+        for width in WINDOWS:
+            z, norm = wider(z, width // 2), norms[width]
+            close = np.flatnonzero((norm > 0) & (np.einsum("ij,ij->i", z, z) >= MIN_COSINE**2 * norm))
+            for a in range(0, len(close), 4096):
+                some = close[a : a + 4096]
+                cosine = z[some] @ vectors.T / np.sqrt(np.maximum(norm[some], 1e-12))[:, None]
+                row, passage = np.nonzero(cosine >= MIN_COSINE)
+                end = np.minimum(start[some[row]] + width * SEGMENT, first[1:][text[some[row]]])
+                out.append(np.stack([start[some[row]], end, text[some[row]], members[passage]]))
     return tuple(np.concatenate(out, 1)) if out else tuple(np.zeros((4, 0), np.int64))
 
 
@@ -329,27 +304,18 @@ LEAK = "doc_id bigint, item_id bigint, covered double, answer double, place int,
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark in blocks, each of which holds about BLOCK passages and their words' vectors."""
+    """The benchmark in blocks, each of which holds about BLOCK passages and the latent spaces of their groups."""
     weights = inverse_frequencies(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain(F.col("text")).alias("text"))
     cut = items.mapInArrow(_passages, "item_id bigint, place int, words binary").distinct()
-    passages = materialise(cut.withColumn("passage", F.xxhash64("item_id", "place", "words")))
-    cells = materialise(passages.mapInArrow(_cells(weights), "passage bigint, word bigint, weight double"))
-    n_blocks = max(1, -(-passages.count() // BLOCK))
-    space = latent_space(cells)
-    in_block = lambda i: F.pmod(F.xxhash64("passage"), F.lit(n_blocks)) == i
-    for i in range(n_blocks):
-        rows = passages.where(in_block(i)).orderBy("item_id", "place").collect()
-        if not rows:
-            continue
-        used = cells.where(in_block(i)).select("word").distinct().join(space, "word").toArrow()
-        yield _block(
-            [(r["item_id"], r["place"]) for r in rows],
-            [np.frombuffer(r["words"], np.int64) for r in rows],
-            used.column("word").to_numpy(),
-            _matrix(used.column("vector")),
-            weights,
-        )
+    passages = materialise(cut)
+    n_groups = max(1, -(-passages.count() // GROUP))
+    group = F.pmod(F.xxhash64("item_id", "place", "words"), F.lit(n_groups))
+    spaces = materialise(passages.groupBy(group.alias("of")).applyInArrow(_spaces(weights), SPACE).withColumn("at", F.monotonically_increasing_id()))
+    per_block = max(1, BLOCK // GROUP)
+    keys = sorted(r["at"] for r in spaces.select("at").collect())
+    for i in range(0, len(keys), per_block):
+        yield _block(spaces.where(F.col("at").between(keys[i], keys[i : i + per_block][-1])).orderBy("at").collect(), weights)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
