@@ -56,6 +56,19 @@ def test_a_large_benchmark_hides_no_copy(spark, corpus):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()} == {(i, i) for i in range(1100)}
 
 
+def test_widespread_passages_and_common_words_are_found(spark, corpus):
+    rng = random.Random(9)
+    common = [f"common{i}" for i in range(30)]
+    spread, usual = words(rng, 40), rng.sample(common, 30)
+    rows, want = [], set()
+    for i in range(600):
+        piece = spread if i % 3 == 0 else usual if i % 50 == 1 else rng.sample(common, 30)
+        want |= {(i, 0)} if i % 3 == 0 else {(i, 1)} if i % 50 == 1 else set()
+        rows.append((i, " ".join(words(rng, 30) + piece + words(rng, 30))))
+    benchmark = spark.createDataFrame([(0, " ".join(spread)), (1, " ".join(usual))], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(corpus(rows), benchmark).collect()} == want
+
+
 def test_candidate_search_against_all_windows(planted):
     """Recall of the latent cosine: pairs that a subsequence over the whole text would find."""
     docs, benchmark, _ = planted

@@ -31,8 +31,6 @@ from tidegrid.sources.tables import materialise
 COUNTERS, PIECES = 1 << 20, 64
 #: Passages that share a latent space, on average.
 GROUP = 64
-#: Documents above a tenth of all from which a word is common and has no weight.
-COMMON = 100
 #: Words of a benchmark passage; passages in a block, on average.
 PASSAGE, BLOCK = 64, 1000
 #: Words of a segment, and the windows of a document as numbers of segments, each twice the one before; they begin
@@ -84,8 +82,8 @@ def _add_pieces(table: pa.Table) -> pa.Table:
 
 
 def weights_of(df: np.ndarray, rows: int) -> np.ndarray:
-    """Inverse document frequencies; 0 for words in more than a tenth of the documents (and a few)."""
-    return np.where(df > COMMON + rows / 10, 0, np.log((1 + rows) / (1 + df) + 1)).astype(np.float32)
+    """Inverse document frequencies, above 0 for words of all documents too: a passage may itself be in most of them."""
+    return np.log((1 + rows) / (1 + df) + 1).astype(np.float32)
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -323,7 +321,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a common subsequence), answer (share of its answer terms), place, first_word and end_word of the region.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored.  Null and empty
-    texts, items without words and those of common words alone are found nowhere.  Repeated rows are found alike, each with its row; a null
+    texts, items without words are found nowhere.  Repeated rows are found alike, each with its row; a null
     id stays null.  An empty table on either side gives an empty result.  Texts are searched whole.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
