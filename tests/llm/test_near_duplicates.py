@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidegrid.llm import graph, ngram_join
@@ -67,6 +69,32 @@ def test_groups_of_near_copies_at_the_edge(corpus, percent, monkeypatch):
     assert_exact(rows, corpus(rows), percent)
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_long_lists_in_blocks_lose_no_link(corpus, percent, monkeypatch):
+    for name in ("PIVOTS", "BEST", "TRIES"):
+        monkeypatch.setattr(ngram_join, name, 1)
+    monkeypatch.setattr(ngram_join, "SPLIT", 5)
+    rows = near_copies(5, 2, 50, 80, 6)
+    assert_exact(rows, corpus(rows), percent)
+
+
+def test_pairs_of_a_list_come_in_bounded_batches(monkeypatch):
+    n = 3000
+    shape = np.full(n, 100 << 32)
+    columns = [np.zeros(n, np.int64), np.arange(n), np.arange(n), np.ones(n, np.int64), shape]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["list", "doc", "label", "size", "shape"])
+    sizes = [sum(len(p.as_py()) // 16 for p in b.column("partners")) for b in ngram_join._minor_rows(80)(iter([batch]))]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= ngram_join.BATCH + n
+
+
+def test_partners_that_cannot_be_links_are_not_sent():
+    sizes, places = [100, 100, 100, 10], [0, 20, 2, 0]
+    columns = [[0] * 4, range(4), range(4), [1] * 4, [(a << 32) + (p << 2) for a, p in zip(sizes, places)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "doc", "label", "size", "shape"])
+    got = {(y, int(z)) for b in ngram_join._minor_rows(80)(iter([batch])) for y, p in zip(b["y"].to_pylist(), b["partners"]) for z in np.frombuffer(p.as_py(), np.int64)[::2]}
+    assert got == {(0, 2)}
+
+
 def test_documents_of_the_test_table(spark, corpus, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert_exact([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], docs)

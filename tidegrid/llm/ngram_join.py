@@ -34,8 +34,10 @@ COUNTERS, BITS, PIECES = 1 << 20, 1 << 25, 64
 PIVOTS, BEST = 3, 2
 #: Likeliest partners in other components that a document is compared with next, before all that are left.
 TRIES = 4
-#: Partners that one row of the second phase carries.
-PACK = 1024
+#: Partners that one row of the second phase carries, and those of one batch of rows.
+PACK, BATCH = 1024, 1 << 18
+#: Lists with more pairs of different components than those of so many documents are cut into blocks.
+SPLIT = 2000
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -158,14 +160,18 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
         yield held, np.zeros(1, np.int64)
 
 
+LISTED = f"{POSTING}, many bigint"
+
+
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of the lists that have two documents or more."""
+    """Postings of the lists that have two documents or more, with their number."""
     names = ["token", "doc", "n", "pos"]
     for columns, starts in _runs(batches, names):
         length = np.diff(np.concatenate([starts, [len(columns[0])]]))
         keep = np.repeat(length > 1, length)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names)
+            many = np.repeat(length, length).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in [*columns, many]], [*names, "many"])
 
 
 def _pivot_pairs(percent: int):
@@ -208,28 +214,62 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return ranked.select(F.explode("best").alias("one")).select("one.x", "one.y")
 
 
-def _minor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_blocks(labelled: DataFrame) -> DataFrame:
+    """The lists (list, doc, label, size and n, pos and side in one number), with long ones of many components cut.
+
+    Documents of a cut list are dealt to blocks, and each pair of blocks is a list of its own, so that no task has all
+    pairs.  In it side tells the blocks apart; it is 0 where all documents meet.
+    """
+    held = labelled.where(F.col("many") > SPLIT).groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    sums = held.groupBy(F.col("token").alias("long")).agg(F.sum("c").alias("all"), F.sum(F.col("c").cast("double") * F.col("c")).alias("same"))
+    apart = F.sqrt(F.col("all").cast("double") * F.col("all") - F.col("same"))
+    cuts = materialise(sums.select("long", F.ceil(apart / SPLIT).cast("int").alias("cuts")).where("cuts > 1"))
+    shape = lambda side: F.expr("shiftleft(cast(n AS bigint), 32) + shiftleft(cast(pos AS bigint), 2)") + side
+    if cuts.isEmpty():
+        return labelled.select(F.col("token").alias("list"), "doc", "label", "size", shape(F.lit(0)).alias("shape"))
+    blocked = labelled.join(cuts, F.col("token") == F.col("long"), "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int"))
+    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    pair = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return blocked.select(F.when(F.col("cuts") == 1, F.col("token")).otherwise(pair).alias("list"), "doc", "label", "size", shape(side).alias("shape"))
+
+
+def _minor_rows(percent: int):
     """For each list of several components, each document with those of larger components, packed.
 
     Larger is by (documents, label) over all documents, so that all lists put a pair to the same one of the two, whose
-    count is then whole.
+    count is then whole.  Partners whose size or place in the list's order allows no link are left out: what two
+    documents share lies before this n-gram in both or after it in both.
     """
-    for (_, doc, n, label, size), starts in _runs(batches, ["token", "doc", "n", "label", "size"]):
-        ends = np.concatenate([starts[1:], [len(doc)]])
-        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        rows = []
-        for a, b in zip(starts[mixed], ends[mixed]):
-            order = a + np.lexsort((label[a:b], size[a:b]))
-            members = np.stack([doc[order], n[order].astype(np.int64)], 1)
-            component = np.concatenate([[0], np.cumsum(label[order][1:] != label[order][:-1])])
-            follows = np.searchsorted(component, component, "right")
-            for i in range(b - a):
-                for c in range(follows[i], b - a, PACK):
-                    rows.append((int(members[i, 0]), int(members[i, 1]), members[c : c + PACK].tobytes()))
+    kinds = (pa.int64(), pa.int64(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for (_, doc, label, size, shape), starts in _runs(batches, ["list", "doc", "label", "size", "shape"]):
+            ends = np.concatenate([starts[1:], [len(doc)]])
+            mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+            for a, b in zip(starts[mixed], ends[mixed]):
+                order = a + np.lexsort((label[a:b], size[a:b]))
+                n, pos, side = shape[order] >> 32, (shape[order] & 0xFFFFFFFF) >> 2, shape[order] & 3
+                members = np.stack([doc[order], n], 1)
+                component = np.concatenate([[0], np.cumsum(label[order][1:] != label[order][:-1])])
+                follows = np.searchsorted(component, component, "right")
+                for i in range(b - a):
+                    m, q = n[follows[i] :], pos[follows[i] :]
+                    most = np.minimum(pos[i], q) + np.minimum(n[i] - pos[i], m - q)
+                    fit = _sizes_agree(n[i], m, percent) & (most >= least_overlap(n[i], m, percent))
+                    partners = members[follows[i] :][fit & ((side[i] == 0) | (side[follows[i] :] != side[i]))]
+                    for c in range(0, len(partners), PACK):
+                        rows.append((int(members[i, 0]), int(n[i]), partners[c : c + PACK].tobytes()))
+                        held += len(partners[c : c + PACK])
+                    if held >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["y", "n", "partners"])
+                        rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["y", "n", "partners"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["y", "n", "partners"])
+
+    return run
 
 
 def _merge_counted(percent: int, tries: int | None):
@@ -339,7 +379,7 @@ def with_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     chosen = prefixes.join(classes.select("doc").where("doc IS NOT NULL").distinct(), "doc", "left_semi")
     spread = F.xxhash64("doc")
     postings = chosen.mapInArrow(_postings, POSTING).repartition("token").sortWithinPartitions("token")
-    shared = materialise(postings.mapInArrow(_shared_lists, POSTING))
+    shared = materialise(postings.mapInArrow(_shared_lists, LISTED))
 
     in_lists = shared.repartition("token").sortWithinPartitions("token", spread, "doc")
     wanted = with_id.select(F.col("doc_id").alias("doc"), "text")
@@ -352,9 +392,10 @@ def with_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
         sizes = labels.groupBy(F.col("label").alias("whole")).agg(F.count(F.lit(1)).alias("size"))
         sized = labels.join(sizes, F.col("label") == F.col("whole")).select("node", "label", "size")
         labelled = shared.join(sized, F.col("doc") == F.col("node"), "left").select(
-            "token", "doc", "n", F.coalesce("label", "doc").alias("label"), F.coalesce("size", F.lit(1)).alias("size")
+            "token", "doc", "n", "pos", "many", F.coalesce("label", "doc").alias("label"), F.coalesce("size", F.lit(1)).alias("size")
         )
-        apart = labelled.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(_minor_rows, "y bigint, n bigint, partners binary")
+        lists = _in_blocks(labelled).repartition("list").sortWithinPartitions("list", "doc")
+        apart = lists.mapInArrow(_minor_rows(percent), "y bigint, n bigint, partners binary")
         partners = apart.repartition("y").sortWithinPartitions("y", "n").mapInArrow(_merge_counted(percent, tries), "x bigint, y bigint")
         more = _linked(partners, wanted, ngram, percent)
         # what is joined already is a star around its label
