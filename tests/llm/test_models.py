@@ -152,6 +152,29 @@ def test_scores_of_odd_rows(judge, odd):
     assert np.allclose(model.scores(texts), [model.scores(texts[i : i + 1])[0] for i in range(len(texts))])
 
 
+def test_each_class_has_its_share_of_the_bytes(spark, corpus):
+    def sample(rows, most):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 7])], ["text", "toxic"]) for a in range(0, len(rows), 7)]
+        texts, y = toxicity.within_bytes(iter(batches), most)
+        assert list(zip(texts.to_pylist(), y.tolist())) == [r for r in rows if r in set(zip(texts.to_pylist(), y.tolist()))]
+        return Counter(y.tolist())
+
+    row = lambda i, k, n: (f"{i} ".ljust(n, "x"), k)
+    late = [row(i, 0, 100) for i in range(100)] + [row(i, 1, 100) for i in range(100)]
+    assert sample(late, 4000) == {0: 20, 1: 20}
+    assert sample(late[:105], 4000) == {0: 35, 1: 5}
+    assert sample([row(0, 0, 9000)] + late, 4000) == {0: 1, 1: 20}
+    assert sample(late, 10**6) == {0: 100, 1: 100}
+    assert sample([], 10) == {}
+
+    # one long clean text used to fill the sample, so that no toxic row was learned from
+    rows = [(i, f"awful nasty words {i}" if i % 2 else "the calm clean text " * 400) for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(corpus(rows), labels, most_bytes=5000)
+    bad, good = model.scores(pa.array(["awful nasty words", "the calm clean text"]))
+    assert bad > good
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0, 0)], [(1, 0, 1), (2, 0, None), (None, 1, 1)]])
 def test_without_two_classes_all_get_the_share(spark, corpus, labels):
     docs = corpus([(1, "a b c"), (2, "d")])

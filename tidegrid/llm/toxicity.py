@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegrid.llm import words
@@ -24,7 +25,7 @@ from tidegrid.llm.folds import remainder
 BUCKETS, LENGTHS, DIMENSIONS = 1 << 16, (3, 4, 5), 8
 #: Words of a passage and between the starts of two.
 PASSAGE, STRIDE = 4, 2
-#: Bound of the training sample: rows of each class, and bytes of text of all.
+#: Bound of the training sample: rows of each class, and bytes of text of all, of which each class may take half.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24 << 20
 #: Bytes of text whose subwords are sorted at a time.
 FIT_BYTES = 1 << 18
@@ -215,11 +216,38 @@ def held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 4) == 2
 
 
+def within_bytes(batches: Iterator[pa.RecordBatch], most_bytes: int) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of each class in their order, whole ones until its bytes are used up.
+
+    A class may take half of the bytes and what the other one leaves, and one text at least.
+    """
+    kept, held = [], [0, 0]
+    for batch in batches:
+        for part in words.chunks(batch, "text", 1 << 20):
+            size, toxic = pc.binary_length(part.column("text")).to_numpy(), part.column("toxic").to_numpy()
+            keep = np.zeros(len(size), bool)
+            for k in (0, 1):
+                mine = np.flatnonzero(toxic == k)
+                keep[mine] = held[k] + np.cumsum(size[mine]) - size[mine] < most_bytes
+                held[k] += int(size[mine][keep[mine]].sum())
+            if keep.any():
+                kept.append(part.filter(pa.array(keep)))
+    if not kept:
+        return pa.array([], pa.string()), np.zeros(0, int)
+    table = pa.Table.from_batches(kept)
+    texts, toxic = table.column("text").combine_chunks(), table.column("toxic").to_numpy()
+    size, keep = pc.binary_length(texts).to_numpy(), np.zeros(len(toxic), bool)
+    for k in (0, 1):
+        mine = np.flatnonzero(toxic == k)
+        keep[mine] = np.cumsum(size[mine]) - size[mine] < max(most_bytes / 2, most_bytes - held[1 - k])
+    return texts.filter(pa.array(keep)), toxic[keep]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from a bounded sample of the labelled rows of ``docs`` that are not held out.
 
     The sample takes ``rows`` ids of each class in the order of a hash, and of their texts as many whole
-    ones as ``most_bytes`` hold.  Labels that are null or of ids without a row teach nothing; with one class
+    ones as ``most_bytes`` hold, with a share for each class.  Labels that are null or of ids without a row teach nothing; with one class
     or none every text gets the share of label 1.  The fit is one task; its result is one number a bucket.
     """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -232,15 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
-        for batch in batches:
-            for part in words.chunks(batch, "text", 1 << 20):
-                if held < most_bytes:
-                    kept.append(part)
-                    held += part.nbytes
-        table = pa.Table.from_batches(kept) if kept else None
-        texts = table.column("text").combine_chunks() if table else pa.array([], pa.string())
-        y = table.column("toxic").to_numpy() if table else np.zeros(0, int)
+        texts, y = within_bytes(batches, most_bytes)
         model = fit(texts, y, share)
         yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.bias]), pa.array([model.empty])], ["weight", "bias", "empty"])
 
