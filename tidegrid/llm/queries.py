@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegrid.llm import ctw, decontaminate, line_rules, mixing, ngram_join, secret_scan, sharding, token_counts, toxicity, warc
+from tidegrid.llm import ctw, decontaminate, line_rules, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts, toxicity, warc
 from tidegrid.sources.tables import read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def _(spark, sf_dir):
 @query("op10_context_tree")
 def _(spark, sf_dir):
     return ctw.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_substring_dedup", substring_dedup.SQL)
+def _(spark, sf_dir):
+    return substring_dedup.without_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
