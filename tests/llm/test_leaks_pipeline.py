@@ -174,3 +174,15 @@ def test_odd_rows_run_through(spark, sf, odd):
         df = corpus_pipeline.materialise(stage(spark, df, sf))
     texts = {r.text for r in df.collect()}
     assert re.compile("long").match(max(texts, key=lambda t: len(t or "")))
+
+
+def test_columns_of_any_name_come_through(spark, sf, odd):
+    names = "mix_source size target copies row drop_id again_id ring_cell ring_held toxic_score item_id label x text_ block".split()
+    docs = odd.withColumns({n: F.concat(F.lit(n), F.xxhash64("doc_id", "text")) for n in names})
+    df = docs
+    for _, stage in corpus_pipeline.STAGES:
+        df = corpus_pipeline.materialise(stage(spark, df, sf))
+    rows = df.collect()
+    assert len(rows) > 5 and df.columns == [*docs.columns, "shard", "slot"]
+    before = {tuple(r) for r in docs.collect()}
+    assert {tuple(r)[: len(docs.columns)] for r in rows} <= before

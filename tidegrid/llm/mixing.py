@@ -76,10 +76,10 @@ def with_copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mixture itself: every document as often as its copies say, with the columns of ``docs``."""
-    columns = docs.columns
-    mixed = with_copies(docs, seed).where(F.col("copies") > 0)
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    """The mixture itself: every document as often as its copies say, with the columns of ``docs``, whatever their names."""
+    held = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    mixed = with_copies(held, seed).where(F.col("copies") > 0)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 SQL = r"""

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidegrid.llm import graph, words
+from tidegrid.llm.folds import unused_names
 from tidegrid.sources.tables import materialise
 
 #: Words of an n-gram, and the similarity of a link in percent.
@@ -316,19 +317,15 @@ def _asked_bits(ids: DataFrame) -> np.ndarray:
     return bits if len(bits) else np.zeros(BITS // 8, np.uint8)
 
 
-def _asked_rows(asked: np.ndarray, column: str, wanted: bool = True):
-    """Rows whose id may be in the bitmap, or those whose id cannot be; a null id cannot."""
+def _may_be_asked(asked: np.ndarray):
+    """Whether an id may be in the bitmap; a null id cannot.  Only ids go through Python, the rows' other columns don't."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(column)
-            at = _bit(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            maybe = ((asked[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1) & ids.is_valid().to_numpy(zero_copy_only=False)
-            keep = maybe if wanted else ~maybe
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+    @F.arrow_udf("boolean")
+    def test(ids: pa.Array) -> pa.Array:
+        at = _bit(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        return pa.array(((asked[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1) & ids.is_valid().to_numpy(zero_copy_only=False))
 
-    return run
+    return test
 
 
 def _probe(ngram: int, percent: int):
@@ -352,7 +349,7 @@ def _probe(ngram: int, percent: int):
 def _linked(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """The pairs (x, y) that are links, as edges (u, v).  Only the texts that are asked for move."""
     pairs = materialise(pairs.distinct())
-    own = materialise(texts.mapInArrow(_asked_rows(_asked_bits(pairs), "doc"), "doc bigint, text string"))
+    own = materialise(texts.where(_may_be_asked(_asked_bits(pairs))("doc")))
     joined = pairs.join(own.select(F.col("doc").alias("y"), F.col("text").alias("y_text")), "y").join(
         own.select(F.col("doc").alias("x"), F.col("text").alias("x_text")), "x"
     )
@@ -417,18 +414,17 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     dropped and of repeated documents meet the rows.
     """
     found = materialise(with_components(docs, ngram, percent).where("doc_id IS NOT NULL"))
-    dropped = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct())
+    drop_id, again_id = unused_names(docs, "drop_id", "again_id")
+    dropped = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias(drop_id)).distinct())
     repeated = materialise(
-        found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
+        found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(again_id)).count().where("count > 1").select(again_id)
     )
     # rows that the bitmap of dropped ids rules out stay where they are; only the others meet the ids
-    asked = _asked_bits(dropped.select(F.col("drop_id").alias("x"), F.col("drop_id").alias("y")))
-    sure = docs.mapInArrow(_asked_rows(asked, "doc_id", wanted=False), docs.schema)
-    maybe = docs.mapInArrow(_asked_rows(asked, "doc_id"), docs.schema)
-    kept = sure.unionByName(maybe.join(dropped, F.col("doc_id") == F.col("drop_id"), "left_anti"))
+    maybe = F.coalesce(_may_be_asked(_asked_bits(dropped.select(F.col(drop_id).alias("x"), F.col(drop_id).alias("y"))))("doc_id"), F.lit(False))
+    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(dropped, F.col("doc_id") == F.col(drop_id), "left_anti"))
     if repeated.isEmpty():
         return kept
-    is_again = F.col("doc_id") == F.col("again_id")
+    is_again = F.col("doc_id") == F.col(again_id)
     again = kept.join(repeated, is_again, "left_semi").dropDuplicates(["doc_id"])
     return kept.join(repeated, is_again, "left_anti").unionByName(again)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegrid.llm import ctw, decontaminate, line_rules, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts, toxicity, warc
+from tidegrid.llm import ctw, decontaminate, line_rules, mixing, ngram_join, periodic_runs, secret_scan, sharding, substring_dedup, token_alignment, token_counts, toxicity, warc
 from tidegrid.sources.tables import read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,26 @@ def _(spark, sf_dir):
 @query("op13_substring_dedup", substring_dedup.SQL)
 def _(spark, sf_dir):
     return substring_dedup.without_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op12_periodic_runs")
+def _(spark, sf_dir):
+    found = periodic_runs.find_runs(periodic_runs.with_planted_runs(read_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op11_token_alignment")
+def _(spark, sf_dir):
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(read_table(spark, sf_dir, "documents"), *paths)

@@ -86,7 +86,7 @@ def with_shards(docs: DataFrame, shards: int, slack: float = 0.0, nodes: int = N
     Without slack the counts of two shards differ by one at most; with slack a shard holds at most
     (1 + slack) times the mean.  A null id is placed by its text, null text is like no text.  Rows that
     agree in id and text are interchangeable.  An empty table stays empty.  Columns named shard or
-    slot in ``docs`` are replaced; other names starting with ring_ are taken for the work.
+    slot in ``docs`` are replaced; all others stay, whatever their names.
 
     The collected and the sent table have at most ``cells`` and ``cells * PARTS`` rows, at any size.
     """
@@ -95,7 +95,8 @@ def with_shards(docs: DataFrame, shards: int, slack: float = 0.0, nodes: int = N
     place = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
     place = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).otherwise(place)
     keyed = docs.select(
-        *columns,
+        F.struct(*columns).alias("ring_held"),
+        F.col("doc_id").alias("ring_id"),
         F.pmod(place, F.lit(cells)).cast("int").alias("ring_cell"),
         F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(PARTS)).cast("int").alias("ring_part"),
         F.xxhash64("doc_id", "text").alias("ring_order"),
@@ -110,14 +111,14 @@ def with_shards(docs: DataFrame, shards: int, slack: float = 0.0, nodes: int = N
     earlier = Window.partitionBy("ring_cell").orderBy("ring_part").rowsBetween(Window.unboundedPreceding, -1)
     table = parts.withColumn("ring_before", F.coalesce(F.sum("ring_n").over(earlier), F.lit(0))).drop("ring_n")
     table = table.join(segments.withColumnRenamed("segments", "ring_segments"), F.col("ring_cell") == F.col("cell")).drop("cell")
-    inside = Window.partitionBy("ring_cell", "ring_part").orderBy("ring_order", "doc_id")
+    inside = Window.partitionBy("ring_cell", "ring_part").orderBy("ring_order", "ring_id")
     ranked = keyed.withColumn("ring_row", F.row_number().over(inside))
     found = ranked.join(F.broadcast(table), ["ring_cell", "ring_part"]).withColumn(
         "ring_rank", F.col("ring_before") + F.col("ring_row") - 1
     )
     mine = F.filter("ring_segments", lambda s: (F.col("ring_rank") >= s["lo"]) & (F.col("ring_rank") < s["hi"]))[0]
     return found.withColumn("ring_mine", mine).select(
-        *columns,
+        "ring_held.*",
         F.col("ring_mine.shard").alias("shard"),
         (F.col("ring_mine.base") + F.col("ring_rank") - F.col("ring_mine.lo")).alias("slot"),
     )

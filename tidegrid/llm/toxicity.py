@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegrid.llm import words
 from tidegrid.llm.folds import remainder
@@ -272,17 +272,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
     return Model(np.frombuffer(weight, np.float32), bias, empty)
 
 
+def scores_of(model: Model):
+    """The score of a text column, from the texts alone: other columns of the rows stay out of Python."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = words.chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text")
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores(p.column("text")) for p in parts)]))
+
+    return score
+
+
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (text, ...) with toxic_score, a column of this name being replaced.
 
     Null and empty texts score as an empty bag.  A row is scored by itself and from its text alone:
     repeated rows score alike, an empty table stays empty, long texts are cut into passages.
     """
-    docs = docs.drop("toxic_score")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.chunks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(part.column("text")))], [*part.schema.names, "toxic_score"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
+    return docs.drop("toxic_score").withColumn("toxic_score", scores_of(model)(F.col("text")))
