@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold, by a model of the labelled rows that are not held out."""
     ship_package(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model).where(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return docs.where(toxicity.scores_of(model)(F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
