@@ -6,8 +6,8 @@ decide what is removed.  Of the repeated ones, a sparse set that both documents
 length, and again, until no candidate survives; this tells how long the passages are.
 
 Texts lie in packs of a few MB.  A level sends each window of a pack once, with the least and greatest id that has it
-there, to the bucket of its hash; the answer goes back to the packs.  So what a bucket or pack holds is bounded,
-however often a passage occurs, and whole copies leave before any window of theirs is sent.
+there, to the bucket of its hash; two bits a window come back.  So what a bucket or pack holds is bounded,
+however often a passage occurs, and whole copies leave before any window of WINDOW words of theirs is sent.
 """
 
 from __future__ import annotations
@@ -30,9 +30,11 @@ SPREAD = 2 * WINDOW
 PACK_BYTES, BUCKET_WORDS = 4 << 20, 1 << 20
 #: A null id counts as later than all others.
 LAST = 2**63 - 1
+#: Above all hashes of windows but one, and the seed of the second hash.
+NONE, SECOND = ~np.uint64(0), 0x5851F42D4C957F2D
 
 ROW = "kind string, block bigint, at bigint, id bigint, h binary, c binary, lo binary, hi binary, pack binary"
-ANSWER = "block bigint, h binary, c binary, lo binary, copies array<bigint>"
+ANSWER = "block bigint, at bigint, repeated binary, earlier binary, copies array<bigint>"
 _ROW_NAMES = [part.split()[0] for part in ROW.split(", ")]
 _ROW_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
 _STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("longest", pa.int64())])
@@ -61,110 +63,125 @@ class Windows:
     def __init__(self, texts: pa.Array):
         found = words.Words(*words.text_bytes(texts))
         self.counts, self.owner, self.first = found.counts(), found.owner(), found.first
-        value = found.hashes()
-        self.total = len(value)
+        self.value = found.hashes()
+        self.total = len(self.value)
         self.left = np.repeat(self.first[1:], self.counts) - np.arange(self.total)  # words from here to the text's end
-        up, self.down = words._power_tables(self.total + 1)
-        self.sums = []
-        for seed in (0, 0x5851F42D4C957F2D):
-            sums = np.zeros(self.total + 1, np.uint64)
-            np.cumsum(words.mixed(value ^ np.uint64(seed)) * up[: self.total], out=sums[1:])
-            self.sums.append(sums)
-
-    def hashes(self, length: int, at: np.ndarray, which: int = 0) -> np.ndarray:
-        sums = self.sums[which]
+        self.up, self.down = words._power_tables(self.total + 1)
+        self.sums: dict[int, np.ndarray] = {}
+
+    def hashes(self, length: int, at: np.ndarray, seed: int = 0) -> np.ndarray:
+        if seed not in self.sums:
+            self.sums[seed] = np.zeros(self.total + 1, np.uint64)
+            value = words.mixed(self.value ^ np.uint64(seed)) if seed else self.value
+            np.cumsum(value * self.up[: self.total], out=self.sums[seed][1:])
+        sums = self.sums[seed]
         return words.mixed((sums[at + length] - sums[at]) * self.down[at])
 
     def keys(self, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 bits of the windows that begin at the given words."""
-        return self.hashes(length, at), (self.hashes(length, at, 1) >> np.uint64(32)).astype(np.uint32)
+        return self.hashes(length, at), (self.hashes(length, at, SECOND) >> np.uint64(32)).astype(np.uint32)
 
     def whole(self, length: int) -> np.ndarray:
         """Where a window of this length begins."""
         return np.flatnonzero(self.left >= length)
 
-    def anchors(self, length: int, spread: int, at: np.ndarray) -> np.ndarray:
-        """For each word of ``at``, the first of the least of the windows that begin in the ``spread`` words from it on."""
-        value = np.full(self.total + spread, ~np.uint64(0))
+    def least(self, length: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash of the window at each word, the least of those at the ``spread`` words from it on, and the words
+        whose window is the least of such a stretch (the anchors; of equal ones all)."""
+        value = np.full(self.total + spread, NONE)
         inside = self.whole(length)
         value[inside] = self.hashes(length, inside)
-        best, where = value[at], at.copy()
-        for j in range(1, spread):
-            other = value[at + j]
-            less = other < best
-            best[less], where[less] = other[less], at[less] + j
-        return where
+        least = _sliding(np.minimum, value, spread)[: self.total]
+        stretch = np.zeros(self.total + spread, np.uint64)
+        full = self.whole(length + spread - 1)
+        stretch[full + spread - 1] = least[full]
+        # a window's hash is at least the least of any stretch over it
+        over = _sliding(np.maximum, stretch, spread)[: self.total]
+        value = value[: self.total]
+        anchors = np.flatnonzero((over == value) & (self.left >= length) & (value > 0))
+        return value, least, anchors
+
+
+def _sliding(combine: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """combine over the ``width`` values from each place on, by doubling; the last width - 1 places are left out."""
+    out, done = values, 1
+    while 2 * done <= width:
+        out = combine(out[: len(out) - done], out[done:])
+        done *= 2
+    rest = width - done
+    return combine(out[: len(out) - rest], out[rest:]) if rest else out
 
 
 def _order(ids: pa.Array) -> np.ndarray:
     return np.array([LAST if x is None else x for x in ids.to_pylist()], np.int64)
 
 
-def _requests(block: int, h: np.ndarray, c: np.ndarray, ids: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
-    """Each window once, with its least and greatest id, in one row for each bucket."""
-    if not len(h):
-        return
-    order = np.lexsort((c, h))
-    h, c, ids = h[order], c[order], ids[order]
-    starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-    lo, hi = np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
-    h, c = h[starts], c[starts]
-    bucket = (h >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(h), np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        own = slice(a, b)
-        yield _row("request", block, at=int(bucket[a]), h=h[own].tobytes(), c=c[own].tobytes() if c.any() else None, lo=lo[own].tobytes(), hi=(hi - lo)[own].tobytes())
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers above their least one, in as few bytes each as hold them."""
+    least = values.min()
+    above = (values - least).view(np.uint64)
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if int(above.max()) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + least.tobytes() + above.astype(kind).tobytes()
+
+
+def _widened(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=9).astype(np.int64) + np.frombuffer(blob, np.int64, 1, 1)[0]
+
+
+class Asked:
+    """The windows of a pack that a level asks for, each once and in one order, by bucket."""
+
+    def __init__(self, keys: tuple[np.ndarray, np.ndarray], ids: np.ndarray, shift: int):
+        h, c = keys
+        self.ids, n = ids, len(h)
+        order = np.lexsort((c, h)) if c.any() else np.argsort(h, kind="stable")
+        h, c, ids = h[order], c[order], ids[order]
+        opens = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])[:n]
+        starts = np.flatnonzero(opens)
+        self.which = np.empty(n, np.int64)
+        self.which[order] = np.cumsum(opens) - 1
+        self.h, self.c = h[starts], c[starts]
+        self.lo, self.hi = (np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)) if n else (ids, ids)
+        bucket = (self.h >> np.uint64(shift)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if n else np.zeros(0, np.int64)
+        self.parts = {int(bucket[a]): slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(bucket)])}
+
+    def requests(self, block: int) -> Iterator[pa.RecordBatch]:
+        for bucket, own in self.parts.items():
+            c = self.c[own].tobytes() if self.c.any() else None
+            lo, hi = self.lo[own], self.hi[own]
+            yield _row("request", block, at=bucket, h=self.h[own].tobytes(), c=c, lo=_narrow(lo), hi=_narrow(hi - lo) if (hi > lo).any() else None)
+
+    def answered(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """For each window asked for: whether several ids have it, and whether a smaller one than its own does."""
+        repeated, earlier = np.zeros(len(self.h), bool), np.zeros(len(self.h), bool)
+        for bucket, r, e in zip(*(answers.column(k).to_pylist() for k in ("at", "repeated", "earlier"))):
+            if r is not None:
+                own = self.parts[bucket]
+                for out, bits in ((repeated, r), (earlier, e)):
+                    out[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=own.stop - own.start)
+        return repeated[self.which], earlier[self.which] | (self.ids > self.lo[self.which])
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """What packs asked of one bucket: the windows that several ids have, for each pack that has them, with the least id."""
+    """What packs asked of one bucket: for each row a bit a window, set if several ids have it, and one if an id below the row's own does."""
     blobs = {k: table.column(k).to_pylist() for k in ("h", "c", "lo", "hi")}
-    n = np.array([len(x) // 8 for x in blobs["h"]])
-    h, lo = np.frombuffer(b"".join(blobs["h"]), np.uint64), np.frombuffer(b"".join(blobs["lo"]), np.int64)
-    hi = lo + np.frombuffer(b"".join(blobs["hi"]), np.int64)
+    n = [len(x) // 8 for x in blobs["h"]]
+    h = np.frombuffer(b"".join(blobs["h"]), np.uint64)
     c = np.concatenate([np.zeros(k, np.uint32) if x is None else np.frombuffer(x, np.uint32) for k, x in zip(n, blobs["c"])])
-    row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((c, h))
-    starts = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])]))
+    lo = np.concatenate([_widened(x) for x in blobs["lo"]])
+    hi = lo + np.concatenate([np.zeros(k, np.int64) if x is None else _widened(x) for k, x in zip(n, blobs["hi"])])
+    order = np.lexsort((c, h)) if c.any() else np.argsort(h)
+    hs, cs = h[order], c[order]
+    starts = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])]))
     least, most = np.minimum.reduceat(lo[order], starts), np.maximum.reduceat(hi[order], starts)
     sizes = np.diff(np.concatenate([starts, [len(h)]]))
-    found = np.zeros(len(h), bool)
-    first = np.zeros(len(h), np.int64)
-    found[order], first[order] = np.repeat(least < most, sizes), np.repeat(least, sizes)
-    found = np.flatnonzero(found)  # in the order of the rows
-    asked, cuts = np.unique(row[found], return_index=True)
-    own = np.split(found, cuts[1:]) if len(asked) else []
-    blocks = table.column("block").to_pylist()
-    out = {"block": [blocks[i] for i in asked], **{k: [x[o].tobytes() for o in own] for k, x in (("h", h), ("c", c), ("lo", first))}}
-    kinds = {"block": pa.int64(), "h": pa.binary(), "c": pa.binary(), "lo": pa.binary()}
-    return pa.table({**{k: pa.array(v, kinds[k]) for k, v in out.items()}, "copies": pa.nulls(len(out["block"]), pa.list_(pa.int64()))})
-
-
-class Answers:
-    """The repeated windows of one pack and the least id that has each."""
-
-    def __init__(self, table: pa.Table):
-        rows = table.filter(table.column("h").is_valid())
-        join = lambda k, kind: np.frombuffer(b"".join(rows.column(k).to_pylist()), kind)
-        h, c, lo = join("h", np.uint64), join("c", np.uint32), join("lo", np.int64)
-        order = np.lexsort((c, h))
-        self.h, self.c, self.lo = h[order], c[order], lo[order]
-
-    def find(self, h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each window is repeated, and the least id that has it."""
-        if not len(self.h):
-            return np.zeros(len(h), bool), np.full(len(h), LAST)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        while c is not None:  # equal 64 bits of different windows lie side by side
-            on = (self.h[at] == h) & (self.c[at] != c) & (at + 1 < len(self.h))
-            on[on] = self.h[at[on] + 1] == h[on]
-            if not on.any():
-                break
-            at[on] += 1
-        hit = self.h[at] == h
-        if c is not None:
-            hit &= self.c[at] == c
-        return hit, self.lo[at]
+    repeated, earlier = np.empty(len(h), bool), np.empty(len(h), bool)
+    repeated[order] = np.repeat(least < most, sizes)
+    earlier[order] = np.repeat(least, sizes) < lo[order]
+    cuts = np.cumsum(n)[:-1]
+    bits = [pa.array([np.packbits(x).tobytes() for x in np.split(flags, cuts)], pa.binary()) for flags in (repeated, earlier)]
+    return pa.table([table.column("block"), table.column("at"), *bits, pa.nulls(len(n), pa.list_(pa.int64()))], ["block", "at", "repeated", "earlier", "copies"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,15 +202,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, _ROW_NAMES)
 
 
+def _asked_at_base(win: Windows, ids: np.ndarray, shift: int) -> tuple[Asked, np.ndarray, np.ndarray, np.ndarray]:
+    value, least, anchors = win.least(BASE, WINDOW - BASE + 1)
+    return Asked((value[anchors], np.zeros(len(anchors), np.uint32)), ids[win.owner[anchors]], shift), value, least, anchors
+
+
 def _base_requests(shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, pack in zip(batch.column("block").to_pylist(), batch.column("pack")):
                 state = _unpacked(pack.as_py())
-                win = Windows(state.column("text"))
-                anchor = np.unique(win.anchors(BASE, WINDOW - BASE + 1, win.whole(WINDOW)))
-                h = win.hashes(BASE, anchor)
-                yield from _requests(block, h, np.zeros(len(h), np.uint32), _order(state.column("doc_id"))[win.owner[anchor]], shift)
+                yield from _asked_at_base(Windows(state.column("text")), _order(state.column("doc_id")), shift)[0].requests(block)
 
     return run
 
@@ -219,28 +238,38 @@ def _as_table(parts: Iterator[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(kept) if kept else pa.table([pa.nulls(0, t) for t in _ROW_TYPES], _ROW_NAMES)
 
 
+def _go_on(block: int, state: pa.RecordBatch, win: Windows, length: int, at: np.ndarray, ids: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
+    """Texts without a window to ask for are done; the others go on in a pack of their own, with these windows' places."""
+    more = np.zeros(len(ids), bool)
+    more[win.owner[at]] = True
+    yield from _finished(block, state, win.counts, np.flatnonzero(~more))
+    if more.any():
+        yield from Asked(win.keys(length, at), ids[win.owner[at]], shift).requests(block)
+        gone = np.concatenate([[0], np.cumsum(np.where(more, 0, win.counts))])
+        places = pa.RecordBatch.from_arrays([pa.array(np.diff(at - gone[win.owner[at]], prepend=0))], ["step"])
+        yield _row("pack", block, h=_packed(places), pack=_packed(state.take(pa.array(np.flatnonzero(more)))))
+
+
 def _from_base(shift: int):
     """Windows whose anchor is repeated are asked for; copies and texts without such windows are done."""
 
     def parts(packs: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch]:
-        block, found = packs.column("block")[0].as_py(), Answers(answers)
-        state = _unpacked(packs.column("pack")[0].as_py())
+        block, state = packs.column("block")[0].as_py(), _unpacked(packs.column("pack")[0].as_py())
         win, ids = Windows(state.column("text")), _order(state.column("doc_id"))
         copy = np.zeros(len(ids), bool)
         copy[[i for x in answers.column("copies").to_pylist() if x for i in x]] = True
-        at = win.whole(WINDOW)
-        at = at[~copy[win.owner[at]]]
-        hit, _ = found.find(win.hashes(BASE, win.anchors(BASE, WINDOW - BASE + 1, at)))
-        at = at[hit]
-        more = np.zeros(len(ids), bool)
-        more[win.owner[at]] = True
-        texts, gone = state.column("text").to_pylist(), hashlib.sha256(b"").hexdigest()
-        digests = [None if m else gone if d else _kept_digest(t, None) for t, m, d in zip(texts, more, copy)]
+        asked, value, least, anchors = _asked_at_base(win, ids, shift)
+        repeated, _ = asked.answered(answers)
+        kept = np.full(win.total + WINDOW - BASE + 1, NONE)
+        kept[anchors[repeated]] = value[anchors[repeated]]
+        hit = _sliding(np.minimum, kept, WINDOW - BASE + 1)[: win.total] == least
+        at = np.flatnonzero(hit & (win.left >= WINDOW) & ~copy[win.owner])
+        on = np.zeros(len(ids), bool)
+        on[win.owner[at]] = True
+        gone = hashlib.sha256(b"").hexdigest()
+        digests = [None if m else gone if d else _kept_digest(t, None) for t, m, d in zip(state.column("text").to_pylist(), on, copy)]
         state = _replaced(state, n_removed=np.where(copy, win.counts, 0), kept_sha256=digests, longest=np.where(copy, win.counts, 0))
-        yield from _finished(block, state, win.counts, np.flatnonzero(~more))
-        if more.any():
-            yield from _requests(block, *win.keys(WINDOW, at), ids[win.owner[at]], shift)
-            yield _row("pack", block, pack=_packed(state.take(pa.array(np.flatnonzero(more)))))
+        yield from _go_on(block, state, win, WINDOW, at, ids, shift)
 
     return lambda packs, answers: _as_table(parts(packs, answers))
 
@@ -249,36 +278,25 @@ def _doubled(length: int, shift: int):
     """What the repeated windows of one length remove (at WINDOW), and which of them are extended to twice the length."""
 
     def parts(packs: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch]:
-        block, found = packs.column("block")[0].as_py(), Answers(answers)
-        state = _unpacked(packs.column("pack")[0].as_py())
+        block, state = packs.column("block")[0].as_py(), _unpacked(packs.column("pack")[0].as_py())
         win, ids = Windows(state.column("text")), _order(state.column("doc_id"))
-        at = win.whole(WINDOW)
-        # from here on windows begin at the least of each stretch, which equal passages have in common
-        sparse = np.unique(win.anchors(WINDOW, SPREAD, win.whole(WINDOW + SPREAD - 1)))
-        if length > WINDOW:
-            at = sparse[win.left[sparse] >= length]
-        hit, least = found.find(*win.keys(length, at))
-        again = hit & (least < ids[win.owner[at]])
+        at = np.cumsum(_unpacked(packs.column("h")[0].as_py()).column("step").to_numpy())
+        repeated, again = Asked(win.keys(length, at), ids[win.owner[at]], shift).answered(answers)
         longest = state.column("longest").to_numpy().copy()
         longest[win.owner[at[again]]] = length
+        state = _replaced(state, longest=longest)
+        on = at[repeated]
         if length == WINDOW:
             step = np.zeros(win.total + WINDOW + 1, np.int64)
-            np.add.at(step, at[again], 1)
-            np.add.at(step, at[again] + WINDOW, -1)
+            step[at[again]] += 1
+            step[at[again] + WINDOW] -= 1
             removed = np.cumsum(step)[: win.total] > 0
             n_removed = np.bincount(win.owner[removed], minlength=len(ids))
             digests = [_kept_digest(t, ~removed[a:b] if r else None) for t, a, b, r in zip(state.column("text").to_pylist(), win.first[:-1], win.first[1:], n_removed)]
-            state = _replaced(state, n_removed=n_removed, kept_sha256=digests, longest=longest)
-        else:
-            state = _replaced(state, longest=longest)
-        on = np.intersect1d(at[hit], sparse)
-        on = on[win.left[on] >= 2 * length]
-        more = np.zeros(len(ids), bool)
-        more[win.owner[on]] = True
-        yield from _finished(block, state, win.counts, np.flatnonzero(~more))
-        if more.any():
-            yield from _requests(block, *win.keys(2 * length, on), ids[win.owner[on]], shift)
-            yield _row("pack", block, pack=_packed(state.take(pa.array(np.flatnonzero(more)))))
+            state = _replaced(state, n_removed=n_removed, kept_sha256=digests)
+            # from here on windows begin at the least of each stretch, which equal passages have in common
+            on = np.intersect1d(on, win.least(WINDOW, SPREAD)[2])
+        yield from _go_on(block, state, win, 2 * length, on[win.left[on] >= 2 * length], ids, shift)
 
     return lambda packs, answers: _as_table(parts(packs, answers))
 
@@ -290,7 +308,7 @@ def _unpack_done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _step(rows: DataFrame, answers: DataFrame, task: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
-    packs = rows.where("kind = 'pack'").select("block", "pack")
+    packs = rows.where("kind = 'pack'").select("block", "h", "pack")
     return materialise(packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(task, ROW))
 
 
@@ -318,8 +336,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     firsts = copies.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     later = copies.join(firsts.select(F.col("digest").alias("copied"), "first"), (F.col("digest") == F.col("copied")) & (F.col("id") > F.col("first")))
     later = later.groupBy("block").agg(F.collect_list("at").alias("copies"))  # as many as a pack has texts at most
-    nothing = F.lit(None).cast("binary")
-    later = later.select("block", nothing.alias("h"), nothing.alias("c"), nothing.alias("lo"), "copies")
+    none = F.lit(None)
+    later = later.select("block", none.cast("bigint").alias("at"), none.cast("binary").alias("repeated"), none.cast("binary").alias("earlier"), "copies")
 
     packs = rows.where("kind = 'pack'").select("block", "pack")
     answers = _answered(packs.mapInArrow(_base_requests(shift), ROW)).unionByName(later)
