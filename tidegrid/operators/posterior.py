@@ -39,6 +39,20 @@ def state_path(
     )
 
 
+def state_path_by(x0: Column, dev: Column, sd: Column, drift: Column, regime: Column) -> Column:
+    """The same with regimes from data: ``regime`` is an array with the code (0, 1, ...) of each position, ``drift``
+    one with the drift of each code.  Position 1 takes the first drift; a code that is null or has no drift stops the job."""
+    unknown = F.raise_error(F.lit("a year has no known regime")).cast("double")
+    steps = F.transform(
+        F.arrays_zip(dev.alias("d"), regime.alias("r")),
+        lambda s, i: F.when(i == 0, F.get(drift, F.lit(0))).otherwise(F.coalesce(F.get(drift, s["r"]), unknown)) + s["d"] * sd,
+    )
+    return F.aggregate(
+        steps, F.array().cast("array<double>"),
+        lambda path, step: F.concat(path, F.array(F.coalesce(F.try_element_at(path, F.lit(-1)), x0) + step)),
+    )
+
+
 def observed_path(
     x: Column, dev: Column, sd: Column, offset: Column | None = None, index: Column | None = None
 ) -> Column:

@@ -150,6 +150,27 @@ def with_dense_id(
     return join_null_safe(df, dictionary, [*(keys or []), column], "left")
 
 
+def with_dense_ids(df: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
+    """Attach the 1-based rank of several columns (name to id name) among their sorted distinct values, per ``keys``.
+
+    All columns are ranked in one job without a query of its own: their distinct values, a row each, are sorted
+    per key and column.  NULL has no id.
+    """
+    kinds = [df.schema[c].dataType for c in columns]
+    one = lambda c: F.struct(
+        F.lit(c).alias("c"), *[(F.col(c) if c == k else F.lit(None)).cast(t).alias(f"v{i}") for i, (k, t) in enumerate(zip(columns, kinds))]
+    )
+    values = [f"v{i}" for i in range(len(columns))]
+    listed = df.select(*keys, F.explode(F.array(*map(one, columns))).alias("s")).select(*keys, "s.*").distinct()
+    listed = listed.where(F.coalesce(*[F.col(v).cast("string") for v in values]).isNotNull())
+    ranked = listed.withColumn("__id", F.row_number().over(Window.partitionBy(*keys, "c").orderBy(*values)).cast("long"))
+    out = df
+    for v, (column, name) in zip(values, columns.items()):
+        own = ranked.where(F.col("c") == column).select(*keys, F.col(v).alias(column), F.col("__id").alias(name))
+        out = join_null_safe(out, own, [*keys, column], "left")
+    return out
+
+
 def numbered_within(
     df: DataFrame, keys: list[str], leading: str, then: list[str], out: str = "row"
 ) -> DataFrame:

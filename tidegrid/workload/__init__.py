@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tabular", "spatial", "draws", "model", "chains"]
+MODULES = ["tabular", "spatial", "draws", "model", "abundance", "chains"]
 
 
 def load() -> None:

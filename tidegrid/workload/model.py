@@ -131,55 +131,6 @@ def loglik_bernoulli(spark, sf):
 S = lambda k: f"(1 / (1 + exp(-(c{k} - eta))))"
 
 
-@query(
-    "loglik_ordinal",
-    f"""
-    WITH {eta_sql()}
-    SELECT draw, count(*) AS n, round(sum(ln(CASE level WHEN 1 THEN {S(1)} WHEN 2 THEN {S(2)} - {S(1)}
-           WHEN 3 THEN {S(3)} - {S(2)} WHEN 4 THEN {S(4)} - {S(3)} ELSE 1 - {S(4)} END)), 4) AS loglik
-    FROM eta WHERE y IS NOT NULL GROUP BY draw
-    """,
-    VIEWS,
-)
-def loglik_ordinal(spark, sf):
-    rows = eta_cells(spark, sf, "level").where(F.col("level").isNotNull())
-    return loglik_by_draw(
-        rows, links.loglik_ordinal(F.col("level"), F.col("eta"), F.col("p.cuts5"), 5)
-    )
-
-
-NB_SQL = """(lgamma(y + phi) - lgamma(phi) - lgamma(y + 1) + y * (eta - ln(exp(eta) + phi))
-            + phi * (ln(phi) - ln(exp(eta) + phi)))"""
-
-
-@query(
-    "loglik_negbin",
-    f"WITH {eta_sql()} SELECT draw, count(*) AS n, round(sum({NB_SQL}), 4) AS loglik FROM eta WHERE y IS NOT NULL GROUP BY draw",
-    VIEWS,
-)
-def loglik_negbin(spark, sf):
-    rows = eta_cells(spark, sf, "y").where(F.col("y").isNotNull())
-    return loglik_by_draw(rows, links.loglik_negbin(F.col("y"), F.col("eta"), F.col("p.phi")))
-
-
-@query(
-    "loglik_zinb",
-    f"""
-    WITH {eta_sql()}
-    SELECT draw, count(*) AS n, round(sum(CASE WHEN y = 0
-             THEN ln(1 / (1 + exp(-theta)) + (1 - 1 / (1 + exp(-theta))) * exp({NB_SQL}))
-             ELSE ln(1 - 1 / (1 + exp(-theta))) + {NB_SQL} END), 4) AS loglik
-    FROM eta WHERE y IS NOT NULL GROUP BY draw
-    """,
-    VIEWS,
-)
-def loglik_zinb(spark, sf):
-    rows = eta_cells(spark, sf, "y").where(F.col("y").isNotNull()).withColumn(
-        "nb", links.loglik_negbin(F.col("y"), F.col("eta"), F.col("p.phi"))
-    )
-    return loglik_by_draw(rows, links.loglik_zinb(F.col("y"), F.col("nb"), F.col("p.theta")))
-
-
 # prior of each scalar parameter of the presence model: (family, two arguments)
 PRIORS = {
     "x0": ("normal", 0, 5), "u_pre": ("normal", 0, 5), "u_crash": ("normal", 0, 5),
