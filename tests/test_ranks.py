@@ -53,11 +53,43 @@ def test_cumulative_counts(skewed):
             assert got[(key, v)] == (n, (part["v"] <= v).sum(), len(part))
 
 
-def test_buckets_are_monotone(spark):
-    values = sorted([-1e300, -5.0, -1e-7, -0.0, 0.0, 1e-9, 1e-6, 0.5, 0.5000001, 3.0, 1e5, 1e300])
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [r["b"] for r in df.select("v", ranks.log_bucket(F.col("v")).alias("b")).orderBy("v").collect()]
-    assert got == sorted(got)
+def test_numbers_rise_with_values(spark):
+    values = sorted([float("-inf"), -1e300, -5.0, -1e-7, -5e-324, -0.0, 0.0, 5e-324, 1e-9, 1e-6, 0.5, 0.5000001, 3.0, 1e5, 1e300, float("inf")])
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan")]], "v double")
+    got = [r["b"] for r in df.select("v", ranks.ordered(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert got == sorted(got) and len(set(got)) == len(values)
+
+
+NARROW = {
+    "uniform": lambda rng, n: 1e6 + 1e3 * rng.random(n),
+    "very narrow": lambda rng, n: 1.0 + 1e-6 * rng.random(n),
+    "two clusters": lambda rng, n: np.where(rng.random(n) < 0.5, 5.0 + 1e-5 * rng.random(n), 1e3 * rng.random(n)),
+    "one outlier": lambda rng, n: np.concatenate([[1e300], rng.random(n - 1) * 1e-3 - 7.0]),
+}
+
+
+@pytest.mark.parametrize("name", NARROW)
+def test_no_task_sorts_more_than_a_small_share(spark, name):
+    values = NARROW[name](np.random.default_rng(1), 200_000)
+    df = spark.createDataFrame(pd.DataFrame({"k": "all", "v": values}))
+    probs = [0.025, 0.5, 0.975]
+    wanted = ranks._wanted(ranks._first_digits(df, ["k"], "v"), ["k"], probs)
+    for _ in range(ranks.PASSES):
+        wanted = ranks._wanted(ranks._next_digits(ranks._inside(df, wanted, ["k"], "v"), ["k"]), ["k"], probs)
+    sorted_together = ranks._inside(df, wanted, ["k"], "v").groupBy("s.lo").count().agg(F.max("count")).first()[0]
+    assert sorted_together <= 0.01 * len(values)
+    got = ranks.exact_quantiles(df, ["k"], "v", {str(p): p for p in probs}).first()
+    for p in probs:
+        assert got[str(p)] == pytest.approx(np.quantile(values, p), rel=1e-14)
+
+
+def test_cumulative_counts_of_narrow_values_in_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "STRETCH", 500)
+    values = np.round(1e6 + 1e3 * np.random.default_rng(2).random(20_000), 1)
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = ranks.cumulative_counts(df, [], "v").toPandas().sort_values("v")
+    unique, n = np.unique(values, return_counts=True)
+    assert got["v"].tolist() == unique.tolist() and got["n"].tolist() == n.tolist() and got["cum"].tolist() == np.cumsum(n).tolist()
 
 
 def test_dense_ids(spark):

@@ -1,9 +1,10 @@
 """Exact ranks, quantiles and ids without gathering a group in one task.
 
-Each operator cuts the ordered values into buckets with a rule that depends only on the values
-(not on partitioning), counts per bucket, turns the bucket counts into offsets with a window
-over the few buckets, and ranks inside the buckets.  A group's values spread over its buckets,
-so the work of a hot group spreads too.
+Quantiles are found by radix selection: values become ordered whole numbers, and each pass counts them by digit
+per group and goes on with the digits that hold a wanted rank only.  The first digit is that of the exponent; later ones
+cut what is left, from its least to its greatest number, so narrow and wide data are cut alike.  Cumulative counts
+need every rank; they cut each group into stretches of about STRETCH rows in the same way.  Counts per digit combine on
+the map side, and what is sorted in one task at the end is one stretch.
 """
 
 from __future__ import annotations
@@ -13,58 +14,75 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidegrid.operators.lookup import join_null_safe
 from tidegrid.sources.tables import materialise
 
-BUCKETS_PER_E = 64.0  # buckets are about 1.6 % wide
-ZERO_WIDTH = 1e-6
+#: Ordered numbers of one binary exponent, and digits of a pass after the first.
+STEPS, DIGITS = 1 << 50, 4096
+#: Passes of a selection after the first one.
+PASSES = 2
+#: Rows that are sorted together for cumulative counts, about.
+STRETCH = 1 << 16
 
 
-def log_bucket(value: Column) -> Column:
-    """Monotone bucket number of a double; bounded for all doubles, whatever their scale."""
-    size = F.floor(F.log1p(F.abs(value) / ZERO_WIDTH) * BUCKETS_PER_E).cast("int")
-    return F.when(value < 0, -size).otherwise(size)
+def ordered(value: Column) -> Column:
+    """A whole number that never falls as the double rises; 0 for 0.  It tells apart what differs by 1e-12 of its size.
 
-
-def _bucketed_counts(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """(distinct values with their counts, buckets with the count before them and in total)."""
-    counts = (
-        df.groupBy(*keys, value)
-        # counting the value drops NULLs after the aggregation; a filter on the value itself
-        # would be pushed down and evaluate the value's expression a second time
-        .agg(F.count(value).alias("__n"))
-        .where(F.col("__n") > 0)
-        .withColumn("__bucket", log_bucket(F.col(value)))
-    )
-    per_key = Window.partitionBy(*keys)
-    running = per_key.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        counts.groupBy(*keys, "__bucket")
-        .agg(F.sum("__n").alias("__in"))
-        .withColumn("__before", F.coalesce(F.sum("__in").over(running), F.lit(0)))
-        .withColumn("__total", F.sum("__in").over(per_key))
+    Infinities and, above all, NaN come last (minus infinity first).
+    """
+    size = ((F.log2(F.abs(value)) + 1100.0) * float(STEPS)).cast("long")
+    size = F.when(value == 0, 0).when(F.abs(value) == float("inf"), F.lit(2**62)).otherwise(size)
+    return F.when(F.isnan(value), F.lit(2**62 + 1)).when(value < 0, -size).otherwise(size)
+
+
+def _running(keys: list[Column | str], by: str) -> Window:
+    return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _first_digits(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per group and exponent: rows (n), least and greatest number (lo, hi), rows before and in the whole group."""
+    # the number is null with the value, so that the value's own expression is not worked out twice by a filter
+    numbered = df.select(*keys, ordered(F.col(value)).alias("__k"))
+    counted = numbered.groupBy(*keys, F.expr(f"__k div {STEPS}").alias("__e")).agg(
+        F.count("__k").alias("n"), F.min("__k").alias("lo"), F.max("__k").alias("hi")
+    ).where("n > 0")
+    return counted.withColumns(
+        {
+            "before": F.coalesce(F.sum("n").over(_running(keys, "lo")), F.lit(0)),
+            "total": F.sum("n").over(Window.partitionBy(*keys)),
+        }
     )
-    return counts, buckets
 
 
-def _with_cumulative(counts: DataFrame, buckets: DataFrame, keys: list[str], value: str) -> DataFrame:
-    inside = (
-        Window.partitionBy(*keys, "__bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    joined = join_null_safe(counts, buckets.drop("__in"), [*keys, "__bucket"])
-    return joined.withColumn("__cum", F.col("__before") + F.sum("__n").over(inside))
+def _rank_at(prob: float, total: Column, ceiling: bool) -> Column:
+    at = (total - 1) * F.lit(float(prob))
+    return (F.ceil(at) if ceiling else F.floor(at)).cast("long") + 1
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Every distinct value of each group with ``n``, rows up to and including it (``cum``) and
-    the group's size (``total``)."""
-    counts, buckets = _bucketed_counts(df, keys, value)
-    return _with_cumulative(counts, buckets, keys, value).select(
-        *keys,
-        value,
-        F.col("__n").alias("n"),
-        F.col("__cum").alias("cum"),
-        F.col("__total").alias("total"),
+def _wanted(stretches: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Of each group the stretches that hold a wanted rank, as one array."""
+    before, upto, total = F.col("before"), F.col("before") + F.col("n"), F.col("total")
+    ranks = [_rank_at(p, total, up) for p in probs for up in (False, True)]
+    holds = F.lit(False)
+    for rank in ranks:
+        holds = holds | ((rank > before) & (rank <= upto))
+    struct = F.struct("lo", "hi", "before", "total")
+    return stretches.where(holds).groupBy(*keys).agg(F.collect_list(struct).alias("__wanted"))
+
+
+def _inside(df: DataFrame, wanted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows whose number lies in a wanted stretch of their group, with that stretch (s)."""
+    numbered = df.select(*keys, F.col(value), ordered(F.col(value)).alias("__k"))
+    joined = join_null_safe(numbered, wanted, list(keys)) if keys else numbered.withColumn("__wanted", wanted.scalar())
+    own = F.filter("__wanted", lambda s: (F.col("__k") >= s["lo"]) & (F.col("__k") <= s["hi"]))
+    return joined.select(*keys, value, "__k", F.get(own, F.lit(0)).alias("s")).where(F.col("s").isNotNull())
+
+
+def _next_digits(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The stretches cut into DIGITS equal parts each."""
+    digit = F.expr(f"(__k - s.lo) div ((s.hi - s.lo) div {DIGITS} + 1)")
+    counted = rows.groupBy(*keys, F.col("s.lo").alias("__s"), digit.alias("__d")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__k").alias("lo"), F.max("__k").alias("hi"),
+        F.min("s.before").alias("__base"), F.min("s.total").alias("total"),
     )
+    return counted.withColumn("before", F.col("__base") + F.coalesce(F.sum("n").over(_running([*keys, "__s"], "__d")), F.lit(0)))
 
 
 def exact_quantiles(
@@ -72,27 +90,20 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated (type 7) quantiles per group; NULL values are ignored.
 
-    Only the buckets that hold a wanted rank are sorted.
+    ``df`` is read once a pass; only the stretches that hold a wanted rank are sorted at the end.
     """
-    counts, buckets = _bucketed_counts(df, keys, value)
-
-    def rank_at(prob: float, total: Column, ceiling: bool) -> Column:
-        pos = (total - 1) * F.lit(float(prob))
-        return (F.ceil(pos) if ceiling else F.floor(pos)).cast("long") + 1
-
-    wanted = F.lit(False)
-    for prob in probs.values():
-        for ceiling in (False, True):
-            rank = rank_at(prob, F.col("__total"), ceiling)
-            wanted = wanted | (
-                (rank > F.col("__before")) & (rank <= F.col("__before") + F.col("__in"))
-            )
-    ranked = _with_cumulative(counts, buckets.where(wanted), keys, value)
+    stretches = _first_digits(df, keys, value)
+    wanted = _wanted(stretches, keys, list(probs.values()))
+    for _ in range(PASSES):
+        wanted = _wanted(_next_digits(_inside(df, wanted, keys, value), keys), keys, list(probs.values()))
+    rows = _inside(df, wanted, keys, value).groupBy(*keys, "s", value).agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*keys, "s.lo").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("__cum", F.col("s.before") + F.sum("__n").over(upto)).withColumn("__total", F.col("s.total"))
 
     ends = []
     for i, prob in enumerate(probs.values()):
         for tag, ceiling in (("lo", False), ("hi", True)):
-            rank = rank_at(prob, F.col("__total"), ceiling)
+            rank = _rank_at(prob, F.col("__total"), ceiling)
             ends.append(F.min(F.when(F.col("__cum") >= rank, F.col(value))).alias(f"__{tag}{i}"))
     found = ranked.groupBy(*keys).agg(F.max("__total").alias("__total"), *ends)
 
@@ -105,6 +116,27 @@ def exact_quantiles(
     return found.select(*out)
 
 
+def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Every distinct value of each group with ``n``, rows up to and including it (``cum``) and
+    the group's size (``total``)."""
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("__n")).where(F.col("__n") > 0)
+    counts = counts.withColumn("__k", ordered(F.col(value))).withColumn("__e", F.expr(f"__k div {STEPS}"))
+    sums = counts.groupBy(*keys, "__e").agg(F.sum("__n").alias("n"), F.min("__k").alias("lo"), F.max("__k").alias("hi"))
+    width = sums.withColumn("__width", F.expr(f"(hi - lo) div (n div {STRETCH} + 1) + 1")).select(*keys, "__e", "lo", "__width")
+    placed = join_null_safe(counts, width, [*keys, "__e"]).withColumn("__s", F.expr("lo + (__k - lo) div __width * __width"))
+    stretches = placed.groupBy(*keys, "__s").agg(F.sum("__n").alias("__in"))
+    stretches = stretches.withColumns(
+        {
+            "__before": F.coalesce(F.sum("__in").over(_running(keys, "__s")), F.lit(0)),
+            "total": F.sum("__in").over(Window.partitionBy(*keys)),
+        }
+    ).drop("__in")
+    inside = Window.partitionBy(*keys, "__s").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return join_null_safe(placed, stretches, [*keys, "__s"]).select(
+        *keys, value, F.col("__n").alias("n"), (F.col("__before") + F.sum("__n").over(inside)).alias("cum"), "total"
+    )
+
+
 def interval_probs(level: float = 0.95) -> dict[str, float]:
     tail = (1 - level) / 2
     return {"median": 0.5, "lower": tail, "upper": 1 - tail}
