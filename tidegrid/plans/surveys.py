@@ -12,12 +12,13 @@ from tidegrid.operators import combine, dedup, lookup, rollup
 
 DIVE = ["date_observed", "place", "observer"]
 DIVE_COLUMNS = [
-    "year", "month", "day", "site", "num_quadrats", "num_count", "presence", "lat", "lon", "depth", "source",
+    "year", "month", "day", "stat_area", "sub_area", "num_quadrats", "num_count", "presence", "bottom_time", "lat", "lon",
+    "depth", "source", "site",
 ]
 
 
 def dive_table(flagged: DataFrame, counted: DataFrame, sheets: dict[str, DataFrame], tiebreak: list[str]) -> DataFrame:
-    """Three dive programmes in one schema.
+    """Three dive programmes in one schema, DIVE_COLUMNS; what a programme does not record is NULL.
 
     ``flagged`` holds presence flags and ``counted`` holds counts; both keep one survey per
     place and day.  ``sheets`` are yearly files of one programme whose ids repeat between
@@ -36,7 +37,7 @@ def dive_table(flagged: DataFrame, counted: DataFrame, sheets: dict[str, DataFra
         {"presence": recode.presence("num_count"), "source": F.lit("index")}
     )
     out = combine.union_sources(third, first, second)
-    return out.select(*[c for c in DIVE_COLUMNS if c in out.columns])
+    return out.select(*[c if c in out.columns else F.lit(None).cast("double").alias(c) for c in DIVE_COLUMNS])
 
 
 def small_sources(df: DataFrame, dropped: list[str], drop_pattern: str, tiebreak: list[str]) -> DataFrame:
@@ -117,7 +118,7 @@ def two_file_survey(scores: DataFrame, surveys: DataFrame, region: str) -> DataF
 
 
 def location_rollup(
-    counted: DataFrame, scored: DataFrame, early: DataFrame, strict: DataFrame,
+    counted: DataFrame, scored: DataFrame, scored7: DataFrame, early: DataFrame, strict: DataFrame,
     sightings: DataFrame, uncounted: DataFrame,
 ) -> DataFrame:
     """Site-year rows of every source in one table; sources without counts have NULL counts."""
@@ -127,6 +128,7 @@ def location_rollup(
     parts = [
         rollup.site_year_rollup(counted, keys, "count", "presence"),
         rollup.site_year_rollup(scored, place, "count", "presence").withColumn("source", F.lit("scored")),
+        rollup.site_year_rollup(scored7, place, "count", "presence").withColumn("source", F.lit("scored7")),
         early.where(F.col("presence") == 1).groupBy(*place).agg(
             F.count(F.lit(1)).alias("num_visits"), F.lit(1).alias("presence")
         ).withColumn("source", F.lit("early")),
@@ -173,3 +175,25 @@ def catch_presence_absence(catches: DataFrame, target: str, fishery: str) -> Dat
         recode.present_unless_zero("catch_count").alias("presence"),
         F.col("max_depth").alias("depth"),
     )
+
+
+PROGRAMME_COLUMNS = ["year", "presence", "site", "source", "source_group", "time", "area"]
+
+
+def programmes(forms: DataFrame, community: DataFrame, small: DataFrame, dives: DataFrame) -> DataFrame:
+    """The surveys of four programmes in one schema, PROGRAMME_COLUMNS.
+
+    Small sources keep their own source beside the group they count as.  A dive's site is its statistical area,
+    or its coordinates where it has none.
+    """
+    sited = dives.withColumns({"site": F.coalesce(F.col("stat_area").cast("string"), paste("lat", "lon")), "area": F.col("num_quadrats")})
+    grouped = combine.union_sources(
+        forms.select("year", "presence", F.col("geogr").alias("site"), F.lit("forms").alias("source"), F.col("btime").alias("time")),
+        community.select(
+            F.year("date_observed").alias("year"), "presence", F.col("place").cast("string").alias("site"),
+            F.lit("community").alias("source"), F.col("max_depth").alias("time"),
+        ),
+        sited.select("year", "presence", "site", "source", F.col("area").cast("double").alias("area")),
+    ).withColumn("source_group", F.col("source"))
+    pooled = small.select("year", "presence", F.col("location").alias("site"), "source", F.lit("small").alias("source_group"), F.col("bottom_time").alias("time"), "area")
+    return combine.union_sources(grouped, pooled).select(*PROGRAMME_COLUMNS)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import recode
 from tidegrid.functions.links import inv_logit
-from tidegrid.operators import grid, polygons, posterior, rollup
+from tidegrid.operators import combine, encode, grid, polygons, posterior, rollup
 from tidegrid.plans import areas, designs, surveys, trends
 from tidegrid.sources import tables
 from tidegrid.workload import spatial, tabular, views
@@ -20,72 +20,93 @@ DAY_TIES = ["l_orderkey", "l_linenumber", "l_partkey", "site"]
 def dated(spark, sf):
     return views.surveys(spark, sf).withColumns(
         {"month": F.month("obs_date"), "day": F.dayofmonth("obs_date"), "num_count": F.col("num_target"),
-         "site": F.col("site").cast("string")}
+         "stat_area": F.when(~F.col("source").startswith("A"), F.col("site") % 30 + 1), "sub_area": F.col("l_linenumber"),
+         "num_quadrats": F.col("area"), "depth": (F.col("l_partkey") % 43).cast("double"), "site": F.col("site").cast("string")}
     )
 
 
+DIVE_SQL = """
+dated_surveys AS (SELECT *, month(obs_date) AS mon, day(obs_date) AS dom, CASE WHEN num_target > 0 THEN 1 ELSE 0 END AS presence,
+                    CASE WHEN left(source, 1) <> 'A' THEN site % 30 + 1 END AS stat_area FROM surveys),
+best_dives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left(source, 1), year, mon, dom, lat, lon
+             ORDER BY presence DESC, l_orderkey, l_linenumber, l_partkey, CAST(site AS VARCHAR)) AS rn
+           FROM dated_surveys WHERE (left(source, 1) = 'A') OR (left(source, 1) = 'N' AND num_target IS NOT NULL)) WHERE rn = 1),
+dives AS (
+  SELECT CASE left(source, 1) WHEN 'A' THEN 'flagged' ELSE 'counted' END AS source, year, CAST(site AS VARCHAR) AS site,
+         presence, num_target, lat, lon, stat_area, l_linenumber AS sub_area, area AS num_quadrats, bottom_time, l_partkey % 43 AS depth FROM best_dives
+  UNION ALL SELECT 'index', year, concat(CAST(site AS VARCHAR), '_', CASE source WHEN 'RF' THEN 'A' ELSE 'B' END),
+         presence, num_target, lat, lon, stat_area, l_linenumber, area, bottom_time, l_partkey % 43 FROM dated_surveys WHERE left(source, 1) = 'R' AND num_target IS NOT NULL)
+"""
+
+
 @query(
     "dive_survey_table",
     """
-    WITH d AS (SELECT *, month(obs_date) AS mon, day(obs_date) AS dom,
-                      CASE WHEN num_target > 0 THEN 1 ELSE 0 END AS presence FROM surveys),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left(source, 1), year, mon, dom, lat, lon
-               ORDER BY presence DESC, l_orderkey, l_linenumber, l_partkey, CAST(site AS VARCHAR)) AS rn
-             FROM d WHERE (left(source, 1) = 'A') OR (left(source, 1) = 'N' AND num_target IS NOT NULL)) WHERE rn = 1),
-    joined AS (
-      SELECT CASE left(source, 1) WHEN 'A' THEN 'flagged' ELSE 'counted' END AS source, year, CAST(site AS VARCHAR) AS site,
-             presence, num_target, lat FROM best
-      UNION ALL SELECT 'index', year, concat(CAST(site AS VARCHAR), '_', CASE source WHEN 'RF' THEN 'A' ELSE 'B' END),
-             presence, num_target, lat FROM d WHERE left(source, 1) = 'R' AND num_target IS NOT NULL)
+    WITH """ + DIVE_SQL + """
     SELECT source, year, count(*) AS n, sum(presence)::BIGINT AS n_present, sum(num_target) AS total,
-           count(lat) AS n_located, count(DISTINCT site) AS n_sites
-    FROM joined GROUP BY source, year
+           count(lat) AS n_located, count(DISTINCT site) AS n_sites, count(DISTINCT (stat_area, sub_area)) FILTER (WHERE stat_area IS NOT NULL) AS n_areas,
+           round(sum(num_quadrats), 6) AS quadrats, round(sum(bottom_time), 6) AS minutes, round(avg(depth), 6) AS mean_depth
+    FROM dives GROUP BY source, year
     """,
     ("surveys",),
 )
 def dive_survey_table(spark, sf):
+    out = dive_rows(spark, sf).groupBy("source", "year").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("presence").alias("n_present"),
+        F.sum("num_count").alias("total"), F.count("lat").alias("n_located"),
+        F.count_distinct("site").alias("n_sites"), F.count_distinct("stat_area", "sub_area").alias("n_areas"),
+        F.sum("num_quadrats").alias("quadrats"), F.sum("bottom_time").alias("minutes"), F.avg("depth").alias("mean_depth"),
+    )
+    return round_all(out, "quadrats", "minutes", "mean_depth")
+
+
+def dive_rows(spark, sf):
     df = dated(spark, sf)
     of = lambda prefix: df.where(F.col("source").startswith(prefix))
-    out = surveys.dive_table(
+    return surveys.dive_table(
         of("A").withColumn("presence", recode.presence("num_count")),
         of("N"),
         {"A": of("RF"), "B": of("RO")},
         DAY_TIES,
     )
-    return out.groupBy("source", "year").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("presence").alias("n_present"),
-        F.sum("num_count").alias("total"), F.count("lat").alias("n_located"),
-        F.count_distinct("site").alias("n_sites"),
-    )
+
+
+SMALL_SQL = """
+small AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY site_ymd) AS n,
+                        row_number() OVER (PARTITION BY site_ymd ORDER BY presence DESC, l_orderkey, l_linenumber, l_partkey, site) AS rn
+    FROM (SELECT *, concat(location, '_', CASE WHEN l_partkey % 3 > 0 THEN CAST(obs_date AS VARCHAR) ELSE CAST(year AS VARCHAR) END) AS site_ymd
+          FROM (SELECT *, concat(coalesce(CAST(lat AS VARCHAR), 'NA'), '_', coalesce(CAST(lon AS VARCHAR), 'NA')) AS location,
+                       CASE WHEN num_target > 0 THEN 1 ELSE 0 END AS presence
+                FROM surveys WHERE source NOT IN ('AF') AND NOT regexp_matches(source, '^R.*F$'))))
+  WHERE rn = 1 AND year > 1995)
+"""
 
 
 @query(
     "small_source_table",
-    """
-    WITH d AS (SELECT *, concat(coalesce(CAST(lat AS VARCHAR), 'NA'), '_', coalesce(CAST(lon AS VARCHAR), 'NA'), '_',
-                 CASE WHEN l_partkey % 3 > 0 THEN CAST(obs_date AS VARCHAR) ELSE CAST(year AS VARCHAR) END) AS site_ymd,
-                 CASE WHEN num_target > 0 THEN 1 ELSE 0 END AS presence
-               FROM surveys WHERE source NOT IN ('AF') AND NOT regexp_matches(source, '^R.*F$'))
+    "WITH " + SMALL_SQL + """
     SELECT site_ymd, source, year, presence, n, CAST(n > 1 AS INTEGER) AS multiple_surveys,
            CASE WHEN year <= 1997 THEN 0 ELSE 1 END AS after_start,
            CASE WHEN year IN (1998, 1999) THEN 1 ELSE 0 END AS during
-    FROM (SELECT *, count(*) OVER (PARTITION BY site_ymd) AS n,
-                 row_number() OVER (PARTITION BY site_ymd ORDER BY presence DESC, l_orderkey, l_linenumber, l_partkey, site) AS rn
-          FROM d) WHERE rn = 1 AND year > 1995
+    FROM small
     """,
     ("surveys",),
 )
 def small_source_table(spark, sf):
+    return small_rows(spark, sf).select(
+        "site_ymd", "source", "year", "presence", "n", "multiple_surveys", "after_start", "during"
+    )
+
+
+def small_rows(spark, sf):
     df = views.surveys(spark, sf).withColumns(
         {
             "date": F.when(F.col("l_partkey") % 3 > 0, F.col("obs_date").cast("string")),
             "presence": recode.presence("num_target"),
         }
     )
-    out = surveys.small_sources(df, ["AF"], "^R.*F$", DAY_TIES).where(F.col("year") > 1995)
-    return out.select(
-        "site_ymd", "source", "year", "presence", "n", "multiple_surveys", "after_start", "during"
-    )
+    return surveys.small_sources(df, ["AF"], "^R.*F$", DAY_TIES).where(F.col("year") > 1995)
 
 
 @query(
@@ -142,6 +163,17 @@ def two_file_survey_table(spark, sf):
     )
 
 
+def community_scores(spark, sf):
+    """Dives with a 7-level score, as the lowest count of its level, at the coordinates of their place."""
+    dives = surveys.community_dives(views.species_rows(spark, sf), "purchase", ["row_id"])
+    counted = dives.select(
+        F.year("date_observed").alias("year"), F.col("place").cast("string").alias("place"), "presence",
+        recode.score_to_count("score_recode", recode.SEVEN_LEVEL_COUNTS, 1).cast("double").alias("count"),
+    )
+    dim = tabular.site_dimension(spark, sf)
+    return counted.join(dim, counted.place == dim.geogid, "left").select("lat", "lon", "year", "count", "presence")
+
+
 def location_inputs(spark, sf):
     df = views.surveys(spark, sf).withColumns(
         {"count": F.col("num_target"), "presence": recode.presence("num_target")}
@@ -162,6 +194,7 @@ def location_inputs(spark, sf):
     return {
         "counted": of("AF", "AO"),
         "scored": scored.select("lat", "lon", "year", "count", "presence"),
+        "scored7": community_scores(spark, sf),
         "early": of("NF").where(F.col("year") < 1998),
         "strict": of("NO", "RF", "NF").where((F.col("source") != "NF") | (F.col("year") >= 1998)),
         "sightings": caught,
@@ -172,8 +205,11 @@ def location_inputs(spark, sf):
 @query(
     "location_rollup",
     f"""
-    WITH {tabular.DIM_SQL}, {tabular.FULL_SQL},
+    WITH {tabular.DIM_SQL}, {tabular.FULL_SQL}, {tabular.COMMUNITY_SQL},
     s AS (SELECT *, CASE WHEN num_target > 0 THEN 1 ELSE 0 END AS presence FROM surveys),
+    scored7 AS (SELECT d.lat, d.lon, CAST(year(date_observed) AS INTEGER) AS year, presence,
+                  CASE score_recode WHEN 1 THEN 0e0 WHEN 2 THEN 1 WHEN 3 THEN 11 WHEN 4 THEN 26 WHEN 5 THEN 51 WHEN 6 THEN 101 WHEN 7 THEN 1001 END AS count
+                FROM community c LEFT JOIN dim d ON CAST(c.place AS VARCHAR) = d.geogid),
     scored AS (SELECT d.lat, d.lon, CASE WHEN form < 10000000 THEN 2024 END AS year,
                  CASE abundance WHEN 0 THEN 0e0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 11 WHEN 4 THEN 101 END AS count,
                  CASE WHEN abundance = 0 THEN 0 ELSE 1 END AS presence
@@ -185,6 +221,7 @@ def location_inputs(spark, sf):
       SELECT source, year, lat, lon, count(*) AS num_visits, avg(num_target) AS mean_count, median(num_target) AS median_count,
              max(presence) AS presence FROM s WHERE source IN ('AF', 'AO') GROUP BY source, year, lat, lon
       UNION ALL SELECT 'scored', year, lat, lon, count(*), avg(count), median(count), max(presence) FROM scored GROUP BY year, lat, lon
+      UNION ALL SELECT 'scored7', year, lat, lon, count(*), avg(count), median(count), max(presence) FROM scored7 GROUP BY year, lat, lon
       UNION ALL SELECT 'early', year, lat, lon, count(*), NULL, NULL, 1 FROM s
                 WHERE source = 'NF' AND year < 1998 AND presence = 1 GROUP BY year, lat, lon
       UNION ALL SELECT source, year, lat, lon, count(*), CASE WHEN count(num_target) = count(*) THEN avg(num_target) END,
@@ -194,7 +231,7 @@ def location_inputs(spark, sf):
     SELECT source, year, round(lat, 8) AS lat, round(lon, 8) AS lon, num_visits, round(mean_count, 6) AS mean_count,
            median_count, presence FROM (SELECT DISTINCT * FROM parts)
     """,
-    ("surveys", "scores", "text_dates", "site_text", "catches"),
+    ("surveys", "scores", "text_dates", "site_text", "catches", "species_rows"),
 )
 def location_rollup(spark, sf):
     out = surveys.location_rollup(**location_inputs(spark, sf))
@@ -225,28 +262,50 @@ def bycatch_tables(spark, sf):
     return round_all(out, "mean_depth")
 
 
+SPINE = (1995, 2024)
+PROGRAMMES_SQL = f"""
+{TWO_FILE_SQL}, {tabular.COMMUNITY_SQL}, {SMALL_SQL}, {DIVE_SQL},
+programmes AS (
+  SELECT year, CASE WHEN abundance = 0 THEN 0 ELSE 1 END AS presence, geogr AS site, 'forms' AS source, 'forms' AS source_group, btime AS time, NULL::DOUBLE AS area FROM two_file
+  UNION ALL SELECT CAST(year(date_observed) AS INTEGER), presence, CAST(place AS VARCHAR), 'community', 'community', max_depth, NULL FROM community
+  UNION ALL SELECT year, presence, location, source, 'small', bottom_time, area FROM small
+  UNION ALL SELECT year, presence, coalesce(CAST(stat_area AS VARCHAR), concat(coalesce(CAST(lat AS VARCHAR), 'NA'), '_', coalesce(CAST(lon AS VARCHAR), 'NA'))),
+                   source, source, NULL, num_quadrats FROM dives)
+"""
+
+
 @query(
     "presence_design_table",
-    """
-    WITH ids AS (SELECT *, dense_rank() OVER (ORDER BY source) AS sid,
-                        dense_rank() OVER (ORDER BY concat('s', CAST(site AS VARCHAR))) AS xid FROM presence_design)
-    SELECT source, sid AS source_id, year, year - 1994 AS tt, count(*) AS n, sum(presence)::BIGINT AS n_present,
-           sum(xid)::BIGINT AS site_id_sum, round(avg(time_term), 7) + 0e0 AS mean_time, round(avg(area_term), 7) + 0e0 AS mean_area
-    FROM ids GROUP BY ALL
+    f"""
+    WITH {PROGRAMMES_SQL},
+    scaled AS (SELECT *, (time - avg(time) OVER ()) / stddev_samp(time) OVER () AS z_time, (area - avg(area) OVER ()) / stddev_samp(area) OVER () AS z_area FROM programmes),
+    design AS (SELECT *, dense_rank() OVER (ORDER BY source_group) AS source_id, CASE WHEN site IS NOT NULL THEN dense_rank() OVER (ORDER BY site NULLS LAST) END AS site_id
+               FROM scaled WHERE CASE WHEN area IS NOT NULL THEN z_area ELSE z_time END IS NOT NULL)
+    SELECT s.year, s.year - {SPINE[0] - 1} AS tt, CASE WHEN s.year <= 1997 THEN 0 WHEN s.year = 1998 THEN 1 ELSE 2 END AS regime,
+           source_group, source, source_id, count(source) AS n, sum(presence)::BIGINT AS n_present, sum(site_id)::BIGINT AS site_id_sum,
+           count(area) AS n_by_area, round(avg(coalesce(z_time, 0)), 7) + 0e0 AS mean_time, round(avg(coalesce(z_area, 0)), 7) + 0e0 AS mean_area
+    FROM (SELECT CAST(unnest(generate_series({SPINE[0]}, {SPINE[1]})) AS INTEGER) AS year) s LEFT JOIN design d ON d.year = s.year GROUP BY ALL
     """,
-    ("presence_design",),
+    ("surveys", "scores", "text_dates", "species_rows"),
 )
 def presence_design_table(spark, sf):
-    df = views.surveys(spark, sf).select(
-        "year", recode.presence("num_target").alias("presence"),
-        F.concat(F.lit("s"), F.col("site").cast("string")).alias("site"), "source",
-        F.col("bottom_time").alias("time"), "area",
+    """Surveys of four programmes by source and year: on the year spine, with each year's regime."""
+    rows = surveys.programmes(
+        surveys.two_file_survey(views.scores(spark, sf), views.text_dates(spark, sf), "^1"),
+        surveys.community_dives(views.species_rows(spark, sf), "purchase", ["row_id"]),
+        small_rows(spark, sf), dive_rows(spark, sf),
     )
-    out = designs.presence_design(df, views.FIRST_YEAR - 1, {"source": "source_id", "site": "site_id"})
-    out = out.groupBy("source", "source_id", "year", "tt").agg(
+    out = designs.presence_design(rows, SPINE[0] - 1, {"source_group": "source_id", "site": "site_id"})
+    out = out.groupBy("source_group", "source", "source_id", "year").agg(
         F.count(F.lit(1)).alias("n"), F.sum("presence").alias("n_present"), F.sum("site_id").alias("site_id_sum"),
-        F.avg("time_term").alias("mean_time"), F.avg("area_term").alias("mean_area"),
+        F.count("area").alias("n_by_area"), F.avg("time_term").alias("mean_time"), F.avg("area_term").alias("mean_area"),
     )
+    spine = encode.year_spine(spark, *SPINE).withColumns(
+        {"tt": F.col("year") - (SPINE[0] - 1), "regime": recode.regime_of("year", [(0, None, 1997), (1, 1998, 1998), (2, 1999, None)])}
+    )
+    out = spine.join(out, "year", "left").fillna({"n": 0, "n_by_area": 0})
+    # a year without surveys has no terms; SQL's mean over its empty row is that of zeros
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("mean_time", "mean_area")})
     return round_all(out, "mean_time", "mean_area", digits=7)
 
 
@@ -307,11 +366,20 @@ cleaned AS (SELECT *, {X} AS x, {Y} AS y,
 """
 
 
+CAUGHT_SQL = """
+caught AS (SELECT year, lat_deg + lat_min / 60 AS lat, -(lon_deg + lon_min / 60) AS lon FROM catches
+           WHERE species_code = 'TGT' AND (fishery <> 'longline' OR catch_count > 0))
+"""
+
+
 @query(
     "extent_and_occupancy",
     f"""
-    WITH RECURSIVE {CLEAN_SQL},
-    present AS (SELECT * FROM cleaned WHERE num_target > 0),
+    WITH RECURSIVE {CAUGHT_SQL},
+    seen AS (SELECT lat, lon, year, l_orderkey FROM surveys WHERE num_target > 0 UNION ALL SELECT lat, lon, year, NULL FROM caught),
+    {spatial.INSIDE_SQL.replace('FROM surveys', 'FROM seen')},
+    present AS (SELECT *, {X} AS x, {Y} AS y, CASE WHEN year <= 1997 THEN 'pre' WHEN year >= 1999 THEN 'post' END AS regime
+                FROM seen s JOIN inside USING (lat, lon) WHERE NOT EXISTS ({LISTED_SQL})),
     {spatial.hull_sql('''SELECT DISTINCT regime, x, y FROM present WHERE regime IS NOT NULL
                          UNION ALL SELECT DISTINCT 'total', x, y FROM present''')},
     {spatial.ROWS_SQL},
@@ -325,10 +393,14 @@ cleaned AS (SELECT *, {X} AS x, {Y} AS y,
           WHERE NOT {spatial.MASKED_SQL} GROUP BY regime) m USING (regime)
     JOIN occ USING (regime)
     """,
-    ("surveys",),
+    ("surveys", "catches"),
 )
 def extent_and_occupancy(spark, sf):
-    present = clean(spark, sf, views.surveys(spark, sf).where(F.col("num_target") > 0))
+    """Extent and occupied area from the places where surveys saw the species and where fisheries caught it."""
+    columns = ["lat", "lon", "year"]
+    seen = views.surveys(spark, sf).where(F.col("num_target") > 0).select(*columns, "l_orderkey")
+    caught = surveys.bycatch_presence(views.catches(spark, sf), "TGT", as_given=()).select(*columns)
+    present = clean(spark, sf, combine.union_sources(seen, caught))
     rings, occupied = areas.extent_and_occupancy(present, views.GRID, 2000.0, ["pre", "post"])
     masked = spatial.masked_area(spark, rings, "regime").select(
         "regime", "hull_km2", F.col("area_km2").alias("eoo_km2")
