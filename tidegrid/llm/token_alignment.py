@@ -25,8 +25,8 @@ from tidegrid.llm import words
 from tidegrid.llm.token_counts import PRINTABLE, SPLIT, _as_ranks
 from tidegrid.sources.tables import materialise
 
-#: Bytes of text of a block (a longer text is a block of its own).
-BLOCK_BYTES = 4 << 20
+#: Bytes of text of a block (a longer text is a block of its own), and ends that a probe compares at first.
+BLOCK_BYTES, FIRST_PROBE = 1 << 20, 8
 #: What the piece tokenizer writes for a space.
 SPACE = "▁"
 
@@ -101,29 +101,27 @@ class Alignment:
         stretches: list[tuple[int, int, int]] = []
         opens_a, opens_b = np.ones(len(a), bool), np.ones(len(b), bool)
         inner_a, inner_b, link_a, link_b = [], [], [], []
+        linked_a, linked_b, jumped = link_a.append, link_b.append, stretches.append
         while i < n:
             if ends_a[i] == ends_b[j]:
-                k, probe, left = 1, 1, min(n - i, len(ends_b) - j)
-                while k < left:
-                    probe = min(probe, left - k)
-                    u, v = (i + k) * width, (j + k) * width
-                    if raw_a[u : u + probe * width] == raw_b[v : v + probe * width]:
-                        k, probe = k + probe, 2 * probe
-                    elif probe == 1:
-                        break
-                    else:  # the end of the stretch is inside: halve
-                        left, probe = k + probe - 1, max(probe // 2, 1)
-                stretches.append((i, j, k))
+                # u and v: bytes of the ends compared next; a probe over the arrays' ends is equal if both end there
+                u, v, probe = (i + 1) * width, (j + 1) * width, FIRST_PROBE * width
+                while u < len(raw_a) and raw_a[u : u + probe] == raw_b[v : v + probe]:
+                    u, v, probe = u + probe, v + probe, 2 * probe
+                while probe > width:  # the end of the stretch is inside: halve
+                    probe >>= 1
+                    if u < len(raw_a) and raw_a[u : u + probe] == raw_b[v : v + probe]:
+                        u, v = u + probe, v + probe
+                k = min(u // width, n) - i
+                jumped((i, j, k))
                 i, j = i + k, j + k
                 if i == n:
                     break
             # an irregular group: merged until both end alike
             x, y = ends_a[i], ends_b[j]
-            while True:
-                link_a.append(i)
-                link_b.append(j)
-                if x == y:
-                    break
+            linked_a(i)
+            linked_b(j)
+            while x != y:
                 if x < y:
                     i += 1
                     x = ends_a[i]
@@ -132,6 +130,8 @@ class Alignment:
                     j += 1
                     y = ends_b[j]
                     inner_b.append(j)
+                linked_a(i)
+                linked_b(j)
             i, j = i + 1, j + 1
         opens_a[inner_a] = False
         opens_b[inner_b] = False
@@ -169,7 +169,8 @@ def _aligner(path_a: str, path_b: str):
                     whole = f" {t}".encode()
                     used[i] = bool(t) and all(b"".join(map(k.bytes.__getitem__, ids)) == whole for k, ids in ((tokens_a, a), (tokens_b, b)))
                 n_a, n_b = (np.array([len(x) if u else 0 for x, u in zip(ids, used)], np.int64) for ids in (lists_a, lists_b))
-                ids_a, ids_b = (np.fromiter((i for x, u in zip(ids, used) if u for i in x), np.int64, n.sum()) for ids, n in ((lists_a, n_a), (lists_b, n_b)))
+                ids_a, ids_b = (np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x, u in zip(ids, used) if u)]) for ids in (lists_a, lists_b))
+                del lists_a, lists_b
                 aligned = Alignment(np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b]))
                 doc = np.repeat(np.arange(len(texts)), n_a)
                 n_groups = np.bincount(doc[aligned.opens_a], minlength=len(texts))
