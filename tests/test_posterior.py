@@ -196,51 +196,62 @@ def design(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def one_hot(pdf, levels):
-    blocks = [np.eye(size + 1)[pdf[name]] for name, size in levels.items()]
-    return np.concatenate([*blocks, pdf[["x"]].to_numpy()], axis=1)
+def dense_fit(x, y, penalty, mean):
+    beta = np.zeros(x.shape[1])
+    for _ in range(80):
+        mu, w = mean(np.clip(x @ beta, -30, 30))
+        beta += np.linalg.solve(x.T @ (x * w[:, None]) + np.diag(penalty), x.T @ (y - mu) - penalty * beta)
+    return beta
 
 
-def test_presence_fit_is_the_penalised_optimum(design):
-    pdf, df = design
-    levels = {"year_id": 4, "site_id": 3}
-    coef = fit.fit_presence(df, levels, ["x"], "presence", prior_sd=1.5)
-    got = {(r["term"], r["id"]): r["coefficient"] for r in coef.collect()}
-    x, y = one_hot(pdf, levels), pdf["presence"].to_numpy()
-    beta = np.zeros(x.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-x @ beta))
-        grad = x.T @ (y - p) - beta / 1.5**2
-        hess = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(len(beta)) / 1.5**2
-        beta += np.linalg.solve(hess, grad)
-    names = [("year_id", i) for i in range(5)] + [("site_id", i) for i in range(4)] + [("x", 0)]
-    assert [got[n] for n in names] == pytest.approx(beta.tolist(), abs=1e-3)
+MEANS = {"logistic": lambda e: (1 / (1 + np.exp(-e)), np.exp(e) / (1 + np.exp(e)) ** 2), "poisson": lambda e: (np.exp(e), np.exp(e))}
 
 
-def test_count_fit_and_dispersion(design):
+@pytest.mark.parametrize("family, y", [("logistic", "presence"), ("poisson", "y")])
+def test_fit_is_the_penalised_optimum(design, family, y):
     pdf, df = design
-    levels = {"year_id": 4, "site_id": 3}
-    coef, phi = fit.fit_counts(df, levels, ["x"], "y")
-    got = {(r["term"], r["id"]): r["coefficient"] for r in coef.collect()}
-    names = [("year_id", i) for i in range(5)] + [("site_id", i) for i in range(4)] + [("x", 0)]
-    x = one_hot(pdf, levels)
-    mu = np.exp(x @ np.array([got[n] for n in names]))
-    # score equations of the fitted blocks
-    assert np.abs(x.T @ (pdf["y"] - mu)).max() < 0.5
-    excess = ((pdf["y"] - mu) ** 2 - mu).sum()
-    assert phi == pytest.approx((mu**2).sum() / excess, rel=1e-6)
+    found = fit.fit_mixed(df, {"year_id": 4}, ["x"], "site_id", y, family, sd=1.5, site_sd=0.7)
+    x = np.concatenate([np.eye(4)[pdf["year_id"] - 1], pdf[["x"]].to_numpy(), np.eye(3)[pdf["site_id"] - 1]], axis=1)
+    beta = dense_fit(x, pdf[y].to_numpy(), np.r_[np.full(5, 1 / 1.5**2), np.full(3, 1 / 0.7**2)], MEANS[family])
+    assert found.last_step < 1e-9
+    assert found.values.tolist() == pytest.approx(beta[:5].tolist(), abs=1e-7)
+    assert [r["effect"] for r in found.sites.orderBy("site").collect()] == pytest.approx(beta[5:].tolist(), abs=1e-7)
+    rows = fit.fitted_means(df, found, "site_id", family, ["year_id"], ["x"])
+    mu = MEANS[family](x @ beta)[0]
+    assert rows.agg(F.sum("fitted")).first()[0] == pytest.approx(mu.sum())
+    if family == "poisson":
+        phi = rows.agg(fit.dispersion(rows, "y", "fitted").alias("phi")).first()[0]
+        assert phi == pytest.approx((mu**2).sum() / ((pdf["y"] - mu) ** 2 - mu).sum(), rel=1e-5)
+
+
+def test_fit_of_ten_thousand_sites(spark):
+    """The score equations hold for every year and every site."""
+    rng = np.random.default_rng(5)
+    n = 60_000
+    pdf = pd.DataFrame({"site": rng.integers(1, 10_001, n), "year_id": rng.integers(1, 5, n), "x": np.round(rng.normal(size=n), 1)})
+    effect = rng.normal(size=10_001)
+    pdf["y"] = rng.poisson(np.exp(-0.5 + 0.2 * pdf["year_id"] + effect[pdf["site"]])).astype(float)
+    pdf.loc[: n // 3, "site"] = 17  # a hot site
+    df = spark.createDataFrame(pdf)
+    found = fit.fit_mixed(df, {"year_id": 4}, ["x"], "site", "y", "poisson", sd=2.0, site_sd=1.0)
+    sites = found.sites.toPandas().set_index("site")["effect"]
+    assert len(sites) == pdf["site"].nunique()
+    mu = np.exp(found.values[pdf["year_id"] - 1] + found.values[4] * pdf["x"] + sites[pdf["site"]].to_numpy())
+    gap = pdf["y"] - mu
+    assert np.abs(gap.groupby(pdf["year_id"]).sum() - found.values[:4] / 4).max() < 1e-5
+    assert np.abs(gap.groupby(pdf["site"]).sum() - sites).max() < 1e-5
 
 
 def test_ordinal_fit_orders_its_cutpoints(design):
     pdf, df = design
     three = df.withColumn("level", F.least(F.col("y"), F.lit(3.0)).cast("int") + 1)
-    coef = fit.fit_ordinal(three, {"year_id": 4}, ["x"], "level", 4, prior_sd=3.0)
-    cuts = [-r["coefficient"] for r in coef.where("term = 'cut' and id > 0").orderBy("id").collect()]
+    rows = fit.with_thresholds(three, "level", 4)
+    coef = fit.fit_mixed(rows, {"cut": 3, "year_id": 4}, ["x"], "site_id", "above", "logistic", sd=3.0, site_sd=3.0).coefficients()
+    cuts = [-r["coefficient"] for r in coef.where("term = 'cut'").orderBy("id").collect()]
     assert len(cuts) == 3 and cuts == sorted(cuts)
     index = {r["id"]: r["expected"] for r in fit.expected_from_cuts(coef, "year_id", [0, 1, 2, 3]).collect()}
     raw = three.groupBy("year_id").agg(F.avg(F.col("level") - 1).alias("m")).toPandas().set_index("year_id")["m"]
-    order = raw.sort_values().index.tolist()
-    assert sorted(index, key=index.get) == order
+    assert sorted(index, key=index.get) == raw.sort_values().index.tolist()
 
 
 def test_local_level_filter(spark):

@@ -31,18 +31,19 @@ def by_block(df: DataFrame, keys: list[str], value: str, draw: str = "draw") ->
     return df.groupBy(*keys, block_of(F.col(draw)).alias("block")).agg(F.transform(rows, lambda r: r["v"]).alias("values"))
 
 
-def chunked(cells: DataFrame, dataset: str, lead: str, ids: list[str], size: int = CHUNK) -> DataFrame:
+def chunked(cells: DataFrame, dataset: str, lead: str, ids: list[str], carry: tuple[str, ...] = (), size: int = CHUNK) -> DataFrame:
     """(dataset, chunk, cells): cells that share ``lead`` in chunks of about ``size``; a larger group is cut by hash.
 
-    ``cells`` has x (array), y, w and the id columns; ids that a dataset does not have are null.
+    ``cells`` has x (array), y, w, the id columns and those in ``carry``; ids that a dataset does not have are null.
     """
     n = cells.groupBy(F.col(dataset).alias("__d"), F.col(lead).alias("__l")).agg(F.ceil(F.count(F.lit(1)) / size).alias("__cuts"))
     cut = cells.join(n, (F.col(dataset) == F.col("__d")) & (F.col(lead) == F.col("__l")))
-    chunk = F.concat_ws("-", lead, F.pmod(F.xxhash64(*ids, "x", "y"), F.col("__cuts")))
-    return cut.groupBy(dataset, chunk.alias("chunk")).agg(F.collect_list(F.struct(*ids, "x", F.col("y").cast("double").alias("y"), "w")).alias("cells"))
+    chunk = F.concat_ws("-", lead, F.pmod(F.xxhash64(*ids, *carry, "x", "y"), F.col("__cuts")))
+    one = F.struct(*ids, *carry, "x", F.col("y").cast("double").alias("y"), F.col("w").cast("bigint").alias("w"))
+    return cut.groupBy(dataset, chunk.alias("chunk")).agg(F.collect_list(one).alias("cells"))
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
+def matrix(lists: pa.Array) -> np.ndarray:
     """A list of equally long lists of doubles, as rows."""
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
@@ -89,9 +90,9 @@ def _predictor(cells: pa.StructArray, effects: pa.StructArray, params: pa.Struct
     """Cells x draws: offsets by id, each times its spread, plus covariates times coefficients."""
     if effects.field("values").null_count:
         raise ValueError(MISSING)
-    kinds, numbers, values = effects.field("kind").to_pylist(), effects.field("id").to_pylist(), _matrix(effects.field("values"))
+    kinds, numbers, values = effects.field("kind").to_pylist(), effects.field("id").to_pylist(), matrix(effects.field("values"))
     place = {key: i for i, key in enumerate(zip(kinds, numbers))}
-    eta = _matrix(cells.field("x")) @ _matrix(params["beta"].values)
+    eta = matrix(cells.field("x")) @ matrix(params["beta"].values)
     for kind, sd in ids.items():
         column = cells.field(kind).to_pylist()
         if all(i is None for i in column):
@@ -104,16 +105,18 @@ def _predictor(cells: pa.StructArray, effects: pa.StructArray, params: pa.Struct
     return eta
 
 
-def evaluate(
-    chunks: DataFrame, effects: DataFrame, params: DataFrame, dataset: str, ids: dict[str, str | None],
-    measure: Callable[[str, dict, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], out: dict[str, Column],
+Measure = Callable[[str, pa.StructScalar, pa.StructArray, np.ndarray], dict[str, np.ndarray]]
+
+
+def walk(
+    chunks: DataFrame, effects: DataFrame, params: DataFrame, dataset: str, ids: dict[str, str | None], measure: Measure, schema: str,
 ) -> DataFrame:
-    """(dataset, draw, n, measures) over all cells and all draws.
+    """(dataset, ...): what ``measure`` gives for each chunk and block of draws, as rows of ``schema``.
 
     ``effects`` is (dataset, kind, id, block, values) and ``params`` (dataset, block, family, draws, beta and arrays
     by name), both by block.  ``ids`` names the id columns and the parameter each effect is multiplied with, if any.
-    ``measure`` gets the family, the parameters, y, eta and the weights w of a chunk and gives arrays over the draws,
-    which ``out`` combines.  A cell whose id has no effect stops the job.
+    ``measure`` gets the family, the parameters, the cells and their predictor (cells x draws).
+    A cell whose id has no effect stops the job.
     """
     def members(kind: str) -> Column:
         return F.transform("cells", lambda c: F.struct(F.lit(kind).alias("kind"), c[kind].cast("bigint").alias("id")))
@@ -128,42 +131,78 @@ def evaluate(
     )
     joined = chunks.join(held, (F.col(dataset) == F.col("__d")) & (F.col("chunk") == F.col("__c")))
     scalars = params.select(F.col(dataset).alias("__pd"), F.col("block").alias("__pb"), F.struct(*params.columns).alias("params"))
-    # a null block meets the first one, so that the job stops there
-    joined = joined.join(scalars, (F.col(dataset) == F.col("__pd")) & (F.coalesce("__b", F.lit(0)) == F.col("__pb")))
-    names = list(out)
+    joined = joined.join(scalars, (F.col(dataset) == F.col("__pd")) & (F.col("__b").eqNullSafe(F.col("__pb")) | F.col("__b").isNull()))
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c) for c in (dataset, "cells", "effects", "params")]
             for name, cells, found, p in zip(*columns):
-                cells, found = cells.values, found.values
-                y, w = cells.field("y").to_numpy(zero_copy_only=False), cells.field("w").to_numpy(zero_copy_only=False)
-                eta = _predictor(cells, found, p, ids)
-                got = measure(p["family"].as_py(), p, y, eta, w[:, None].astype(float))
-                draws = p["draws"].values
-                table = [pa.array([name.as_py()] * len(draws)), draws, pa.array(np.full(len(draws), int(w.sum())))]
-                yield pa.RecordBatch.from_arrays([*table, *(pa.array(got[k]) for k in names)], [dataset, "draw", "n", *names])
-
-    kept = joined.select(dataset, "cells", "effects", "params")
-    parts = kept.mapInArrow(run, f"{dataset} string, draw bigint, n bigint, " + ", ".join(f"{k} double" for k in names))
+                cells = cells.values
+                got = measure(p["family"].as_py(), p, cells, _predictor(cells, found.values, p, ids))
+                out = [got[k] if isinstance(got[k], pa.Array) else pa.array(got[k]) for k in names]
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out[0]), pa.string()), *out], [dataset, *names])
+
+    return joined.select(dataset, "cells", "effects", "params").mapInArrow(run, f"{dataset} string, {schema}")
+
+
+def evaluate(
+    chunks: DataFrame, effects: DataFrame, params: DataFrame, dataset: str, ids: dict[str, str | None], measure: Measure, out: dict[str, Column],
+) -> DataFrame:
+    """(dataset, draw, n, measures) over all cells and all draws: ``measure`` gives arrays over the draws, ``out`` combines them."""
+
+    def by_draw(family: str, p: pa.StructScalar, cells: pa.StructArray, eta: np.ndarray) -> dict[str, np.ndarray]:
+        draws = array(p, "draws")
+        return {"draw": draws, "n": np.full(len(draws), int(column(cells, "w").sum())), **measure(family, p, cells, eta)}
+
+    schema = "draw bigint, n bigint, " + ", ".join(f"{k} double" for k in out)
+    parts = walk(chunks, effects, params, dataset, ids, by_draw, schema)
     return parts.groupBy(dataset, "draw").agg(F.sum("n").alias("n"), *[c.alias(k) for k, c in out.items()])
 
 
-def _array(p: pa.StructScalar, name: str) -> np.ndarray:
+def column(cells: pa.StructArray, name: str) -> np.ndarray:
+    return cells.field(name).to_numpy(zero_copy_only=False)
+
+
+def array(p: pa.StructScalar, name: str) -> np.ndarray:
     return p[name].values.to_numpy(zero_copy_only=False)
 
 
-def log_likelihood(family: str, p: pa.StructScalar, y: np.ndarray, eta: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
-    if family == "ordinal":
-        terms = ordinal_terms(y, eta, _matrix(p["cuts"].values))
+def log_likelihood(family: str, p: pa.StructScalar, cells: pa.StructArray, eta: np.ndarray) -> dict[str, np.ndarray]:
+    y = column(cells, "y")
+    if family == "bernoulli":
+        terms = -log1p_exp(np.where(y[:, None] == 1, -eta, eta))
+    elif family == "ordinal":
+        terms = ordinal_terms(y, eta, matrix(p["cuts"].values))
     elif family == "negbin":
-        terms = negbin_terms(y, eta, _array(p, "phi"))
+        terms = negbin_terms(y, eta, array(p, "phi"))
     elif family == "zinb":
-        terms = zinb_terms(y, eta, _array(p, "phi"), _array(p, "theta"))
+        terms = zinb_terms(y, eta, array(p, "phi"), array(p, "theta"))
     else:
         raise ValueError(f"no likelihood named {family}")
-    return {"loglik": (w * terms).sum(0)}
+    return {"loglik": (column(cells, "w")[:, None] * terms).sum(0)}
+
+
+def predictor_range(family: str, p: pa.StructScalar, cells: pa.StructArray, eta: np.ndarray) -> dict[str, np.ndarray]:
+    return {"total": (column(cells, "w")[:, None] * eta).sum(0), "lowest": eta.min(0), "highest": eta.max(0)}
+
+
+# --- reproducible uniforms -------------------------------------------------------------------
+
+#: A prime below 2**31, so that products of two remainders stay below 2**62.
+PRIME = 2**31 - 1
+
+
+def uniform(seed: int, draws: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Uniforms in [0, 1) of surveys x draws, from their whole numbers alone; ``uniform_sql`` has the same in SQL."""
+    a = (draws % PRIME * 48271 + seed) % PRIME
+    b = ((numbers % PRIME * 69621 + 12345) % PRIME)[:, None]
+    h = (a * b + a) % PRIME
+    h = (h * h + b) % PRIME
+    return (h * 16807 + a) % PRIME / float(PRIME)
 
 
-def predictor_range(family: str, p: pa.StructScalar, y: np.ndarray, eta: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
-    return {"total": (w * eta).sum(0), "lowest": eta.min(0), "highest": eta.max(0)}
+def uniform_sql(seed: int, draw: str, number: str) -> str:
+    a, b = f"(({draw} % {PRIME} * 48271 + {seed}) % {PRIME})", f"(({number} % {PRIME} * 69621 + 12345) % {PRIME})"
+    h = f"(({a} * {b} + {a}) % {PRIME})"
+    return f"(((({h} * {h} + {b}) % {PRIME}) * 16807 + {a}) % {PRIME} / {float(PRIME)}::DOUBLE)"

@@ -1,106 +1,158 @@
-"""Fits of the survey models with Spark's own optimisers, and a local-level filter.
+"""Fits of the survey models by Fisher scoring with a block of site effects, and a local-level filter.
 
-The design is reduced to distinct covariate rows with weights before any optimiser runs, so an
-iteration reads one row per distinct design and never the surveys themselves.
+The site effects, one for each of any number of sites, are eliminated from each step by their diagonal block (a Schur
+complement): per-site sums come from a group-by, the step of the small block of other coefficients is solved on the driver
+from one matrix of their number, and the sites' own steps follow from it as a column expression.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import math
+from collections.abc import Iterator
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegrid.functions.links import inv_logit, ordinal_expected
 from tidegrid.functions.recode import regime_of
-
-
-def _design(df: DataFrame, levels: dict[str, int], numeric: list[str]) -> tuple[DataFrame, list[str]]:
-    """Sparse feature vector: one-hot blocks of 1-based ids, then the numeric columns.
-
-    The block sizes are arguments, so no pass over the data is needed to find them.
-    """
-    blocks = list(levels)
-    padded = OneHotEncoder(
-        inputCols=blocks, outputCols=[f"__{b}" for b in blocks], dropLast=False
-    )
-    # a one-row table per size fixes the encoder's categories 0..size
-    top = df.sparkSession.createDataFrame(
-        [tuple(float(levels[b]) for b in blocks)], ", ".join(f"{b} double" for b in blocks)
-    )
-    encoded = padded.fit(top).transform(df.withColumns({b: F.col(b).cast("double") for b in blocks}))
-    assembler = VectorAssembler(
-        inputCols=[f"__{b}" for b in blocks] + numeric, outputCol="features"
-    )
-    names = [f"{b}:{i}" for b in blocks for i in range(levels[b] + 1)] + numeric
-    return assembler.transform(encoded), names
-
-
-def _coefficients(spark, names: list[str], values) -> DataFrame:
-    rows = [(n.partition(":")[0], int(n.partition(":")[2] or 0), float(v)) for n, v in zip(names, values)]
-    return spark.createDataFrame(rows, "term string, id int, coefficient double")
-
-
-def fit_presence(
-    df: DataFrame, levels: dict[str, int], numeric: list[str], label: str, prior_sd: float
-) -> DataFrame:
-    """Logistic regression with a normal prior on every coefficient, as (term, id, coefficient).
-
-    A normal prior of standard deviation s is an L2 penalty of 1 / (n s^2).
-    """
-    cells = df.groupBy(*levels, *numeric, label).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    total = cells.agg(F.sum("weight")).first()[0]
-    design, names = _design(cells, levels, numeric)
-    model = LogisticRegression(
-        labelCol=label, weightCol="weight", regParam=1.0 / (total * prior_sd**2),
-        standardization=False, fitIntercept=False, maxIter=200, tol=1e-9,
-    ).fit(design)
-    return _coefficients(df.sparkSession, names, model.coefficients.toArray())
-
-
-def fit_ordinal(
-    df: DataFrame, levels: dict[str, int], numeric: list[str], level: str, k: int, prior_sd: float
-) -> DataFrame:
-    """Proportional odds: one row per design and threshold, shared slopes, one regression.
-
-    ``cut`` coefficients are minus the cutpoints.
-    """
-    cells = df.groupBy(*levels, *numeric, level).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    thresholds = F.explode(F.array(*[F.lit(i) for i in range(1, k)])).alias("cut")
-    rows = cells.select("*", thresholds).withColumn("__above", (F.col(level) > F.col("cut")).cast("double"))
-    rows = rows.groupBy("cut", *levels, *numeric, "__above").agg(F.sum("weight").alias("weight"))
-    total = rows.agg(F.sum("weight")).first()[0]
-    design, names = _design(rows, {"cut": k - 1, **levels}, numeric)
-    model = LogisticRegression(
-        labelCol="__above", weightCol="weight", regParam=1.0 / (total * prior_sd**2),
-        standardization=False, fitIntercept=False, maxIter=300, tol=1e-9,
-    ).fit(design)
-    return _coefficients(df.sparkSession, names, model.coefficients.toArray())
-
-
-def fit_counts(
-    df: DataFrame, levels: dict[str, int], numeric: list[str], count: str, ridge: float = 1e-6
-) -> tuple[DataFrame, float]:
-    """Log-linear count model and the NB2 dispersion by moments.
-
-    Rows with one design are summed first: a mean with a weight has the same score equations.
+from tidegrid.sources.tables import materialise
+
+
+@dataclasses.dataclass
+class Fit:
+    """Coefficients of the small block by (term, id), effects of the sites (site, effect), and how far the last step went."""
+
+    names: list[tuple[str, int]]
+    values: np.ndarray
+    sites: DataFrame
+    last_step: float
+
+    def coefficients(self) -> DataFrame:
+        rows = [(t, i, float(v)) for (t, i), v in zip(self.names, self.values)]
+        return self.sites.sparkSession.createDataFrame(rows, "term string, id int, coefficient double")
+
+
+def _mean(eta: np.ndarray, family: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and weight of one survey: canonical links, so the score is observed less mean."""
+    if family == "logistic":
+        mu = 1 / (1 + np.exp(-eta))
+        return mu, mu * (1 - mu)
+    mu = np.exp(np.minimum(eta, 50))
+    return mu, mu
+
+
+def _site_sums(beta: np.ndarray, names: list[tuple[str, int]], levels: dict[str, int], numeric: list[str], family: str):
+    """Per site of a batch: weight, weighted covariates and score; and once a batch the sums over all of its rows."""
+    p, first = len(names), {}
+    for i, (term, _) in enumerate(names):
+        first.setdefault(term, i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
+            x = np.zeros((batch.num_rows, p))
+            for term in levels:
+                at = batch.column(term).to_numpy(zero_copy_only=False).astype(int)
+                x[np.arange(batch.num_rows), first[term] + at - 1] = 1
+            for term in numeric:
+                x[:, first[term]] = get(term)
+            n, y = get("n"), get("total")
+            mu, w = _mean(x @ beta + get("effect"), family)
+            w, r = w * n, y - mu * n
+            site, which = np.unique(batch.column("site").to_numpy(zero_copy_only=False), return_inverse=True)
+            weighted = np.stack([np.bincount(which, w * x[:, k], len(site)) for k in range(p)], 1)
+            own = [np.concatenate([[a, g], b]) for a, g, b in zip(np.bincount(which, w, len(site)), np.bincount(which, r, len(site)), weighted)]
+            whole = np.concatenate([x.T @ r, (x.T * w @ x).ravel()])
+            keys = [*site.tolist(), None]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([v.tolist() for v in [*own, whole]], pa.list_(pa.float64()))], ["site", "sums"])
+
+    return run
+
+
+def _schur(p: int, penalty: float):
+    """What the sites' block takes from the matrix and the score of the small block, over the sites of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sums = batch.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, p + 2)
+                score = sums[:, 1] - penalty * batch.column("effect").to_numpy(zero_copy_only=False)
+                b, size = sums[:, 2:], sums[:, 0] + penalty
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([np.concatenate([b.T @ (score / size), (b.T / size @ b).ravel()]).tolist()], pa.list_(pa.float64()))], ["sums"]
+                )
+
+    return run
+
+
+def _added(rows: DataFrame, *keys: str) -> DataFrame:
+    """Element-wise sums of arrays of one length."""
+    long = rows.select(*keys, F.posexplode("sums").alias("p", "v")).groupBy(*keys, "p").agg(F.sum("v").alias("v"))
+    return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("sums"))
+
+
+def fit_mixed(
+    df: DataFrame, levels: dict[str, int], numeric: list[str], site: str, y: str, family: str, sd: float, site_sd: float,
+    tolerance: float = 1e-9, most: int = 40,
+) -> Fit:
+    """Penalised logistic or Poisson (log link) regression of ``y`` on blocks of 1-based ids, numeric columns and sites.
+
+    Normal priors: ``sd`` for the small block and ``site_sd`` for the sites.  Surveys that agree in everything are summed
+    first.  A step takes two passes over sums per site; of them only the small block's come to the driver.
     """
-    cells = df.groupBy(*levels, *numeric).agg(
-        F.count(count).cast("double").alias("weight"),
-        F.avg(count).alias("mean_count"),
-        F.sum(F.col(count) * F.col(count)).alias("squares"),
-    ).where(F.col("weight") > 0)
-    design, names = _design(cells, levels, numeric)
-    model = GeneralizedLinearRegression(
-        family="poisson", link="log", labelCol="mean_count", weightCol="weight",
-        fitIntercept=False, regParam=ridge, maxIter=50, predictionCol="mu",
-    ).fit(design)
-    mu, w = F.col("mu"), F.col("weight")
-    excess = F.col("squares") - mu * w * F.col("mean_count") * 2 + w * mu * mu - w * mu
-    phi = model.transform(design).agg(F.try_divide(F.sum(w * mu * mu), F.sum(excess))).first()[0]
-    return _coefficients(df.sparkSession, names, model.coefficients.toArray()), phi
+    names = [(t, i) for t, n in levels.items() for i in range(1, n + 1)] + [(t, 0) for t in numeric]
+    p, beta = len(names), np.zeros(len(levels) and sum(levels.values()) + len(numeric) or len(numeric))
+    cells = df.groupBy(F.col(site).cast("bigint").alias("site"), *levels, *numeric).agg(F.count(y).alias("n"), F.sum(y).cast("double").alias("total"))
+    cells = materialise(cells.where("n > 0"))
+    effects = materialise(cells.select("site").distinct().withColumn("effect", F.lit(0.0)))
+    ridge, own = 1 / sd**2, 1 / site_sd**2
+    for _ in range(most):
+        at = effects.withColumnRenamed("site", "own_site")
+        rows = cells.join(at, F.col("site") == F.col("own_site")).drop("own_site")
+        parts = rows.mapInArrow(_site_sums(beta, names, levels, numeric, family), "site bigint, sums array<double>")
+        sums = materialise(_added(parts, "site"))
+        whole = np.array(sums.where("site IS NULL").first()["sums"])
+        per_site = sums.where("site IS NOT NULL").join(at, F.col("site") == F.col("own_site")).drop("own_site")
+        taken = np.array(_added(per_site.select("sums", "effect").mapInArrow(_schur(p, own), "sums array<double>")).first()["sums"])
+        matrix = whole[p:].reshape(p, p) + ridge * np.eye(p) - taken[p:].reshape(p, p)
+        step = np.linalg.solve(matrix, whole[:p] - ridge * beta - taken[:p])
+        scale = min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+        moved = F.aggregate(F.zip_with(F.slice("sums", 3, p), F.array(*[F.lit(float(v)) for v in step]), lambda b, d: b * d), F.lit(0.0), lambda a, v: a + v)
+        site_step = (F.element_at("sums", 2) - F.col("effect") * own - moved) / (F.element_at("sums", 1) + own)
+        beta = beta + scale * step
+        stepped = materialise(per_site.select("site", (F.col("effect") + site_step * scale).alias("effect"), F.abs(site_step).alias("step")))
+        effects = stepped.select("site", "effect")
+        last = max(float(np.abs(step).max()), float(stepped.agg(F.max("step")).first()[0]))
+        if last < tolerance:
+            break
+    return Fit(names, beta, effects, last)
+
+
+def fitted_means(df: DataFrame, fit: Fit, site: str, family: str, levels: list[str], numeric: list[str]) -> DataFrame:
+    """``df`` with ``fitted``, the mean of each row under the fit."""
+    eta = F.col("__effect")
+    for term in levels:
+        values = {i: float(v) for (t, i), v in zip(fit.names, fit.values) if t == term}
+        eta = eta + F.element_at(F.array(*[F.lit(values[i + 1]) for i in range(len(values))]), F.col(term).cast("int"))
+    for term in numeric:
+        eta = eta + F.col(term) * float(fit.values[fit.names.index((term, 0))])
+    at = fit.sites.select(F.col("site").alias("__site"), F.col("effect").alias("__effect"))
+    mean = inv_logit(eta) if family == "logistic" else F.exp(eta)
+    return df.join(at, F.col(site) == F.col("__site")).withColumn("fitted", mean).drop("__site", "__effect")
+
+
+def with_thresholds(df: DataFrame, level: str, k: int) -> DataFrame:
+    """A row for each survey and threshold (``cut`` 1 to k - 1), ``above`` telling if the level lies above it."""
+    cuts = F.explode(F.array(*[F.lit(i) for i in range(1, k)])).alias("cut")
+    return df.select("*", cuts).withColumn("above", (F.col(level) > F.col("cut")).cast("double"))
+
+
+def dispersion(rows: DataFrame, y: str, mean: str) -> Column:
+    """NB2 dispersion by moments, as an aggregate."""
+    m, v = F.col(mean), F.col(y)
+    return F.try_divide(F.sum(m * m), F.sum((v - m) * (v - m) - m))
 
 
 # --- local-level model with regime drift --------------------------------------------------

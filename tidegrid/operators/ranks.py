@@ -229,14 +229,14 @@ def numbered_within(
 
 
 def histogram(
-    df: DataFrame, keys: list[str], value: str, bins: int, lo: Column, hi: Column
+    df: DataFrame, keys: list[str], value: str, bins: int, lo: Column, hi: Column, weight: str | None = None
 ) -> DataFrame:
-    """Counts in equal-width bins over [lo, hi]; the top edge belongs to the last bin."""
+    """Counts (or sums of ``weight``) in equal-width bins over [lo, hi]; the top edge belongs to the last bin."""
     width = (hi - lo) / bins
     raw = F.floor((F.col(value) - lo) / F.when(width > 0, width).otherwise(1.0)).cast("long")
     return (
         df.where(F.col(value).isNotNull())
         .withColumn("bin", F.least(raw, F.lit(bins - 1)))
         .groupBy(*keys, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     )

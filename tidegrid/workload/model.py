@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidegrid.functions import links
 from tidegrid.functions.recode import FIVE_LEVEL_COUNTS
-from tidegrid.operators import checks, fit, posterior, ranks
+from tidegrid.operators import blocks, checks, fit, posterior, ranks
 from tidegrid.workload import views
 from tidegrid.workload.draws import SEED, layers, state_columns
+from tidegrid.workload.oracle_views import value_sql
 from tidegrid.workload.registry import query, round_all
 
-EFFECTS = {"obs_base": "year_id", "a_source": "source_id", "a_site": "site_id"}
-SCALARS = [
-    "sd_site", "sd_source", "beta_time", "beta_area", "a_area", "phi", "theta", "cuts5",
-]
+EFFECTS = {"year_id": ("obs_base", None), "source_id": ("a_source", "sd_source"), "site_id": ("a_site", "sd_site")}
+IDS = {k: sd for k, (_, sd) in EFFECTS.items()}
 LEVEL_BREAKS = [0.0, 1.0, 5.0, 10.0]
+RESID_DRAWS = 250
+NAME = "presence"
+
+
+def covariates():
+    """Scaled time of timed surveys, scaled area of the others, and that it is one of those."""
+    timed = F.col("effort_type") == 1
+    return F.array(
+        F.when(timed, F.col("time_term")).otherwise(0.0), F.when(timed, 0.0).otherwise(F.col("area_term")), F.when(timed, 0.0).otherwise(1.0)
+    )
 
 
 def observations(spark, sf):
-    """Presence design with an id, the count and its 5-level score."""
+    """Presence design with an id, a number, the count and its 5-level score."""
     count = F.col("num_target")
     level = F.lit(1)
     for b in LEVEL_BREAKS:
         level = level + (count > b).cast("int")
-    return views.presence_design(spark, sf).select(
+    rows = views.presence_design(spark, sf).select(
         F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "site").alias("obs"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("number"),
         "year_id", "source_id", "site_id", "effort_type", "time_term", "area_term", "presence",
         F.col("num_target").alias("y"), level.alias("level"),
     )
+    # an id may stand for several surveys; equal ones are interchangeable
+    return rows.withColumn("survey", F.xxhash64(*rows.columns))
 
 
 def all_draws(spark, sf):
@@ -41,40 +54,48 @@ def sampled_draws(spark, sf, k: int):
     return layers(sampled.withColumns(state_columns()))
 
 
-def predictor(a_yr, a_source, a_site, p):
-    effort = F.when(F.col("effort_type") == 1, F.col("time_term") * p["beta_time"]).otherwise(
-        F.col("area_term") * p["beta_area"] + p["a_area"]
+def effect_blocks(draws):
+    """(model, kind, id, block, values) of every id of the vector parameters."""
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(v).alias("v")) for k, (v, _) in EFFECTS.items()])
+    long = draws.select("draw", F.explode(named).alias("s")).select("draw", "s.kind", F.posexplode("s.v").alias("p", "v"))
+    long = long.withColumn("id", (F.col("p") + 1).cast("bigint"))
+    return blocks.by_block(long, ["kind", "id"], "v").withColumn("model", F.lit(NAME))
+
+
+def coefficient_blocks(draws, family: str = "bernoulli"):
+    """What else the predictor and the outcomes need, by block."""
+    names = ["beta_time", "beta_area", "a_area", "sd_site", "sd_source", "phi", "theta", "cuts5"]
+    rows = draws.groupBy(blocks.block_of(F.col("draw")).alias("block")).agg(F.array_sort(F.collect_list(F.struct("draw", *names))).alias("s"))
+    of = lambda name: F.transform("s", lambda r: r[name])
+    cuts = F.array(*[F.transform("s", lambda r: r["cuts5"][0]), F.transform("s", lambda r: r["cuts5"][1]), F.transform("s", lambda r: r["cuts5"][2]), F.transform("s", lambda r: r["cuts5"][3])])
+    return rows.select(
+        F.lit(NAME).alias("model"), "block", F.lit(family).alias("family"), of("draw").alias("draws"),
+        F.array(of("beta_time"), of("beta_area"), of("a_area")).alias("beta"), cuts.alias("cuts"),
+        *[of(n).alias(n) for n in ("sd_site", "sd_source", "phi", "theta")],
     )
-    return a_yr + a_site * p["sd_site"] + a_source * p["sd_source"] + effort
 
 
-def _with_eta(rows):
-    eta = predictor(F.col("obs_base"), F.col("a_source"), F.col("a_site"), F.col("p"))
-    return rows.withColumn("eta", eta).withColumn("draw", F.col("p.draw"))
+def cells_of(rows, outcome: str, carry: tuple[str, ...] = ()):
+    """Distinct design rows with ``w``, the surveys of each: those that agree have the same terms in every draw."""
+    cells = rows.withColumns({"model": F.lit(NAME), "x": covariates(), "y": F.col(outcome).cast("double")})
+    cells = cells.groupBy("model", *IDS, *carry, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    return blocks.chunked(cells, "model", "site_id", list(IDS), carry)
 
 
-CELL = ["year_id", "source_id", "site_id", "effort_type", "time_term", "area_term"]
-
-
-def eta_cells(spark, sf, *outcomes: str):
-    """Distinct design cells x all draws with the linear predictor, and ``w``, the surveys of the cell.
-
-    Surveys that agree in the design and the outcomes have the same terms in every draw.
-    """
-    cells = observations(spark, sf).groupBy(*CELL, *outcomes).agg(F.count(F.lit(1)).alias("w"))
-    effects = posterior.DrawEffects(all_draws(spark, sf), EFFECTS, SCALARS)
-    return _with_eta(effects.per_draw(posterior.spread(cells, *CELL)))
+def evaluated(spark, sf, outcome: str, measure, out):
+    draws = all_draws(spark, sf)
+    chunks = cells_of(observations(spark, sf), outcome)
+    return blocks.evaluate(chunks, effect_blocks(draws), coefficient_blocks(draws), "model", IDS, measure, out).drop("model")
 
 
-def eta_rows(spark, sf, k: int | None = None):
-    """Survey x draw rows with the linear predictor, of all draws or of k sampled ones."""
-    draws = all_draws(spark, sf) if k is None else sampled_draws(spark, sf, k)
-    effects = posterior.DrawEffects(draws, EFFECTS, SCALARS)
-    return _with_eta(effects.per_draw(posterior.spread(observations(spark, sf), "obs")))
+def walked(spark, sf, draws, carry: tuple[str, ...], measure, schema: str, outcome: str = "presence"):
+    """What ``measure`` gives for surveys under the given draws, chunk by chunk."""
+    chunks = cells_of(observations(spark, sf), outcome, carry)
+    return blocks.walk(chunks, effect_blocks(draws), coefficient_blocks(draws), "model", IDS, measure, schema).drop("model")
 
 
 def eta_sql(k: int | None = None) -> str:
-    """The same rows for the oracle: of all draws, or of the k with the lowest hash where sampling is the feature."""
+    """The predictor of all surveys for the oracle: under all draws, or under the k with the lowest hash where sampling is the feature."""
     chosen = f"ORDER BY ('0x' || substr(md5(concat_ws('|', {SEED}, draw)), 1, 8))::UBIGINT, draw LIMIT {k}" if k else ""
     return f"""
     sampled AS (SELECT * FROM params {chosen}),
@@ -82,11 +103,14 @@ def eta_sql(k: int | None = None) -> str:
                    1 + CAST(num_target > 0 AS INTEGER) + CAST(num_target > 1 AS INTEGER)
                      + CAST(num_target > 5 AS INTEGER) + CAST(num_target > 10 AS INTEGER) AS level,
                    row_number() OVER () AS rid FROM presence_design),
+    site_effect AS MATERIALIZED (SELECT draw, site_id, {value_sql(f'{views.A_SITE} + site_id')} * sd_site AS v FROM sampled, (SELECT DISTINCT site_id FROM obs)),
+    source_effect AS MATERIALIZED (SELECT draw, source_id, {value_sql(f'{views.A_SOURCE} + source_id')} * sd_source AS v FROM sampled, (SELECT DISTINCT source_id FROM obs)),
     eta AS (SELECT o.rid, o.obs_id, o.presence, o.y, o.level, p.draw, p.phi, p.theta, p.c1, p.c2, p.c3, p.c4,
-                   s.x + s.dev_r * s.sd_r + p.e[49 + o.site_id] * p.sd_site + p.e[43 + o.source_id] * p.sd_source
+                   o.l_orderkey * 8 + o.l_linenumber AS number, s.x + s.dev_r * s.sd_r + a.v + b.v
                    + CASE WHEN effort_type = 1 THEN time_term * beta_time ELSE area_term * beta_area + a_area END AS eta,
-                   ('0x' || substr(md5(concat_ws('|', {SEED}, p.draw, o.obs_id)), 1, 8))::UBIGINT / 4294967296e0 AS u
-            FROM sampled p JOIN states s ON s.draw = p.draw JOIN obs o ON o.year_id = s.t)
+                   {blocks.uniform_sql(SEED, 'p.draw', '(o.l_orderkey * 8 + o.l_linenumber)')} AS u
+            FROM sampled p JOIN states s ON s.draw = p.draw JOIN obs o ON o.year_id = s.t
+            JOIN site_effect a ON a.draw = p.draw AND a.site_id = o.site_id JOIN source_effect b ON b.draw = p.draw AND b.source_id = o.source_id)
     """
 
 
@@ -103,16 +127,9 @@ VIEWS = ("presence_design", "states")
     VIEWS,
 )
 def linear_predictor(spark, sf):
-    out = eta_cells(spark, sf).groupBy("draw").agg(
-        F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("eta")) / F.sum("w")).alias("mean"),
-        F.min("eta").alias("lowest"), F.max("eta").alias("highest"),
-    )
-    return round_all(out, "mean", "lowest", "highest", digits=7)
-
-
-def loglik_by_draw(rows, term):
-    out = rows.groupBy("draw").agg(F.sum("w").alias("n"), F.sum(F.col("w") * term).alias("loglik"))
-    return round_all(out, "loglik", digits=4)
+    out = {"total": F.sum("total"), "lowest": F.min("lowest"), "highest": F.max("highest")}
+    got = evaluated(spark, sf, "presence", blocks.predictor_range, out).withColumn("mean", F.col("total") / F.col("n"))
+    return round_all(got.drop("total"), "mean", "lowest", "highest", digits=7)
 
 
 @query(
@@ -125,7 +142,7 @@ def loglik_by_draw(rows, term):
     VIEWS,
 )
 def loglik_bernoulli(spark, sf):
-    return loglik_by_draw(eta_cells(spark, sf, "presence"), links.loglik_bernoulli(F.col("presence"), F.col("eta")))
+    return round_all(evaluated(spark, sf, "presence", blocks.log_likelihood, {"loglik": F.sum("loglik")}), "loglik", digits=4)
 
 
 S = lambda k: f"(1 / (1 + exp(-(c{k} - eta))))"
@@ -175,10 +192,17 @@ def _scalars_sql(priors) -> str:
 
 
 def _prior_sql() -> str:
-    terms = [_scalars_sql(PRIORS)]
-    for lo, hi in ((1, 22), (43, 64), (50, 64), (44, 49)):
-        terms.append(f"list_sum([-0.5e0 * v * v - 0.5e0 * ln(2 * pi()) FOR v IN e[{lo}:{hi}]])")
-    return " + ".join(terms)
+    """Name and text of a query with the log prior by draw."""
+    first = {"obs": views.OBS_DEV, "source": views.A_SOURCE, "site": views.A_SITE}
+    numbers = " UNION ALL ".join(
+        f"SELECT unnest(range({first[k] + 1}, {first[k] + 1} + {n})) AS k"
+        for k, n in (("obs", "22"), ("source", str(len(views.SOURCES))), ("site", "(SELECT count(*) FROM supplier)"))
+    )
+    own = "list_sum([-0.5e0 * v * v - 0.5e0 * ln(2 * pi()) FOR v IN e[1:22]])"
+    return f"""
+    priors AS (SELECT draw, {_scalars_sql(PRIORS)} + {own} + devs AS logprior FROM params JOIN (
+      SELECT draw, sum(-0.5e0 * ({value_sql('k')}) ** 2 - 0.5e0 * ln(2 * pi())) AS devs FROM params, ({numbers}) GROUP BY draw) USING (draw))
+    """
 
 
 def _cuts_sql(levels: int) -> str:
@@ -210,10 +234,9 @@ def count_model_priors(spark, sf):
 @query(
     "log_posterior_by_draw",
     f"""
-    WITH {eta_sql()}
-    SELECT draw, n, round(loglik, 4) AS loglik, round({_prior_sql()}, 6) AS logprior,
-           round(loglik + {_prior_sql()}, 4) AS logpost
-    FROM sampled JOIN (SELECT draw, count(*) AS n,
+    WITH {eta_sql()}, {_prior_sql()}
+    SELECT draw, n, round(loglik, 4) AS loglik, round(logprior, 5) AS logprior, round(loglik + logprior, 4) AS logpost
+    FROM priors JOIN (SELECT draw, count(*) AS n,
            sum(-ln(1 + exp(CASE WHEN presence = 1 THEN -eta ELSE eta END))) AS loglik
          FROM eta GROUP BY draw) USING (draw)
     """,
@@ -221,26 +244,40 @@ def count_model_priors(spark, sf):
 )
 def log_posterior_by_draw(spark, sf):
     """Log posterior of the presence model: log likelihood of all surveys plus log priors, for every draw."""
-    fitted = eta_cells(spark, sf, "presence").groupBy("draw").agg(
-        F.sum("w").alias("n"),
-        F.sum(F.col("w") * links.loglik_bernoulli(F.col("presence"), F.col("eta"))).alias("loglik"),
-    )
+    fitted = evaluated(spark, sf, "presence", blocks.log_likelihood, {"loglik": F.sum("loglik")})
     prior = views.params(spark, sf).select("draw", log_prior().alias("logprior"))
     out = fitted.join(prior, "draw").withColumn("logpost", F.col("loglik") + F.col("logprior"))
-    return round_all(round_all(out, "loglik", "logpost", digits=4), "logprior")
+    return round_all(round_all(out, "loglik", "logpost", digits=4), "logprior", digits=5)
 
 
 # --- predictive checks --------------------------------------------------------------------
 
 
-def replicate_rows(spark, sf, k: int | None = None):
-    rows = eta_rows(spark, sf, k).withColumn("u", links.md5_uniform(SEED, "draw", "obs"))
-    return rows.withColumns(
-        {
-            "y_rep": (F.col("u") < links.inv_logit("eta")).cast("int"),
-            "level_rep": links.ordinal_draw(F.col("u"), F.col("eta"), F.col("p.cuts5"), 5),
-        }
-    )
+def inverse_logit(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def replicates(p, cells, eta):
+    """Presence (0, 1) and level (1 to 5) of surveys x draws, from a uniform of their numbers."""
+    u = blocks.uniform(SEED, blocks.array(p, "draws"), blocks.column(cells, "number"))
+    present = u < inverse_logit(eta)
+    level = 1 + sum((u > inverse_logit(cut - eta)).astype(np.int64) for cut in blocks.matrix(p["cuts"].values))
+    return present, level
+
+
+def counted(values, draws):
+    """Rows (draw, value, n) of a table of small whole numbers, surveys x draws."""
+    top = int(values.max()) + 1
+    counts = np.apply_along_axis(np.bincount, 0, values, minlength=top)
+    value, column = np.nonzero(counts)
+    return {"draw": draws[column], "value": value.astype(np.int64), "n": counts[value, column].astype(np.int64)}
+
+
+def replicate_counts(spark, sf, k: int, which: int):
+    """(draw, value, n): how often each presence (which = 0) or level (1) occurs among the replicates of k sampled draws."""
+    measure = lambda family, p, cells, eta: counted(replicates(p, cells, eta)[which].astype(np.int64), blocks.array(p, "draws"))
+    long = walked(spark, sf, sampled_draws(spark, sf, k), ("number",), measure, "draw bigint, value bigint, n bigint")
+    return long.groupBy("draw", "value").agg(F.sum("n").alias("n"))
 
 
 LEVEL_SQL = f"(1 + CAST(u > {S(1)} AS INTEGER) + CAST(u > {S(2)} AS INTEGER) + CAST(u > {S(3)} AS INTEGER) + CAST(u > {S(4)} AS INTEGER))"
@@ -257,32 +294,99 @@ YREP_SQL = "CAST(u < 1 / (1 + exp(-eta)) AS INTEGER)"
     VIEWS,
 )
 def posterior_predictive(spark, sf):
-    return replicate_rows(spark, sf).groupBy("draw").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y_rep").alias("n_present"),
-        F.sum("level_rep").alias("level_sum"),
-    )
+    def measure(family, p, cells, eta):
+        present, level = replicates(p, cells, eta)
+        draws = blocks.array(p, "draws")
+        return {"draw": draws, "n": np.full(len(draws), len(cells)), "n_present": present.sum(0), "level_sum": level.sum(0)}
+
+    schema = "draw bigint, n bigint, n_present bigint, level_sum bigint"
+    parts = walked(spark, sf, all_draws(spark, sf), ("number",), measure, schema)
+    return parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("n", "n_present", "level_sum")])
+
+
+def count_cdf(mean, size, upto):
+    """P(count <= k) of NB2 counts for k = 0 to ``upto``, one table after the other, by the ratio of neighbouring masses."""
+    ratio = mean / (mean + size)
+    mass = np.exp(size * np.log1p(-ratio))
+    total = mass.copy()
+    yield total
+    for k in range(1, upto + 1):
+        mass = mass * (k - 1 + size) / k * ratio
+        total = total + mass
+        yield total
+
+
+COUNT_MARKS = (0, 2, 5)
+MASS_SQL = """SELECT *, exp(phi * ln(phi / (exp(eta) + phi))) AS m0, exp(eta) / (exp(eta) + phi) AS r FROM eta"""
+STEPS_SQL = f"""
+masses AS (SELECT *, m0 * phi * r AS m1 FROM ({MASS_SQL})),
+sums AS (SELECT *, m0 AS f0, m0 + m1 + m1 * (1 + phi) / 2 * r AS f2, m1 * (1 + phi) / 2 * r AS m2 FROM masses),
+cdf AS (SELECT *, f2 + m2 * (2 + phi) / 3 * r * (1 + (3 + phi) / 4 * r * (1 + (4 + phi) / 5 * r)) AS f5 FROM sums)
+"""
 
 
-@query("posterior_predictive_counts")
+@query(
+    "posterior_predictive_counts",
+    f"""
+    WITH {eta_sql()}, {STEPS_SQL}
+    SELECT draw, count(*) AS n, count(*) FILTER (u <= f0) AS n_0, count(*) FILTER (u > f0 AND u <= f2) AS n_1_2,
+           count(*) FILTER (u > f2 AND u <= f5) AS n_3_5, count(*) FILTER (u > f5) AS n_more,
+           count(*) FILTER (v < 1 / (1 + exp(-theta)) OR u <= f0) AS n_0_inflated
+    FROM (SELECT *, {blocks.uniform_sql(SEED + 1, 'draw', 'number')} AS v FROM cdf) GROUP BY draw
+    """,
+    VIEWS,
+)
 def posterior_predictive_counts(spark, sf):
-    """Count replicates walk the NB distribution in Arrow batches; zero-inflated ones first draw
-    the extra zero from a second uniform."""
-    rows = eta_rows(spark, sf).withColumns(
-        {
-            "u": links.md5_uniform(SEED, "draw", "obs"),
-            "v": links.md5_uniform(SEED + 1, "draw", "obs"),
+    """Count replicates of every survey and draw by size class, and the zeros with the extra ones of the inflated model.
+
+    A replicate is the least count whose distribution function reaches its uniform, so its class follows from
+    the function at the classes' ends.
+    """
+    def measure(family, p, cells, eta):
+        draws, number = blocks.array(p, "draws"), blocks.column(cells, "number")
+        u, v = (blocks.uniform(SEED + i, draws, number) for i in (0, 1))
+        above = {k: u > f for k, f in enumerate(count_cdf(np.exp(eta), blocks.array(p, "phi"), COUNT_MARKS[-1])) if k in COUNT_MARKS}
+        zero, two, five = (above[k] for k in COUNT_MARKS)
+        extra = v < inverse_logit(blocks.array(p, "theta"))
+        return {
+            "draw": draws, "n": np.full(len(draws), len(cells)), "n_0": (~zero).sum(0), "n_1_2": (zero & ~two).sum(0),
+            "n_3_5": (two & ~five).sum(0), "n_more": five.sum(0), "n_0_inflated": (extra | ~zero).sum(0),
         }
-    )
-    needed = rows.select(
-        "draw", "u", F.exp("eta").alias("mean"), F.col("p.phi").alias("phi"),
-        (F.col("v") < links.inv_logit(F.col("p.theta"))).alias("extra_zero"),
-    )
-    counts = checks.with_negbin_draw(needed, "u", "mean", "phi", "count")
-    return counts.groupBy("draw").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("count").alias("total"),
-        F.sum(F.when(F.col("extra_zero"), 0).otherwise(F.col("count"))).alias("total_zi"),
-        F.count_if(F.col("count") == 0).alias("zeros"), F.max("count").alias("largest"),
-    )
+
+    names = ["n", "n_0", "n_1_2", "n_3_5", "n_more", "n_0_inflated"]
+    schema = "draw bigint, " + ", ".join(f"{c} bigint" for c in names)
+    parts = walked(spark, sf, all_draws(spark, sf), ("number",), measure, schema)
+    return parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in names])
+
+
+@query(
+    "count_residuals",
+    f"""
+    WITH {eta_sql(250)},
+    masses AS (SELECT rid, obs_id, y, [exp(lgamma(k + phi) - lgamma(phi) - lgamma(k + 1) + k * (eta - ln(exp(eta) + phi)) + phi * (ln(phi) - ln(exp(eta) + phi)))
+                 FOR k IN range(0, CAST(y AS BIGINT) + 1)] AS m FROM eta WHERE y IS NOT NULL),
+    shares AS (SELECT rid, any_value(obs_id) AS obs, avg(list_sum(m)) AS upto, avg(list_sum(m) - m[-1]) AS below FROM masses GROUP BY rid)
+    SELECT obs, round(below + (upto - below) * (('0x' || substr(md5(concat_ws('|', {SEED + 2}, obs)), 1, 8))::UBIGINT / 4294967296e0), 8) AS residual FROM shares
+    """,
+    VIEWS,
+)
+def count_residuals(spark, sf):
+    """Quantile residuals of the counts from the distribution function itself, averaged over sampled draws: no replicates."""
+    def measure(family, p, cells, eta):
+        y = blocks.column(cells, "y")
+        below, upto = np.zeros(eta.shape), np.zeros(eta.shape)
+        for k, f in enumerate(count_cdf(np.exp(eta), blocks.array(p, "phi"), int(y.max()))):
+            below[y == k + 1], upto[y == k] = f[y == k + 1], f[y == k]
+        return {"survey": cells.field("survey"), "obs": cells.field("obs"), "times": blocks.column(cells, "w"), "n": np.full(len(y), eta.shape[1]), "below": below.sum(1), "upto": upto.sum(1)}
+
+    schema = "survey bigint, obs string, times bigint, n bigint, below double, upto double"
+    chunks = cells_of(observations(spark, sf).where(F.col("y").isNotNull()), "y", ("survey", "obs"))
+    draws = sampled_draws(spark, sf, RESID_DRAWS)
+    parts = blocks.walk(chunks, effect_blocks(draws), coefficient_blocks(draws), "model", IDS, measure, schema)
+    rows = parts.groupBy("survey", "obs", "times").agg(*[F.sum(c).alias(c) for c in ("n", "below", "upto")])
+    below, upto = F.col("below") / F.col("n"), F.col("upto") / F.col("n")
+    rows = rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return round_all(rows.select("obs", (below + (upto - below) * links.md5_uniform(SEED + 2, "obs")).alias("residual")), "residual", digits=8)
 
 
 @query(
@@ -297,12 +401,10 @@ def posterior_predictive_counts(spark, sf):
     VIEWS,
 )
 def ppc_histogram(spark, sf):
-    reps = replicate_rows(spark, sf, 10).select(
-        F.col("draw").cast("string").alias("series"), F.col("level_rep").alias("v")
-    )
-    seen = observations(spark, sf).select(F.lit("y").alias("series"), F.col("level").alias("v"))
+    reps = replicate_counts(spark, sf, 10, 1).select(F.col("draw").cast("string").alias("series"), F.col("value").alias("v"), "n")
+    seen = observations(spark, sf).where("level IS NOT NULL").groupBy(F.lit("y").alias("series"), F.col("level").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     both = reps.unionByName(seen)
-    return ranks.histogram(both, ["series"], "v", 30, F.lit(1.0), F.lit(5.0))
+    return ranks.histogram(both, ["series"], "v", 30, F.lit(1.0), F.lit(5.0), "n")
 
 
 DENSITY_GRID = [-0.5 + i / 32 for i in range(65)]
@@ -322,9 +424,7 @@ BANDWIDTH = 0.125
 )
 def ppc_density(spark, sf):
     """Replicates are counted per draw and value before the kernel meets the grid."""
-    reps = replicate_rows(spark, sf, 50).groupBy(
-        F.col("draw").cast("string").alias("series"), F.col("y_rep").alias("v")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    reps = replicate_counts(spark, sf, 50, 0).select(F.col("draw").cast("string").alias("series"), F.col("value").alias("v"), "n")
     seen = observations(spark, sf).groupBy(
         F.lit("y").alias("series"), F.col("presence").alias("v")
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -334,30 +434,26 @@ def ppc_density(spark, sf):
     return round_all(out, "density", digits=8)
 
 
-RESID_DRAWS = 250
-
-
 def residual_rows(spark, sf):
     """Residual and median prediction per survey, over a sample of draws.
 
-    The replicates of a survey are counted in the stage that makes them: how many lie below the
-    observation, how many up to it, and how many are 1, whose share gives their median.  Surveys that
-    agree in everything are one row of work and come out as often as they occur.
+    The replicates of a survey are counted in the chunk that makes them: how many lie below the
+    observation, how many up to it, and how many are 1, whose share gives their median.
     """
-    seen = observations(spark, sf)
-    surveys = seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("times"))
-    effects = posterior.DrawEffects(sampled_draws(spark, sf, RESID_DRAWS), EFFECTS, SCALARS)
-    rows = _with_eta(effects.per_draw(posterior.spread(surveys, "obs")))
-    rep = (links.md5_uniform(SEED, "draw", "obs") < links.inv_logit("eta")).cast("int")
-    rows = rows.withColumn("rep", rep)
-    counted = rows.groupBy(*seen.columns, "times").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("rep").alias("ones"),
-        F.count_if(F.col("rep") < F.col("presence")).alias("below"),
-        F.count_if(F.col("rep") <= F.col("presence")).alias("upto"),
-    )
+    def measure(family, p, cells, eta):
+        present, y = replicates(p, cells, eta)[0], blocks.column(cells, "y")[:, None]
+        n = np.full(len(cells), eta.shape[1])
+        return {
+            "survey": cells.field("survey"), "obs": cells.field("obs"), "times": blocks.column(cells, "w"), "n": n, "ones": present.sum(1),
+            "below": (present < y).sum(1), "upto": (present <= y).sum(1),
+        }
+
+    schema = "survey bigint, obs string, times bigint, n bigint, ones bigint, below bigint, upto bigint"
+    parts = walked(spark, sf, sampled_draws(spark, sf, RESID_DRAWS), ("survey", "obs", "number"), measure, schema)
+    rows = parts.groupBy("survey", "obs", "times").agg(*[F.sum(c).alias(c) for c in ("n", "ones", "below", "upto")])
     below, upto = F.col("below") / F.col("n"), F.col("upto") / F.col("n")
     fitted = F.when(2 * F.col("ones") == F.col("n"), 0.5).otherwise((2 * F.col("ones") > F.col("n")).cast("double"))
-    return counted.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(
+    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(
         "obs", (below + (upto - below) * links.md5_uniform(SEED + 2, "obs")).alias("residual"), fitted.alias("fitted")
     )
 
@@ -399,41 +495,77 @@ def residual_ks(spark, sf):
 # --- fits ---------------------------------------------------------------------------------
 
 YEARS = views.LAST_YEAR - views.FIRST_YEAR + 1
-BLOCKS = {"year_id": YEARS, "source_id": len(views.SOURCES), "site_id": 15}
+LEVELS = {"year_id": YEARS, "source_id": len(views.SOURCES)}
+SD, SITE_SD = 2.0, 1.0
 
 
 def year_rows(df):
     return df.withColumn("year", F.col("id") + (views.FIRST_YEAR - 1)).drop("id")
 
 
+def fit_of(spark, sf, kind: str):
+    """(rows, fit, family, levels, numeric, outcome) of one of the three models."""
+    obs = observations(spark, sf).withColumn("effort_type", F.col("effort_type").cast("double"))
+    if kind == "presence":
+        rows, family, levels, numeric, y = obs, "logistic", LEVELS, ["time_term", "area_term", "effort_type"], "presence"
+    elif kind == "ordinal":
+        rows = fit.with_thresholds(obs.where(F.col("y").isNotNull()), "level", 5)
+        family, levels, numeric, y = "logistic", {"cut": 4, **LEVELS}, ["time_term", "area_term"], "above"
+    else:
+        rows, family, levels, numeric, y = obs.where(F.col("y").isNotNull()), "poisson", LEVELS, ["time_term", "area_term"], "y"
+    return rows, fit.fit_mixed(rows, levels, numeric, "site_id", y, family, SD, SITE_SD), family, levels, numeric, y
+
+
 @query("fit_presence_index")
 def fit_presence_index(spark, sf):
-    """Yearly sighting probability from a penalised logistic regression."""
-    coef = fit.fit_presence(
-        observations(spark, sf), BLOCKS, ["time_term", "area_term", "effort_type"], "presence", 2.0
-    )
-    out = year_rows(fit.index_of(coef, "year_id")).drop("rate")
+    """Yearly sighting probability from a penalised logistic regression with an effect for every site."""
+    found = fit_of(spark, sf, "presence")[1]
+    out = year_rows(fit.index_of(found.coefficients(), "year_id")).drop("rate")
     return round_all(out, "coefficient", "probability", digits=4)
 
 
 @query("fit_ordinal_index")
 def fit_ordinal_index(spark, sf):
     """Yearly expected count from a proportional-odds regression on the 5-level score."""
-    obs = observations(spark, sf).where(F.col("y").isNotNull())
-    coef = fit.fit_ordinal(obs, BLOCKS, ["time_term", "area_term"], "level", 5, 2.0)
-    out = year_rows(fit.expected_from_cuts(coef, "year_id", FIVE_LEVEL_COUNTS))
+    found = fit_of(spark, sf, "ordinal")[1]
+    out = year_rows(fit.expected_from_cuts(found.coefficients(), "year_id", FIVE_LEVEL_COUNTS))
     return round_all(out, "coefficient", "expected", digits=4)
 
 
 @query("fit_count_index")
 def fit_count_index(spark, sf):
     """Yearly mean count from a log-linear regression, with the NB2 dispersion."""
-    obs = observations(spark, sf).where(F.col("y").isNotNull())
-    coef, phi = fit.fit_counts(obs, {"year_id": YEARS, "site_id": 15}, ["time_term", "area_term"], "y")
-    out = year_rows(fit.index_of(coef, "year_id")).drop("probability").withColumn("phi", F.lit(phi))
+    rows, found, family, levels, numeric, y = fit_of(spark, sf, "count")
+    means = fit.fitted_means(rows, found, "site_id", family, list(levels), numeric)
+    phi = means.agg(fit.dispersion(means, y, "fitted").alias("phi")).scalar()
+    out = year_rows(fit.index_of(found.coefficients(), "year_id")).drop("probability").withColumn("phi", phi)
     return round_all(out, "coefficient", "rate", "phi", digits=4)
 
 
+def balance_query(name: str, kind: str, seen: str, rows: str) -> None:
+    """The score equations of a fit: in every year what was observed is what is fitted plus the prior's pull.
+
+    ``gap`` is what is left of that, relative to the surveys; SQL knows that it is 0 at the maximum.
+    """
+    sql = f"SELECT year_id, count(*) AS n, round(sum({seen}), 6) AS observed, 0e0 AS gap FROM ({rows}) GROUP BY year_id"
+
+    @query(name, sql, ("presence_design",))
+    def _(spark, sf):
+        rows, found, family, levels, numeric, y = fit_of(spark, sf, kind)
+        means = fit.fitted_means(rows, found, "site_id", family, list(levels), numeric)
+        pull = F.element_at(F.array(*[F.lit(float(v) / SD**2) for (t, _), v in zip(found.names, found.values) if t == "year_id"]), F.col("year_id").cast("int"))
+        out = means.groupBy("year_id").agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("double").alias("observed"), F.sum("fitted").alias("mean"))
+        gap = (F.col("observed") - F.col("mean") - pull) / F.col("n")
+        return round_all(out.withColumn("gap", gap).drop("mean"), "observed", "gap")
+
+
+_scored = """SELECT *, 1 + CAST(num_target > 0 AS INTEGER) + CAST(num_target > 1 AS INTEGER) + CAST(num_target > 5 AS INTEGER)
+  + CAST(num_target > 10 AS INTEGER) AS level FROM presence_design WHERE num_target IS NOT NULL"""
+balance_query("fit_presence_balance", "presence", "presence::DOUBLE", "SELECT * FROM presence_design")
+balance_query("fit_ordinal_balance", "ordinal", "CAST(level > cut AS INTEGER)::DOUBLE", f"SELECT * FROM ({_scored}), (SELECT unnest([1, 2, 3, 4]) AS cut)")
+balance_query("fit_count_balance", "count", "num_target", "SELECT * FROM presence_design WHERE num_target IS NOT NULL")
+
+
 DRIFT = {0: 0.05, 1: -0.4, 2: 0.1}
 FILTER_REGIMES = [(0, None, 1997), (1, 1998, 1998), (2, 1999, None)]
 ERROR_GRID = [(q, r) for q in (0.01, 0.05, 0.2) for r in (0.05, 0.2, 0.8)]

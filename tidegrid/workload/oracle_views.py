@@ -24,6 +24,12 @@ def albers_sql(lon: str, lat: str) -> tuple[str, str]:
 
 _X, _Y = albers_sql("lon", "lat")
 
+def value_sql(number: str | int, e: str = "e") -> str:
+    """The stand-in value of a numbered parameter, as in views.value."""
+    k = f"({number})"
+    return f"({e}[CAST(1 + {k} % 64 AS BIGINT)] * cos({k}::DOUBLE) + {e}[CAST(1 + ({k} * 7 + 3) % 64 AS BIGINT)] * sin({k}::DOUBLE))"
+
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -157,12 +163,12 @@ view(
 )
 view(
     "states",
-    """
+    f"""
     SELECT draw, t, dev_r,
            x0 + sum(CASE WHEN t = 1 OR t <= 14 THEN u_pre WHEN t = 15 THEN u_crash ELSE u_post END
                     + dev * sd_q) OVER (PARTITION BY draw ORDER BY t) AS x,
            sd_r, a_b, a_c, c1, c2, c3, c4, c5, c6
-    FROM (SELECT p.*, CAST(g.t AS INTEGER) AS t, e[g.t] AS dev, e[65 - g.t] AS dev_r
+    FROM (SELECT p.*, CAST(g.t AS INTEGER) AS t, e[g.t] AS dev, {value_sql('500000 + g.t')} AS dev_r
           FROM params p, (SELECT unnest(generate_series(1, 22)) AS t) g)
     """,
     "params",
@@ -266,7 +272,7 @@ view(
                    (area - avg(area) OVER ()) / stddev_samp(area) OVER () AS scaled_area,
                    dense_rank() OVER (ORDER BY source) AS source_id,
                    year - 1994 AS year_id,
-                   site % 15 + 1 AS site_id
+                   site + 1 AS site_id
             FROM surveys s))
     WHERE scaled_effort IS NOT NULL
     """,

@@ -140,6 +140,22 @@ def draws(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def value(e: Column, number: Column | int) -> Column:
+    """Stand-in value of a numbered parameter in a draw: a mix of two of the draw's 64 numbers with weights that no
+    other number has.  Any number of parameters get values of their own."""
+    k = (number if isinstance(number, Column) else F.lit(number)).cast("bigint")
+    at = lambda i: F.get(e, (i % 64).cast("int"))
+    return at(k) * F.cos(k.cast("double")) + at(k * 7 + 3) * F.sin(k.cast("double"))
+
+
+def positive(e: Column, number: int, least: float) -> Column:
+    return F.abs(value(e, number)) + least
+
+
+# numbers of the first of the presence model's deviations; a site's is its own id
+OBS_DEV, A_SOURCE, A_SITE = 500_000, 510_000, 9_000_000
+
+
 def _cutpoints(e: Column, n: int) -> Column:
     """Increasing cutpoints from values 23 onwards."""
     cuts = [e[22]]
@@ -152,21 +168,23 @@ def params(spark: SparkSession, sf: str) -> DataFrame:
     """One row per draw: scalars, and vector parameters as arrays."""
     e = F.col("e")
     at = lambda i: e[i - 1]
-    positive = lambda i, add: F.abs(at(i)) + add
-    return draws(spark, sf).select(
+    above = lambda i, add: F.abs(at(i)) + add
+    numbered = lambda first, n: F.transform(F.sequence(F.lit(1), n), lambda i: value(e, i + first))
+    sites = read_table(spark, sf, "supplier").agg(F.count(F.lit(1)).cast("int")).scalar()
+    return draws(spark, sf).withColumn("sites", sites).select(
         "draw", "chain", "iteration",
         F.slice(e, 1, 22).alias("dev"),
-        F.reverse(F.slice(e, 43, 22)).alias("obs_dev"),
+        numbered(OBS_DEV, F.lit(22)).alias("obs_dev"),
         _cutpoints(e, 4).alias("cuts5"),
         _cutpoints(e, 6).alias("cuts7"),
         at(29).alias("x0"), at(30).alias("u_pre"), at(31).alias("u_crash"), at(32).alias("u_post"),
-        positive(33, 0.05).alias("sd_q"), positive(34, 0.05).alias("sd_r"),
+        above(33, 0.05).alias("sd_q"), above(34, 0.05).alias("sd_r"),
         at(35).alias("a_b"), at(36).alias("a_c"),
-        positive(37, 0.5).alias("phi"), at(38).alias("theta"),
+        above(37, 0.5).alias("phi"), at(38).alias("theta"),
         at(39).alias("beta_time"), at(40).alias("beta_area"), at(41).alias("a_area"),
-        positive(42, 0.05).alias("sd_site"), positive(43, 0.05).alias("sd_source"),
-        F.slice(e, 44, 6).alias("a_source"),
-        F.slice(e, 50, 15).alias("a_site"),
+        above(42, 0.05).alias("sd_site"), above(43, 0.05).alias("sd_source"),
+        numbered(A_SOURCE, F.lit(len(SOURCES))).alias("a_source"),
+        numbered(A_SITE, F.col("sites")).alias("a_site"),
     )
 
 
@@ -202,7 +220,7 @@ def presence_design(spark: SparkSession, sf: str) -> DataFrame:
             "time": F.col("bottom_time"),
             "presence": presence("num_target"),
             "year_id": F.col("year") - (FIRST_YEAR - 1),
-            "site_id": F.col("site") % 15 + 1,
+            "site_id": F.col("site") + 1,
         }
     )
     return with_dense_id(encode.effort_design(df), "source", "source_id")
