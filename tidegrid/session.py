@@ -32,12 +32,19 @@ def local_session(name: str, cpus: str | int = "*", partitions: int = 8) -> Spar
 
 _shipped: set[str] = set()
 
+#: Bytes of the batches that rows go to Python in, and the engine's own limit, in whose place it comes.
+BATCH_BYTES, ENGINE_BATCH_BYTES = 8 << 20, 64 << 20
+
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers of the session, once per application.
 
-    Tasks that run Python import their functions from it, wherever the process was started.
+    Tasks that run Python import their functions from it, wherever the process was started.  Batches are kept
+    small enough for workers with long texts, unless the session has a limit of its own.
     """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) in (f"{ENGINE_BATCH_BYTES}b", str(ENGINE_BATCH_BYTES), "64MB", "64m"):
+        spark.conf.set(limit, f"{BATCH_BYTES}b")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
