@@ -16,6 +16,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidegrid.llm.folds import unused_names
 from tidegrid.sources.tables import materialise
 
 #: Cells of the ring, sub-cells of a cell (the unit that one task ranks), virtual nodes of a shard.
@@ -92,33 +93,33 @@ def with_shards(docs: DataFrame, shards: int, slack: float = 0.0, nodes: int = N
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    cell, part, order, n, before, segs, row, rank, mine = unused_names(
+        docs, *("ring_cell ring_part ring_order ring_n ring_before ring_segments ring_row ring_rank ring_mine".split())
+    )
     place = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
     place = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).otherwise(place)
     keyed = docs.select(
-        F.struct(*columns).alias("ring_held"),
-        F.col("doc_id").alias("ring_id"),
-        F.pmod(place, F.lit(cells)).cast("int").alias("ring_cell"),
-        F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(PARTS)).cast("int").alias("ring_part"),
-        F.xxhash64("doc_id", "text").alias("ring_order"),
+        *columns,
+        F.pmod(place, F.lit(cells)).cast("int").alias(cell),
+        F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(PARTS)).cast("int").alias(part),
+        F.xxhash64("doc_id", "text").alias(order),
     )
-    parts = materialise(keyed.groupBy("ring_cell", "ring_part").agg(F.count(F.lit(1)).alias("ring_n")))
-    counts = {r[0]: r[1] for r in parts.groupBy("ring_cell").agg(F.sum("ring_n")).collect()}
+    parts = materialise(keyed.groupBy(cell, part).agg(F.count(F.lit(1)).alias(n)))
+    counts = {r[0]: r[1] for r in parts.groupBy(cell).agg(F.sum(n)).collect()}
     by_cell: dict[int, list] = {}
-    for cell, lo, hi, shard, base in walk(counts, shards, nodes, cells, slack):
-        by_cell.setdefault(cell, []).append({"lo": lo, "hi": hi, "shard": shard, "base": base})
+    for held, lo, hi, shard, base in walk(counts, shards, nodes, cells, slack):
+        by_cell.setdefault(held, []).append({"lo": lo, "hi": hi, "shard": shard, "base": base})
     literal = json.dumps([{"cell": c, "segments": s} for c, s in by_cell.items()])
-    segments = spark.range(1).select(F.inline(F.from_json(F.lit(literal), SEGMENTS)))
-    earlier = Window.partitionBy("ring_cell").orderBy("ring_part").rowsBetween(Window.unboundedPreceding, -1)
-    table = parts.withColumn("ring_before", F.coalesce(F.sum("ring_n").over(earlier), F.lit(0))).drop("ring_n")
-    table = table.join(segments.withColumnRenamed("segments", "ring_segments"), F.col("ring_cell") == F.col("cell")).drop("cell")
-    inside = Window.partitionBy("ring_cell", "ring_part").orderBy("ring_order", "ring_id")
-    ranked = keyed.withColumn("ring_row", F.row_number().over(inside))
-    found = ranked.join(F.broadcast(table), ["ring_cell", "ring_part"]).withColumn(
-        "ring_rank", F.col("ring_before") + F.col("ring_row") - 1
-    )
-    mine = F.filter("ring_segments", lambda s: (F.col("ring_rank") >= s["lo"]) & (F.col("ring_rank") < s["hi"]))[0]
-    return found.withColumn("ring_mine", mine).select(
-        "ring_held.*",
-        F.col("ring_mine.shard").alias("shard"),
-        (F.col("ring_mine.base") + F.col("ring_rank") - F.col("ring_mine.lo")).alias("slot"),
+    segments = spark.range(1).select(F.inline(F.from_json(F.lit(literal), SEGMENTS))).withColumnsRenamed({"cell": f"{cell}_", "segments": segs})
+    earlier = Window.partitionBy(cell).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    table = parts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
+    table = table.join(segments, F.col(cell) == F.col(f"{cell}_")).drop(f"{cell}_")
+    inside = Window.partitionBy(cell, part).orderBy(order, "doc_id")
+    ranked = keyed.withColumn(row, F.row_number().over(inside))
+    found = ranked.join(F.broadcast(table), [cell, part]).withColumn(rank, F.col(before) + F.col(row) - 1)
+    held = F.filter(segs, lambda s: (F.col(rank) >= s["lo"]) & (F.col(rank) < s["hi"]))[0]
+    return found.withColumn(mine, held).select(
+        *columns,
+        F.col(f"{mine}.shard").alias("shard"),
+        (F.col(f"{mine}.base") + F.col(rank) - F.col(f"{mine}.lo")).alias("slot"),
     )
