@@ -149,15 +149,52 @@ def test_hull_brute_force_and_idempotence(spark):
         assert len(got[got["g"] == "line"]) == 2 and len(got[got["g"] == "dot"]) == 1
 
 
-def test_cells_of_convex_brute_force(spark):
-    ring = hull.hull_ring(np.random.default_rng(21).uniform(0, 100, (60, 2)))
-    df = spark.createDataFrame(
-        [("h", i, float(x), float(y)) for i, (x, y) in enumerate(ring)], "g string, seq int, x double, y double"
-    )
-    edges = polygons.ring_edges(df, ["g"], "seq", "x", "y")
-    got = {(r["ix"], r["iy"]) for r in polygons.cells_of_convex(edges, "g", GridSpec(), 3.0).collect()}
-    expect = {(i, j) for i in range(40) for j in range(40) if inside(ring, (i + 0.5) * 3, (j + 0.5) * 3)}
-    assert got == expect
+def inside_at(ring, y):
+    """The x intervals of a polygon at a height that meets no vertex."""
+    xs = sorted(x1 + (x2 - x1) * (y - y1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]) if (y1 > y) != (y2 > y))
+    return list(zip(xs[::2], xs[1::2]))
+
+
+def width_outside(ring, masks, y):
+    total = 0.0
+    for a, b in inside_at(ring, y):
+        cuts = sorted((max(a, c), min(b, d)) for m in masks for c, d in inside_at(m, y) if d > a and c < b)
+        at, hidden = a, 0.0
+        for c, d in cuts:
+            hidden += max(0.0, d - max(c, at))
+            at = max(at, d)
+        total += b - a - hidden
+    return total
+
+
+SQUARE = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+SHAPES = {
+    "nothing": [],
+    "a corner": [[(8.0, 8.0), (13.0, 8.0), (13.0, 13.0), (8.0, 13.0)]],
+    "all": [[(-1.0, -1.0), (11.0, -1.0), (11.0, 11.0), (-1.0, 11.0)]],
+    "two that overlap": [[(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0)], [(4.0, 3.0), (9.0, 5.0), (5.0, 9.0)]],
+    "a bent one": [[(1.0, 1.0), (9.0, 2.0), (8.5, 4.0), (4.0, 3.0), (3.0, 8.0), (0.5, 9.0)]],
+    "outside": [[(20.0, 0.0), (21.0, 0.0), (21.0, 5.0)]],
+}
+
+
+def test_area_outside_masks_of_any_shape(spark):
+    def edges(rows):
+        flat = [(k, p, *map(float, (*r[i], *r[(i + 1) % len(r)]))) for k, p, r in rows for i in range(len(r))]
+        return spark.createDataFrame(flat, "k string, poly_id string, x1 double, y1 double, x2 double, y2 double")
+
+    tilted = [(1.0, -2.0), (9.0, 0.5), (11.0, 7.0), (4.0, 11.0), (-1.5, 5.0)]
+    rings = {f"{name}/{i}": (ring, masks) for name, masks in SHAPES.items() for i, ring in enumerate((SQUARE, tilted))}
+    kept = edges([(k, "hull", ring) for k, (ring, _) in rings.items()])
+    masks = edges([(k, f"m{i}", m) for k, (_, ms) in rings.items() for i, m in enumerate(ms)])
+    for strip in (1.7, 100.0):
+        got = {r["k"]: r["area"] for r in polygons.area_outside(kept, masks, "k", strip).collect()}
+        for name, (ring, ms) in rings.items():
+            step = 0.001
+            want = sum(width_outside(ring, ms, y) for y in np.arange(-3, 13, step) + 0.000311) * step
+            assert got[name] == pytest.approx(want, abs=0.02), name
+    assert got["nothing/0"] == pytest.approx(100.0, abs=1e-12) and got["a corner/0"] == pytest.approx(96.0, abs=1e-12)
+    assert got["all/1"] == pytest.approx(0.0, abs=12.0)
 
 
 def test_points_in_line_up_to_rounding_are_not_vertices(spark):

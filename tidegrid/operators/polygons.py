@@ -1,10 +1,8 @@
-"""Polygons as edge tables: edges, areas, point in polygon, masked cell areas."""
+"""Polygons as edge tables: edges, areas, point in polygon, exact areas of what masks leave."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from tidegrid.functions.coords import GridSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def ring_edges(vertices: DataFrame, keys: list[str], seq: str, x: str, y: str) -> DataFrame:
@@ -121,33 +119,51 @@ def keep_outside(
     return df.join(hits, [*mine, x, y], "left_anti")
 
 
-def cells_of_convex(edges: DataFrame, key: str, grid: GridSpec, size: float) -> DataFrame:
-    """Centres of the cells whose centre lies in a convex ring, one row per cell.
+def area_outside(kept: DataFrame, masks: DataFrame, key: str, strip: float) -> DataFrame:
+    """(key, area) of what the masks of a key leave of its polygon, exact but for rounding.
 
-    Each edge yields its x at the centre line of every cell row it spans; the smallest and the
-    largest x of a row bound the cells of that row.  The output grows with the area, not with
-    the number of points that made the hull.
+    Both tables have ``key``, poly_id and x1, y1, x2, y2; masks may overlap, be of any shape and be absent.  A plane sweep:
+    between two neighbouring heights at which an edge begins, ends or crosses another, edges keep their order, so what
+    lies between two of them is a trapezoid, inside the polygon and outside all masks or not.  ``strip`` cuts
+    the plane for finding the crossings: only edges of one horizontal strip meet.
     """
-    row_of = lambda c: (c - grid.ymin) / size - 0.5
-    first = F.ceil(row_of(F.least("y1", "y2"))).cast("long")
-    last = (F.ceil(row_of(F.greatest("y1", "y2"))) - 1).cast("long")
-    rows = edges.withColumns({"__f": first, "__l": last}).where(F.col("__f") <= F.col("__l"))
-    rows = rows.withColumn("iy", F.explode(F.sequence("__f", "__l")))
-    cy = (F.col("iy") + 0.5) * size + grid.ymin
-    at = F.col("x1") + F.try_divide(
-        (F.col("x2") - F.col("x1")) * (cy - F.col("y1")), F.col("y2") - F.col("y1")
-    )
-    spans = rows.groupBy(key, "iy").agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"))
-    col_of = lambda c: (F.col(c) - grid.xmin) / size - 0.5
-    spans = spans.withColumns(
-        {
-            "__a": F.ceil(col_of("__lo")).cast("long"),
-            "__b": (F.ceil(col_of("__hi")) - 1).cast("long"),
-        }
-    ).where(F.col("__a") <= F.col("__b"))
-    return spans.select(key, "iy", F.explode(F.sequence("__a", "__b")).alias("ix")).withColumns(
-        {
-            "x": (F.col("ix") + 0.5) * size + grid.xmin,
-            "y": (F.col("iy") + 0.5) * size + grid.ymin,
-        }
+    both = kept.withColumn("__mask", F.lit(False)).unionByName(masks.withColumn("__mask", F.lit(True)), allowMissingColumns=True)
+    up = F.col("y1") < F.col("y2")
+    ends = {"ax": F.when(up, F.col("x1")).otherwise(F.col("x2")), "ay": F.least("y1", "y2"), "bx": F.when(up, F.col("x2")).otherwise(F.col("x1")), "by": F.greatest("y1", "y2")}
+    edges = both.where("y1 <> y2").withColumns(ends).select(key, "poly_id", "__mask", *ends)
+    edges = edges.withColumn("slope", (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
+
+    listed = edges.withColumn("__strip", F.explode(F.sequence(_strip_of("ay", strip), _strip_of("by", strip))))
+    other = listed.toDF(*[f"o_{c}" for c in listed.columns])
+    pairs = listed.join(other, (F.col(key) == F.col(f"o_{key}")) & (F.col("__strip") == F.col("o___strip")) & (F.col("poly_id") < F.col("o_poly_id")))
+    at = F.try_divide(
+        F.col("o_ax") - F.col("o_slope") * F.col("o_ay") - F.col("ax") + F.col("slope") * F.col("ay"), F.col("slope") - F.col("o_slope")
     )
+    crossing = pairs.select(key, at.alias("y"), F.greatest("ay", "o_ay").alias("__lo"), F.least("by", "o_by").alias("__hi"))
+    crossing = crossing.where("y > __lo AND y < __hi").select(key, "y")
+    heights = edges.select(key, F.explode(F.array("ay", "by")).alias("y")).unionByName(crossing).distinct()
+    order = Window.partitionBy(key).orderBy("y")
+    levels = heights.withColumns({"top": F.lead("y").over(order)}).where("top IS NOT NULL").withColumnsRenamed({key: "__key", "y": "low"})
+
+    over = edges.join(levels, (F.col(key) == F.col("__key")) & (F.col("ay") <= F.col("low")) & (F.col("by") >= F.col("top")))
+    x = lambda y: F.col("ax") + F.col("slope") * (F.col(y) - F.col("ay"))
+    edge = F.struct((x("low") + x("top")).alias("place"), x("low").alias("x_low"), x("top").alias("x_top"), "poly_id", "__mask")
+    sweeps = over.groupBy(key, "low", "top").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+    def toggled(open_: Column, poly: Column, mine: Column) -> Column:
+        flipped = F.when(F.array_contains(open_, poly), F.array_remove(open_, poly)).otherwise(F.array_append(open_, poly))
+        return F.when(mine, flipped).otherwise(open_)
+
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("inside"), none.alias("hidden"), F.lit(0.0).alias("x_low"), F.lit(0.0).alias("x_top"), F.lit(0.0).alias("width"))
+
+    def step(acc: Column, e: Column) -> Column:
+        counts = (F.size(acc["inside"]) > 0) & (F.size(acc["hidden"]) == 0)
+        width = F.when(counts, (e["x_low"] - acc["x_low"] + e["x_top"] - acc["x_top"]) / 2.0).otherwise(0.0)
+        return F.struct(
+            toggled(acc["inside"], e["poly_id"], ~e["__mask"]).alias("inside"), toggled(acc["hidden"], e["poly_id"], e["__mask"]).alias("hidden"),
+            e["x_low"].alias("x_low"), e["x_top"].alias("x_top"), (acc["width"] + width).alias("width"),
+        )
+
+    width = F.aggregate("edges", start, step, lambda acc: acc["width"])
+    return sweeps.groupBy(key).agg(F.sum(width * (F.col("top") - F.col("low"))).alias("area"))

@@ -387,10 +387,8 @@ caught AS (SELECT year, lat_deg + lat_min / 60 AS lat, -(lon_deg + lon_min / 60)
     occ AS (SELECT regime, count(*) AS n_cells FROM (
               SELECT DISTINCT regime, ix, iy FROM cell WHERE regime IS NOT NULL
               UNION ALL SELECT DISTINCT 'total', ix, iy FROM cell) GROUP BY regime)
-    SELECT h.regime, round(hull_km2, 3) AS hull_km2, coalesce(m.n_masked, 0) * {spatial.CELL_KM ** 2}e0 AS eoo_km2, n_cells, n_cells * 4e0 AS area_km2
-    FROM (SELECT regime, abs(sum(x1 * y2 - x2 * y1)) / 2 / 1e6 AS hull_km2 FROM hull_edges GROUP BY regime) h
-    LEFT JOIN (SELECT regime, count(*) AS n_masked FROM in_hull
-          WHERE NOT {spatial.MASKED_SQL} GROUP BY regime) m USING (regime)
+    SELECT h.regime, round(hull_km2, 3) AS hull_km2, round(hull_km2 - coalesce(km2, 0), 3) AS eoo_km2, n_cells, n_cells * 4e0 AS area_km2
+    FROM hulls h LEFT JOIN masked m USING (regime)
     JOIN occ USING (regime)
     """,
     ("surveys", "catches"),

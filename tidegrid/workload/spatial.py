@@ -11,7 +11,6 @@ from tidegrid.sources import tables
 from tidegrid.workload import views
 from tidegrid.workload.registry import query, round_all
 
-STRIP_M = 10_000.0
 STRIP_DEG = 0.1
 # Clip rectangle of the hull area, in projected metres (an argument, like the water outline).
 # a rectangle to clip each period's hull with: the metres by which it lies east of the first one
@@ -21,7 +20,6 @@ MASKS = {
     for period, d in MASK_SHIFT.items()
 }
 SHIFT_SQL = "CASE regime WHEN 'pre' THEN 0 WHEN 'crash' THEN 20000 WHEN 'post' THEN -20000 ELSE 10000 END"
-MASKED_SQL = f"(cx > 850003 + {SHIFT_SQL} AND cx < 930017 + {SHIFT_SQL} AND cy > 400007 AND cy < 560011)"
 BOX = (900_000.0, 350_000.0, 1_150_000.0, 600_000.0)
 
 
@@ -336,21 +334,28 @@ def convex_hull_eoo(spark, sf):
     return round_all(hull_rings(spark, sf), "x", "y", digits=3)
 
 
-CELL_KM = 5.0
+SWEEP_M = 50_000.0
 ROWS_SQL = f"""
 hull_edges AS (
   SELECT regime, x AS x1, y AS y1, lead(x, 1, fx) OVER w AS x2, lead(y, 1, fy) OVER w AS y2
   FROM (SELECT *, first(x) OVER v AS fx, first(y) OVER v AS fy FROM ring WINDOW v AS (PARTITION BY regime ORDER BY seq))
   WINDOW w AS (PARTITION BY regime ORDER BY seq)),
-box AS (SELECT min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM ring),
-centres AS (
-  SELECT (i + 0.5e0) * {CELL_KM * 1000} AS cx, (j + 0.5e0) * {CELL_KM * 1000} AS cy
-  FROM (SELECT unnest(generate_series(CAST(floor(xa / {CELL_KM * 1000}) AS BIGINT), CAST(ceil(xb / {CELL_KM * 1000}) AS BIGINT))) AS i FROM box),
-       (SELECT unnest(generate_series(CAST(floor(ya / {CELL_KM * 1000}) AS BIGINT), CAST(ceil(yb / {CELL_KM * 1000}) AS BIGINT))) AS j FROM box)),
-in_hull AS (
-  SELECT regime, cx, cy FROM centres, hull_edges
-  WHERE (y1 > cy) <> (y2 > cy) AND cx < x1 + (x2 - x1) * (cy - y1) / (y2 - y1)
-  GROUP BY regime, cx, cy HAVING count(*) % 2 = 1)
+box AS (SELECT DISTINCT regime, 850003e0 + {SHIFT_SQL} AS xa, 930017e0 + {SHIFT_SQL} AS xb, 400007e0 AS ya, 560011e0 AS yb FROM hull_edges),
+heights AS (
+  SELECT regime, y FROM (
+    SELECT regime, y1 AS y FROM hull_edges UNION SELECT regime, ya FROM box UNION SELECT regime, yb FROM box
+    UNION SELECT regime, y1 + (y2 - y1) * (xa - x1) / (x2 - x1) FROM hull_edges JOIN box USING (regime) WHERE (x1 < xa) <> (x2 < xa)
+    UNION SELECT regime, y1 + (y2 - y1) * (xb - x1) / (x2 - x1) FROM hull_edges JOIN box USING (regime) WHERE (x1 < xb) <> (x2 < xb))
+  JOIN box USING (regime) WHERE y BETWEEN ya AND yb),
+levels AS (SELECT * FROM (SELECT regime, y AS low, lead(y) OVER (PARTITION BY regime ORDER BY y) AS top FROM heights) WHERE top IS NOT NULL),
+widths AS (
+  SELECT l.regime, low, top, min(x1 + (x2 - x1) * (low - y1) / (y2 - y1)) AS l0, max(x1 + (x2 - x1) * (low - y1) / (y2 - y1)) AS r0,
+         min(x1 + (x2 - x1) * (top - y1) / (y2 - y1)) AS l1, max(x1 + (x2 - x1) * (top - y1) / (y2 - y1)) AS r1
+  FROM levels l JOIN hull_edges e ON e.regime = l.regime AND y1 <> y2 AND least(y1, y2) <= low AND greatest(y1, y2) >= top GROUP BY ALL),
+masked AS (
+  SELECT regime, sum((greatest(0, least(r0, xb) - greatest(l0, xa)) + greatest(0, least(r1, xb) - greatest(l1, xa))) / 2 * (top - low)) / 1e6 AS km2
+  FROM widths JOIN box USING (regime) GROUP BY regime),
+hulls AS (SELECT regime, abs(sum(x1 * y2 - x2 * y1)) / 2 / 1e6 AS hull_km2 FROM hull_edges GROUP BY regime)
 """
 
 
@@ -358,30 +363,23 @@ in_hull AS (
     "eoo_masked_area",
     f"""
     WITH RECURSIVE {HULL_SQL}, {ROWS_SQL}
-    SELECT regime, coalesce(n, 0) AS n_cells, coalesce(n, 0) * {CELL_KM * CELL_KM}e0 AS area_km2, round(hull_km2, 3) AS hull_km2
-    FROM (SELECT regime, abs(sum(x1 * y2 - x2 * y1)) / 2 / 1e6 AS hull_km2 FROM hull_edges GROUP BY regime)
-    LEFT JOIN (SELECT regime, count(*) AS n FROM in_hull
-               WHERE NOT {MASKED_SQL} GROUP BY regime) USING (regime)
+    SELECT regime, round(hull_km2 - coalesce(km2, 0), 3) AS area_km2, round(hull_km2, 3) AS hull_km2 FROM hulls LEFT JOIN masked USING (regime)
     """,
     ("regime_points",),
 )
 def eoo_masked_area(spark, sf):
-    """Hull area by regime after clipping: cells whose centre is in the hull and not in the period's mask."""
+    """Hull area by regime, less what the period's mask covers of it."""
     ring = hull_rings(spark, sf)
     return round_all(masked_area(spark, ring, "regime"), "area_km2", "hull_km2", digits=3)
 
 
 def masked_area(spark, ring, key):
     edges = tables.materialise(polygons.ring_edges(ring, [key], "seq", "x", "y"))
-    size = CELL_KM * 1000
-    cells = polygons.cells_of_convex(edges, key, views.GRID, size)
-    masks = polygons.literal_edges(spark, MASKS)
-    kept = polygons.keep_outside(cells, masks, STRIP_M, keys=[(key, "poly_id")])
-    counted = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_cells"))
+    masks = polygons.literal_edges(spark, MASKS).withColumn(key, F.col("poly_id"))
+    masks = masks.withColumn("poly_id", F.concat(F.lit("mask "), "poly_id"))
+    left = polygons.area_outside(edges.withColumn("poly_id", F.lit("hull")), masks, key, SWEEP_M)
     whole = polygons.ring_area(edges, [key], unit=1e6).select(key, F.col("area").alias("hull_km2"))
-    # a sliver of a hull may hold no cell centre; it still has a row
-    out = whole.join(counted, key, "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0)))
-    return out.withColumn("area_km2", F.col("n_cells") * (CELL_KM * CELL_KM))
+    return whole.join(left.select(key, (F.col("area") / 1e6).alias("area_km2")), key, "left").withColumn("area_km2", F.coalesce("area_km2", F.lit(0.0)))
 
 
 # --- catches ------------------------------------------------------------------------------
