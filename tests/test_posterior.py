@@ -272,3 +272,28 @@ def test_local_level_filter(spark):
             assert got[key]["path"][i]["mean"] == pytest.approx(m)
             assert got[key]["path"][i]["var"] == pytest.approx(p)
         assert got[key]["loglik"] == pytest.approx(ll)
+
+
+def test_error_split_reaches_the_best_of_a_fine_grid(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for g, (q, r) in {"calm": (0.02, 0.3), "wild": (0.4, 0.05)}.items():
+        for i in range(40):
+            x = 0.0
+            for year in range(2000, 2012):
+                x += 0.1 + rng.normal() * math.sqrt(q)
+                if rng.random() < 0.8:
+                    rows.append((f"{g}-{i}", year, float(x + rng.normal() * math.sqrt(r))))
+    df = spark.createDataFrame(rows, "s string, year int, v double")
+    series = fit.annual_series(df, "s", "year", F.col("v"), 2000, 2011).withColumn("g", F.split("s", "-")[0]).cache()
+    args = ({0: 0.1}, [(0, None, None)], 2000)
+    run = lambda steps: {r["g"]: r for r in fit.em_error_split(series, "g", "y", *args, steps=steps).collect()}
+    before, found = run(10), run(40)
+    grid = [(q, r) for q in (0.01, 0.02, 0.03, 0.3, 0.4, 0.5) for r in (0.02, 0.05, 0.08, 0.25, 0.3, 0.35)]
+    for g in ("calm", "wild"):
+        own = series.where(F.col("g") == g)
+        best = max(r["loglik"] for r in fit.error_split(own, grid, lambda y, q, r: fit.local_level_filter(y, q, r, *args)).collect())
+        # the likelihood never falls, and ends near the grid's best or above
+        assert found[g]["loglik"] >= before[g]["loglik"] - 1e-9
+        assert found[g]["loglik"] >= best - 0.5
+        assert found[g]["n_series"] == 40

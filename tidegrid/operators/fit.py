@@ -213,6 +213,61 @@ def local_level_filter(
     return F.aggregate(steps, start, step)
 
 
+def local_level_smoother(
+    y: Column, q: Column, r: Column, drift: dict[object, float], regimes, first_year: int, m0: float = 0.0, p0: float = 10.0,
+) -> Column:
+    """Backward pass over the filter's path: array of year, mean, var, and cov with the year after, from the year before the first on."""
+    drifts = F.create_map(*[F.lit(v) for pair in drift.items() for v in pair])
+    before = F.struct(F.lit(first_year - 1).alias("year"), F.lit(m0).alias("mean"), F.lit(p0).alias("var"))
+    path = F.concat(F.array(before), local_level_filter(y, q, r, drift, regimes, first_year, m0, p0)["path"])
+    last = F.element_at(path, -1)
+    point = F.struct(last["year"].alias("year"), last["mean"].alias("mean"), last["var"].alias("var"), F.lit(0.0).alias("cov"))
+
+    def step(later: Column, s: Column) -> Column:
+        after = later[0]
+        u = F.element_at(drifts, regime_of(s["year"] + 1, regimes))
+        gain = s["var"] / (s["var"] + q)
+        here = F.struct(
+            s["year"].alias("year"), (s["mean"] + gain * (after["mean"] - s["mean"] - u)).alias("mean"),
+            (s["var"] + gain * gain * (after["var"] - s["var"] - q)).alias("var"), (gain * after["var"]).alias("cov"),
+        )
+        return F.concat(F.array(here), later)
+
+    return F.aggregate(F.reverse(F.slice(path, 1, F.size(path) - 1)), F.array(point), step)
+
+
+def em_error_split(
+    series: DataFrame, group: str, y: str, drift: dict[object, float], regimes, first_year: int, start: tuple[float, float] = (0.1, 0.1), steps: int = 25,
+) -> DataFrame:
+    """(group, q, r, loglik, n_series): process and observation variance of each group of series, by expectation maximisation.
+
+    A step smooths every series under its group's variances and takes the expected squares of the states' and the
+    observations' errors, summed per group; the log likelihood, of the variances that a step began with, never falls.
+    """
+    groups = materialise(series.select(F.col(group).alias("__g"), F.lit(float(start[0])).alias("q"), F.lit(float(start[1])).alias("r")).distinct())
+    drifts = F.create_map(*[F.lit(v) for pair in drift.items() for v in pair])
+    args = (drift, regimes, first_year)
+    for _ in range(steps):
+        held = series.join(groups.select("__g", "q", "r"), F.col(group).eqNullSafe(F.col("__g")))
+        q, r = F.col("q"), F.col("r")
+        smooth = held.select(
+            group, "q", "r", F.col(y).alias("y"), local_level_smoother(F.col(y), q, r, *args).alias("s"), local_level_filter(F.col(y), q, r, *args)["loglik"].alias("ll")
+        )
+        n = F.size("y")
+        at = lambda i: F.get("s", i)
+        moved = lambda i: at(i)["mean"] - at(i - 1)["mean"] - F.element_at(drifts, regime_of(at(i)["year"], regimes))
+        steps_of = F.transform(F.sequence(F.lit(1), n), lambda i: moved(i) * moved(i) + at(i)["var"] + at(i - 1)["var"] - at(i - 1)["cov"] * 2)
+        seen = F.zip_with("y", F.slice("s", 2, n), lambda v, p: (v - p["mean"]) * (v - p["mean"]) + p["var"])
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+        sums = smooth.select(group, "ll", total(steps_of).alias("moved"), n.alias("n"), total(seen).alias("seen"), F.size(F.filter("y", lambda v: v.isNotNull())).alias("n_seen"))
+        groups = materialise(
+            sums.groupBy(F.col(group).alias("__g")).agg(
+                (F.sum("moved") / F.sum("n")).alias("q"), F.try_divide(F.sum("seen"), F.sum("n_seen")).alias("r"), F.sum("ll").alias("loglik"), F.count(F.lit(1)).alias("n_series")
+            )
+        )
+    return groups.withColumnRenamed("__g", group)
+
+
 def error_split(series: DataFrame, grid: list[tuple[float, float]], run) -> DataFrame:
     """Total log-likelihood over all series for each (q, r) pair of a grid."""
     pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(r).alias("r")) for q, r in grid])

@@ -627,3 +627,32 @@ def state_space_filter(spark, sf):
 def state_space_error_split(spark, sf):
     """Likelihood of process against observation error, over all site series."""
     return round_all(fit.error_split(site_series(spark, sf), ERROR_GRID, run_filter), "loglik", digits=5)
+
+
+@query(
+    "state_space_smoother",
+    f"""
+    WITH RECURSIVE pairs AS (SELECT 0.05e0 AS q, 0.2e0 AS r), {FILTER_SQL},
+    smooth AS (
+      SELECT site, year, m AS mean, p AS var, 0e0 AS cov FROM filt WHERE year = 2002
+      UNION ALL
+      SELECT f.site, f.year, f.m + f.p / (f.p + f.q) * (s.mean - f.m - CASE WHEN f.year + 1 <= 1997 THEN 0.05e0 WHEN f.year + 1 = 1998 THEN -0.4e0 ELSE 0.1e0 END),
+             f.p + (f.p / (f.p + f.q)) ** 2 * (s.var - f.p - f.q), f.p / (f.p + f.q) * s.var
+      FROM smooth s JOIN filt f ON f.site = s.site AND f.year = s.year - 1)
+    SELECT site, CAST(year AS INTEGER) AS year, round(mean, 8) + 0e0 AS mean, round(var, 8) AS var, round(cov, 8) + 0e0 AS cov FROM smooth
+    """,
+    ("surveys",),
+)
+def state_space_smoother(spark, sf):
+    """States given all years of a series, from the year before the first on."""
+    smoothed = fit.local_level_smoother(F.col("y"), F.lit(0.05), F.lit(0.2), DRIFT, FILTER_REGIMES, views.FIRST_YEAR)
+    out = site_series(spark, sf).select("site", F.explode(smoothed).alias("s")).select("site", "s.*")
+    return round_all(out, "mean", "var", "cov", digits=8)
+
+
+@query("state_space_error_fit")
+def state_space_error_fit(spark, sf):
+    """Process and observation variance of five groups of site series by expectation maximisation."""
+    series = site_series(spark, sf).withColumn("site_group", F.col("site") % 5)
+    out = fit.em_error_split(series, "site_group", "y", DRIFT, FILTER_REGIMES, views.FIRST_YEAR)
+    return round_all(out, "q", "r", "loglik", digits=4)
