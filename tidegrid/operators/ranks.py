@@ -142,43 +142,38 @@ def interval_probs(level: float = 0.95) -> dict[str, float]:
     return {"median": 0.5, "lower": tail, "upper": 1 - tail}
 
 
-def dense_dictionary(
-    df: DataFrame, column: str, id_name: str, keys: list[str] | None = None, cuts: int = 256
-) -> DataFrame:
+#: Bits of monotonically_increasing_id that number the rows of a partition.
+ROW_BITS = 33
+
+
+def dense_dictionary(df: DataFrame, column: str, id_name: str, keys: list[str] | None = None) -> DataFrame:
     """Sorted distinct values with ids 1..n (Spark's order, NaN last), per ``keys`` if given; NULL has no id.
 
-    The dictionary is written once and ranked in buckets between cut points: the values whose hash
-    falls in one class of n / ``cuts``, so about ``cuts`` of them exist at any size, and only they are
-    fetched.
+    The distinct values are dealt by range, sorted within partitions and written with their places; how many lie in the
+    partitions before gives each its offset, and the first place of a key the start of its own ids.
     """
     keys = keys or []
-    values = materialise(df.select(*keys, column).where(F.col(column).isNotNull()).distinct())
-    every = max(1, values.count() // cuts)
-    cut_rows = values.select(column).distinct().where(F.pmod(F.xxhash64(column), F.lit(every)) == 0).collect()
-    cut_list = F.array(*[F.lit(r[0]) for r in cut_rows]).cast(f"array<{values.schema[column].dataType.simpleString()}>")
-    bucketed = values.withColumn(
-        "__bucket", F.size(F.filter(cut_list, lambda c: c <= F.col(column)))
-    )
-    running = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*keys, "__bucket")
-        .agg(F.count(F.lit(1)).alias("__in"))
-        .withColumn("__before", F.coalesce(F.sum("__in").over(running), F.lit(0)))
-        .drop("__in")
-    )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(column)
-    return (
-        join_null_safe(bucketed, offsets, [*keys, "__bucket"])
-        .withColumn(id_name, (F.row_number().over(inside) + F.col("__before")).cast("long"))
-        .select(*keys, column, id_name)
-    )
+    order = [*keys, column]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(*order).where(F.col(column).isNotNull()).distinct()
+    placed = values.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    stored = materialise(placed).withColumn("__part", F.shiftright("__m", ROW_BITS))
+    sizes = stored.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__in"))
+    running = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__in").over(running), F.lit(0)))
+    place = F.col("__before") + F.col("__m").bitwiseAND(2**ROW_BITS - 1)
+    numbered = stored.join(offsets, F.col("__part") == F.col("__p")).select(*order, place.alias("__at"))
+    if not keys:
+        return numbered.select(column, (F.col("__at") + 1).alias(id_name))
+    firsts = numbered.groupBy(*keys).agg(F.min("__at").alias("__first"))
+    return join_null_safe(numbered, firsts, keys).select(*order, (F.col("__at") - F.col("__first") + 1).alias(id_name))
 
 
 def with_dense_id(
-    df: DataFrame, column: str, id_name: str, keys: list[str] | None = None, **options
+    df: DataFrame, column: str, id_name: str, keys: list[str] | None = None
 ) -> DataFrame:
     """Attach the 1-based rank of ``column`` among its sorted distinct values, per ``keys`` if given."""
-    dictionary = dense_dictionary(df, column, id_name, keys, **options)
+    dictionary = dense_dictionary(df, column, id_name, keys)
     return join_null_safe(df, dictionary, [*(keys or []), column], "left")
 
 
