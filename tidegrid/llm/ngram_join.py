@@ -26,6 +26,8 @@ from tidegrid.llm import graph, words
 from tidegrid.llm.folds import unused_names
 from tidegrid.sources.tables import materialise
 
+#: Bytes of text whose sets are made at a time.
+SET_BYTES = 512 << 10
 #: Words of an n-gram, and the similarity of a link in percent.
 NGRAM, PERCENT = 5, 80
 #: Counters that tell rare from frequent n-grams, bits that tell whose texts are asked for, and the pieces in which
@@ -92,7 +94,7 @@ def _profiles(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in words.chunks(batch, "text"):
+            for part in words.chunks(batch, "text", SET_BYTES):
                 sets = list(ngram_sets(part.column("text"), ngram))
                 counts += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
                 digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
@@ -113,7 +115,7 @@ def _prefixes(counts: np.ndarray, ngram: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch, "text"):
+            for part in words.chunks(batch, "text", SET_BYTES):
                 out, sizes = [], []
                 for s in ngram_sets(part.column("text"), ngram):
                     order = np.lexsort((s, counts[_counter(s)]))
@@ -333,10 +335,10 @@ def _probe(ngram: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch, "x_text"):
+            for part in words.chunks(batch, "x_text", SET_BYTES):
                 first = ngram_sets(part.column("x_text"), ngram)
                 linked = []
-                for s, t in zip(first, (u for piece in words.chunks(part, "y_text") for u in ngram_sets(piece.column("y_text"), ngram))):
+                for s, t in zip(first, (u for piece in words.chunks(part, "y_text", SET_BYTES) for u in ngram_sets(piece.column("y_text"), ngram))):
                     small, large = (s, t) if len(s) <= len(t) else (t, s)
                     at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
                     common = int((large[at] == small).sum()) if len(large) else 0

@@ -272,12 +272,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
     return Model(np.frombuffer(weight, np.float32), bias, empty)
 
 
+#: Bytes of text that are scored at a time.
+SCORE_BYTES = 256 << 10
+
+
 def scores_of(model: Model):
     """The score of a text column, from the texts alone: other columns of the rows stay out of Python."""
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = words.chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text")
+        parts = words.chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SCORE_BYTES)
         return pa.array(np.concatenate([np.zeros(0), *(model.scores(p.column("text")) for p in parts)]))
 
     return score
