@@ -169,10 +169,10 @@ def test_column_ranges(spark):
 
 
 def test_headers():
-    raw = ["DummyID", "NumQuads", "Max. depth", "date", "Date", "SumOf4XE", "BTime", "H_key", "year.x", "% cover", "2nd"]
+    raw = ["RowID", "PlotCount", "Mean. height", "day", "Day", "TotalOf3AB", "XValue", "Z_code", "name.y", "% shade", "4th"]
     assert tables.clean_names(raw) == [
-        "dummy_id", "num_quads", "max_depth", "date", "date_2", "sum_of4xe", "b_time", "h_key", "year_x",
-        "percent_cover", "x2nd",
+        "row_id", "plot_count", "mean_height", "day", "day_2", "total_of3ab", "x_value", "z_code", "name_y",
+        "percent_shade", "x4th",
     ]
 
 

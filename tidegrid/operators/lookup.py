@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidegrid.functions.missing import same_key
+
+
 def join_null_safe(
     left: DataFrame,
     right: DataFrame,
