@@ -297,3 +297,31 @@ def test_error_split_reaches_the_best_of_a_fine_grid(spark):
         assert found[g]["loglik"] >= before[g]["loglik"] - 1e-9
         assert found[g]["loglik"] >= best - 0.5
         assert found[g]["n_series"] == 40
+
+
+def test_fit_with_thresholds_is_that_of_its_rows(design):
+    """Thresholds made in each step give the fit of the rows with all of them; a step keeps the surveys where they are."""
+    _, df = design
+    three = df.withColumn("level", F.least(F.col("y"), F.lit(3.0)).cast("int") + 1)
+    args = ({"cut": 3, "year_id": 4}, ["x"], "site_id", "above", "logistic")
+    whole = fit.fit_mixed(fit.with_thresholds(three, "level", 4), *args, sd=3.0, site_sd=3.0)
+    found = fit.fit_mixed(three, *args, sd=3.0, site_sd=3.0, thresholds=("level", 4))
+    assert found.values.tolist() == pytest.approx(whole.values.tolist(), abs=1e-9)
+    means = fit.fitted_means(three, found, "site_id", "logistic", ["cut", "year_id"], ["x"], ("level", 4))
+    assert means.count() == 3 * three.count()
+    cells, sites = fit._dealt(three, "site_id", ["year_id", "x"], "y")
+    effects = sites.select(F.col("site").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own_part"))
+    plan = cells.join(effects.hint("merge"), (F.col("site") == F.col("own")) & (F.col("part") == F.col("own_part")))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.split("InMemoryTableScan")[0].count("Exchange") == 0  # the surveys' side comes first
+    cells.unpersist()
+
+
+def test_a_hot_site_is_fitted_in_parts(design, monkeypatch):
+    _, df = design
+    args = ({"year_id": 4}, ["x"], "site_id", "y", "poisson")
+    whole = fit.fit_mixed(df, *args, sd=1.5, site_sd=0.7)
+    monkeypatch.setattr(fit, "HOT", 300)
+    assert fit._dealt(df, "site_id", ["year_id", "x"], "y")[0].groupBy("site").agg(F.count_distinct("part").alias("k")).agg(F.min("k")).first()[0] > 1
+    cut = fit.fit_mixed(df, *args, sd=1.5, site_sd=0.7)
+    assert cut.values.tolist() == pytest.approx(whole.values.tolist(), abs=1e-9)

@@ -44,29 +44,61 @@ def _mean(eta: np.ndarray, family: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _site_sums(beta: np.ndarray, names: list[tuple[str, int]], levels: dict[str, int], numeric: list[str], family: str):
-    """Per site of a batch: weight, weighted covariates and score; and once a batch the sums over all of its rows."""
+    """Per site of a batch: weight, score and weighted covariates; and once a task the sums over all of its rows.
+
+    The blocks of ids are counted, not spread to columns of zeros and ones.
+    """
     p, first = len(names), {}
     for i, (term, _) in enumerate(names):
         first.setdefault(term, i)
+    span = {term: slice(first[term], first[term] + n) for term, n in levels.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, matrix = np.zeros(p), np.zeros((p, p))
         for batch in batches:
-            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
-            x = np.zeros((batch.num_rows, p))
-            for term in levels:
-                at = batch.column(term).to_numpy(zero_copy_only=False).astype(int)
-                x[np.arange(batch.num_rows), first[term] + at - 1] = 1
-            for term in numeric:
-                x[:, first[term]] = get(term)
-            n, y = get("n"), get("total")
-            mu, w = _mean(x @ beta + get("effect"), family)
-            w, r = w * n, y - mu * n
-            site, which = np.unique(batch.column("site").to_numpy(zero_copy_only=False), return_inverse=True)
-            weighted = np.stack([np.bincount(which, w * x[:, k], len(site)) for k in range(p)], 1)
-            own = [np.concatenate([[a, g], b]) for a, g, b in zip(np.bincount(which, w, len(site)), np.bincount(which, r, len(site)), weighted)]
-            whole = np.concatenate([x.T @ r, (x.T * w @ x).ravel()])
-            keys = [*site.tolist(), None]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([v.tolist() for v in [*own, whole]], pa.list_(pa.float64()))], ["site", "sums"])
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            ids = {term: get(term).astype(np.int64) - 1 for term in levels}
+            if any(((at < 0) | (at >= levels[term])).any() for term, at in ids.items()):
+                raise ValueError("an id is outside of its block")
+            z = {term: get(term).astype(float) for term in numeric}
+            n, eta = get("n").astype(float), get("effect").astype(float)
+            for term, at in ids.items():
+                eta = eta + beta[span[term]][at]
+            for term, v in z.items():
+                eta = eta + v * beta[first[term]]
+            mu, w = _mean(eta, family)
+            w, r = w * n, get("total") - mu * n
+            site, which = np.unique(get("site"), return_inverse=True)
+            k = len(site)
+            own = np.empty((k, p + 2))
+            own[:, 0], own[:, 1] = np.bincount(which, w, k), np.bincount(which, r, k)
+            terms = list(levels)
+            for i, s in enumerate(terms):
+                at, size = ids[s], levels[s]
+                per_site = np.bincount(which * size + at, w, k * size).reshape(k, size)
+                own[:, 2:][:, span[s]] = per_site
+                score[span[s]] += np.bincount(at, r, size)
+                matrix[span[s], span[s]] += np.diag(per_site.sum(0))
+                for t in terms[i + 1:]:
+                    both = np.bincount(at * levels[t] + ids[t], w, size * levels[t]).reshape(size, levels[t])
+                    matrix[span[s], span[t]] += both
+                    matrix[span[t], span[s]] += both.T
+            for i, s in enumerate(numeric):
+                at, weighted = first[s], w * z[s]
+                own[:, 2 + at] = np.bincount(which, weighted, k)
+                score[at] += r @ z[s]
+                for t in terms:
+                    sums = np.bincount(ids[t], weighted, levels[t])
+                    matrix[at, span[t]] += sums
+                    matrix[span[t], at] += sums
+                for t in numeric[i:]:
+                    both = weighted @ z[t]
+                    matrix[at, first[t]] += both
+                    if s != t:
+                        matrix[first[t], at] += both
+            yield pa.RecordBatch.from_arrays([pa.array(site, pa.int64()), pa.array(own.tolist(), pa.list_(pa.float64()))], ["site", "sums"])
+        whole = np.concatenate([score, matrix.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([whole.tolist()], pa.list_(pa.float64()))], ["site", "sums"])
 
     return run
 
@@ -93,24 +125,61 @@ def _added(rows: DataFrame, *keys: str) -> DataFrame:
     return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("sums"))
 
 
+#: Rows of a site that one task takes.
+HOT = 1 << 20
+
+
+def _dealt(df: DataFrame, site: str, columns: list[str], y: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, sites): rows of ``df`` with a ``y``, those that agree in ``columns`` as one, kept by site for steps that
+    come back to them; and every site with its ``parts``, more than one for a site of over HOT rows."""
+    rows = df.where(F.col(y).isNotNull()).select(F.col(site).cast("bigint").alias("site"), *columns, F.col(y).alias("__y"))
+    sites = materialise(rows.where("site IS NOT NULL").groupBy("site").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")))
+    hot = sites.where("parts > 1").agg(F.map_from_entries(F.collect_list(F.struct("site", "parts")))).scalar()  # at most a row for every HOT surveys
+    cuts = F.coalesce(F.try_element_at(hot, F.col("site")), F.lit(1))
+    part = F.pmod(F.xxhash64(*columns), cuts).cast("int")
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = rows.withColumn("part", part).repartition(n, "site", "part")
+    cells = dealt.groupBy("site", "part", *columns).agg(F.count(F.lit(1)).alias("n"), F.sum("__y").cast("double").alias("total"))
+    cells = cells.sortWithinPartitions("site", "part").persist()
+    cells.count()  # the planner knows how a cached table is dealt once it is there, and leaves it so
+    return cells, sites
+
+
 def fit_mixed(
     df: DataFrame, levels: dict[str, int], numeric: list[str], site: str, y: str, family: str, sd: float, site_sd: float,
-    tolerance: float = 1e-9, most: int = 40,
+    tolerance: float = 1e-9, most: int = 40, thresholds: tuple[str, int] | None = None,
 ) -> Fit:
     """Penalised logistic or Poisson (log link) regression of ``y`` on blocks of 1-based ids, numeric columns and sites.
 
     Normal priors: ``sd`` for the small block and ``site_sd`` for the sites.  Surveys that agree in everything are summed
-    first.  A step takes two passes over sums per site; of them only the small block's come to the driver.
+    first, dealt by site once and cached there, so that a step moves only effects and sums per site; of them only the small
+    block's come to the driver.  ``thresholds`` names a level and how many there are: the rows of the fit are then those of
+    ``with_thresholds``, made anew in each step, and ``y`` is its ``above``.
     """
     names = [(t, i) for t, n in levels.items() for i in range(1, n + 1)] + [(t, 0) for t in numeric]
     p, beta = len(names), np.zeros(len(levels) and sum(levels.values()) + len(numeric) or len(numeric))
-    cells = df.groupBy(F.col(site).cast("bigint").alias("site"), *levels, *numeric).agg(F.count(y).alias("n"), F.sum(y).cast("double").alias("total"))
-    cells = materialise(cells.where("n > 0"))
-    effects = materialise(cells.select("site").distinct().withColumn("effect", F.lit(0.0)))
+    if thresholds is None:
+        kept, sites = _dealt(df, site, [*levels, *numeric], y)
+        cells = kept
+    else:
+        level, count = thresholds
+        kept, sites = _dealt(df, site, [*(t for t in levels if t != "cut"), *numeric, level], level)
+        cells = with_thresholds(kept, level, count).withColumn("total", F.col("above") * F.col("n"))
+    try:
+        return _steps(cells, sites, beta, names, p, levels, numeric, family, sd, site_sd, tolerance, most)
+    finally:
+        kept.unpersist()
+
+
+def _steps(cells, sites, beta, names, p, levels, numeric, family, sd, site_sd, tolerance, most) -> Fit:
+    effects = sites.select("site", "parts", F.lit(0.0).alias("effect"))
     ridge, own = 1 / sd**2, 1 / site_sd**2
     for _ in range(most):
         at = effects.withColumnRenamed("site", "own_site")
-        rows = cells.join(at, F.col("site") == F.col("own_site")).drop("own_site")
+        placed = at.select("own_site", "effect", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own_part"))
+        rows = cells.join(placed, (F.col("site") == F.col("own_site")) & (F.col("part") == F.col("own_part")))
+        rows = rows.select("site", *levels, *numeric, "n", "total", "effect")
         parts = rows.mapInArrow(_site_sums(beta, names, levels, numeric, family), "site bigint, sums array<double>")
         sums = materialise(_added(parts, "site"))
         whole = np.array(sums.where("site IS NULL").first()["sums"])
@@ -122,16 +191,19 @@ def fit_mixed(
         moved = F.aggregate(F.zip_with(F.slice("sums", 3, p), F.array(*[F.lit(float(v)) for v in step]), lambda b, d: b * d), F.lit(0.0), lambda a, v: a + v)
         site_step = (F.element_at("sums", 2) - F.col("effect") * own - moved) / (F.element_at("sums", 1) + own)
         beta = beta + scale * step
-        stepped = materialise(per_site.select("site", (F.col("effect") + site_step * scale).alias("effect"), F.abs(site_step).alias("step")))
-        effects = stepped.select("site", "effect")
+        stepped = materialise(per_site.select("site", "parts", (F.col("effect") + site_step * scale).alias("effect"), F.abs(site_step).alias("step")))
+        effects = stepped.select("site", "parts", "effect")
         last = max(float(np.abs(step).max()), float(stepped.agg(F.max("step")).first()[0]))
         if last < tolerance:
             break
-    return Fit(names, beta, effects, last)
+    return Fit(names, beta, effects.select("site", "effect"), last)
 
 
-def fitted_means(df: DataFrame, fit: Fit, site: str, family: str, levels: list[str], numeric: list[str]) -> DataFrame:
-    """``df`` with ``fitted``, the mean of each row under the fit."""
+def fitted_means(
+    df: DataFrame, fit: Fit, site: str, family: str, levels: list[str], numeric: list[str], thresholds: tuple[str, int] | None = None,
+) -> DataFrame:
+    """``df`` with ``fitted``, the mean of each row under the fit; with ``thresholds``, of each survey and threshold, made
+    after the sites' effects are joined."""
     eta = F.col("__effect")
     for term in levels:
         values = {i: float(v) for (t, i), v in zip(fit.names, fit.values) if t == term}
@@ -140,7 +212,9 @@ def fitted_means(df: DataFrame, fit: Fit, site: str, family: str, levels: list[s
         eta = eta + F.col(term) * float(fit.values[fit.names.index((term, 0))])
     at = fit.sites.select(F.col("site").alias("__site"), F.col("effect").alias("__effect"))
     mean = inv_logit(eta) if family == "logistic" else F.exp(eta)
-    return df.join(at, F.col(site) == F.col("__site")).withColumn("fitted", mean).drop("__site", "__effect")
+    held = df.join(at, F.col(site) == F.col("__site"))
+    rows = held if thresholds is None else with_thresholds(held, *thresholds)
+    return rows.withColumn("fitted", mean).drop("__site", "__effect")
 
 
 def with_thresholds(df: DataFrame, level: str, k: int) -> DataFrame:
