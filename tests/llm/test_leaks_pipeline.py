@@ -186,3 +186,29 @@ def test_columns_of_any_name_come_through(spark, sf, odd):
     assert len(rows) > 5 and df.columns == [*docs.columns, "shard", "slot"]
     before = {tuple(r) for r in docs.collect()}
     assert {tuple(r)[: len(docs.columns)] for r in rows} <= before
+
+
+def test_frequencies_count_texts_in_small_parts(monkeypatch):
+    """A counter rises once a text, and no more text than a scan holds is made into arrays at a time."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidegrid.llm import decontaminate, words
+
+    limits, chunks = [], words.chunks
+    monkeypatch.setattr(words, "chunks", lambda batch, text, limit=words.CHUNK_BYTES: limits.append(limit) or chunks(batch, text, limit))
+    texts = ["a b a b a", "", "b c", None, "a " * 200_000, "c"]
+    out = list(decontaminate._frequencies(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})])))[0].to_pydict()
+    counts = np.concatenate([np.frombuffer(zlib.decompress(b), np.int32) for b in out["blob"]])
+    of = {w: decontaminate._counter(decontaminate._hashed(pa.array([w]))[0])[0] for w in "abc"}
+    assert [counts[of[w]] for w in "abc"] == [2, 2, 2] and counts.sum() == 6 and sum(out["rows"]) == 6
+    assert limits and max(limits) <= decontaminate.SCAN_BYTES
+
+
+def test_punctuation_is_space_wherever_texts_become_words():
+    import pyarrow as pa
+
+    (got, ends), (want, _) = (decontaminate._hashed(pa.array([t])) for t in ("a.b,(c)#d é`ü<x>~", " a b c d é ü x "))
+    assert got.tolist() == want.tolist() and ends.tolist() == [0, 7]
