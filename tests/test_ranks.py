@@ -146,3 +146,23 @@ def test_ks_distance(spark):
 def test_array_median(spark):
     df = spark.createDataFrame([([3, 1, 2],), ([4, 1],), ([7],)], "a array<int>")
     assert [r[0] for r in df.select(checks.array_median(F.col("a"))).collect()] == [2.0, 2.5, 7.0]
+
+
+@pytest.mark.parametrize("name", ["clusters", "flat", "outside"])
+def test_ks_distance_of_weighted_groups(spark, name):
+    """The greatest distance over all values, whatever parts of [0, 1] it may lie in."""
+    rng = np.random.default_rng(8)
+    own = {
+        "clusters": np.where(rng.random(4000) < 0.5, 0.3 + 1e-6 * rng.random(4000), rng.random(4000)),
+        "flat": (np.arange(4000) + 0.5) / 4000,
+        "outside": np.concatenate([rng.normal(size=3990), np.full(10, 7.0)]),
+    }[name]
+    pdf = pd.DataFrame({"k": np.where(np.arange(4000) % 3 == 0, "a", None), "v": own, "w": rng.integers(1, 4, 4000)})
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("a", None, 5)], "k string, v double, w long"))
+    got = {r["k"]: (r["ks"], r["n"]) for r in checks.ks_uniform(df, ["k"], "v", "w").collect()}
+    assert len(got) == 2
+    for key, part in pdf.groupby(pdf["k"].notna()):
+        v, w = np.unique(part["v"], return_inverse=True)
+        n = np.bincount(w, part["w"])
+        cum, total = np.cumsum(n), n.sum()
+        assert got["a" if key else None] == (np.maximum(cum / total - v, v - (cum - n) / total).max(), total)

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tidegrid.operators.lookup import join_null_safe
 from tidegrid.operators.ranks import cumulative_counts, exact_quantiles
 
 
@@ -115,14 +116,33 @@ def array_median(values: Column) -> Column:
     return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2.0
 
 
-def ks_uniform(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Kolmogorov-Smirnov distance of the values from the uniform distribution on [0, 1].
+#: Parts that [0, 1] is cut into to find where the distance may lie.
+PARTS = 4096
 
-    Ranks come from bucketed cumulative counts, so there is no window over the whole table.
+
+def ks_uniform(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Kolmogorov-Smirnov distance of the values (``weight`` times each) from the uniform distribution on [0, 1].
+
+    Values are counted by parts of [0, 1] first.  A part's ends and the rows before it bound its distances from
+    above, and its least and greatest value are distances already; only parts that may hold more than the greatest of
+    these are ranked value by value, with no window over the whole table.
     """
-    ranked = cumulative_counts(df, keys, value)
-    above = F.col("cum") / F.col("total") - F.col(value)
-    below = F.col(value) - (F.col("cum") - F.col("n")) / F.col("total")
-    return ranked.groupBy(*keys).agg(
-        F.max(F.greatest(above, below)).alias("ks"), F.max("total").alias("n")
-    )
+    n = F.count(value) if weight is None else F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
+    counts = df.groupBy(*keys, value).agg(n.alias("__w")).where(F.col("__w") > 0)
+    part = F.floor(F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0)) * PARTS)
+    counts = counts.withColumn("__part", part)
+    parts = counts.groupBy(*keys, "__part").agg(F.sum("__w").alias("__in"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    running = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy(*keys)  # at most PARTS + 1 rows a group
+    parts = parts.withColumns({"__upto": F.sum("__in").over(running), "__total": F.sum("__in").over(group)})
+    before, upto, total = F.col("__upto") - F.col("__in"), F.col("__upto"), F.col("__total")
+    seen = F.greatest(upto / total - F.col("__hi"), F.col("__lo") - before / total)
+    most = F.greatest(upto / total - F.col("__lo"), F.col("__hi") - before / total)
+    wanted = parts.withColumns({"__most": most, "__seen": F.max(seen).over(group)}).where(F.col("__most") >= F.col("__seen"))
+    # at most PARTS + 1 rows a group, so that the counts need no shuffle to meet them
+    wanted = F.broadcast(wanted.select(*keys, "__part", before.alias("__before"), "__total"))
+    held = join_null_safe(counts, wanted, [*keys, "__part"]).select(*keys, F.struct("__part", "__before", "__total").alias("__at"), value, "__w")
+    ranked = cumulative_counts(held, [*keys, "__at"], value, "__w")
+    cum = F.col("__at.__before") + F.col("cum")
+    above, below = cum / F.col("__at.__total") - F.col(value), F.col(value) - (cum - F.col("n")) / F.col("__at.__total")
+    return ranked.groupBy(*keys).agg(F.max(F.greatest(above, below)).alias("ks"), F.max("__at.__total").alias("n"))
